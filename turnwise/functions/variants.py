@@ -1,20 +1,39 @@
 """Typed access to fields of a VARIANT column.
 
 ``try_variant_get(v, path, 'string')`` would also return numbers and objects as
-text.  A transcript field only counts when it has the expected JSON type, so each
-getter checks the type first.
+text.  A transcript field only counts when it has the expected JSON type, so the
+getters check the type.  Containers are tested by a cast and not by
+``schema_of_variant``, which would walk through everything inside them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Keep the columns computed so far as they are.
+
+    The optimiser copies a column's expression into every filter it pushes below
+    it, such as the ``size(blocks) > 0`` it adds under an explode.  For parsed
+    JSON that would parse each line once per copy.  A filter on a
+    non-deterministic column cannot move, so everything below is computed once.
+    """
+    return (
+        df.withColumn("_pin", F.spark_partition_id()).filter(F.col("_pin") >= 0).drop("_pin")
+    )
+
+
 def field(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
+def members(v: Column, *names: str) -> Column:
+    """struct of variants with the named members; null when ``v`` is not an object."""
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+
 def json_type(v: Column) -> Column:
     """Spark's schema text of the value: STRING, BIGINT, OBJECT<...>, VOID, ..."""
     return F.schema_of_variant(v)
@@ -25,20 +44,20 @@ def is_string(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(json_type(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(json_type(v).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_null(v: Column) -> Column:
     """Absent, or JSON null."""
-    return v.isNull() | F.coalesce(json_type(v) == "VOID", F.lit(False))
+    return v.isNull() | F.is_variant_null(v)
 
 
 def string(v: Column) -> Column:
-    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
+    return F.when(json_type(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def integer(v: Column) -> Column:
@@ -51,24 +70,18 @@ def boolean(v: Column) -> Column:
 
 def elements(v: Column) -> Column:
     """Array elements as array<variant>; null when the value is not an array."""
-    return F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def entries(v: Column) -> Column:
     """Object members as map<string,variant>; null when the value is not an object."""
-    return F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def truthy(v: Column) -> Column:
     """False for absent, null, false, 0, "" and empty containers."""
-    kind = json_type(v)
-    return (
-        F.when(is_null(v), False)
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(kind == "STRING", F.length(F.try_variant_get(v, "$", "string")) > 0)
-        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-        .when(kind.startswith("OBJECT"), kind != "OBJECT<>")
-        .otherwise(F.try_variant_get(v, "$", "double") != 0)
+    return F.when(is_null(v), False).otherwise(
+        ~F.to_json(v).isin("false", "0", "0.0", '""', "[]", "{}", "-0.0", "0E0")
     )
 
 

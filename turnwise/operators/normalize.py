@@ -60,291 +60,319 @@ def parse_timestamp(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------ blocks
+#
+# Lambdas are evaluated without sharing common subexpressions, so a block goes
+# through two of them: the first reads each member once into a typed struct, the
+# second builds the event from those plain fields.
 
+_MEMBERS = (
+    "type text name id input thinking signature redacted tool_use_id content is_error truncated"
+).split()
 
-def _block(missing: Column | None = None, **values: Column) -> Column:
-    """One event struct; columns not given are null."""
-    names = ["kind", *EVENT_COLUMNS]
-    cols = [values.get(n, F.lit(None)).alias(n) for n in names]
-    return F.struct(
-        *cols,
-        (missing if missing is not None else F.array()).alias("missing"),
-    ).cast(_BLOCK[len("array<") : -1])
 
+def _typed_block(block: Column) -> Column:
+    """Members of a content block with their types checked."""
 
-def _lost(name: str) -> Column:
-    """A block that yields no event, only a missing field."""
-    return _block(F.array(F.lit(name)))
+    def m(name: str) -> Column:
+        return block[name]
 
+    parts = F.transform(V.elements(m("content")), lambda item: V.string(V.field(item, "$.text")))
+    return F.struct(
+        V.string(m("type")).alias("type"),
+        V.string(m("text")).alias("text"),
+        V.string(m("name")).alias("name"),
+        V.string(m("id")).alias("id"),
+        F.when(V.is_object(m("input")), m("input")).alias("input"),
+        V.string(m("thinking")).alias("thinking"),
+        V.string(m("signature")).alias("signature"),
+        F.coalesce(V.boolean(m("redacted")), F.lit(False)).alias("redacted"),
+        V.string(m("tool_use_id")).alias("tool_use_id"),
+        F.coalesce(V.string(m("content")), F.array_join(parts, "\n")).alias("output"),
+        F.when(m("is_error").isNotNull(), V.truthy(m("is_error"))).otherwise(False).alias("is_error"),
+        F.when(m("truncated").isNotNull(), V.truthy(m("truncated"))).alias("truncated"),
+    )
+
+
+def _event(missing: Column, **values: Column) -> Column:
+    """One event struct; columns not given are null."""
+    cols = [values.get(n, F.lit(None)).alias(n) for n in ("kind", *EVENT_COLUMNS)]
+    return F.struct(*cols, missing.alias("missing")).cast(_BLOCK[len("array<") : -1])
 
-def _text_block(block: Column, kind: str, usage: Column | None = None) -> Column:
-    text = V.field(block, "$.text")
-    tokens = F.lit(None) if usage is None else usage
-    return F.when(
-        V.is_string(text), _block(kind=F.lit(kind), text=V.string(text), token_count=tokens)
-    ).otherwise(_lost("text"))
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
-def _tool_call(name: Column, use_id: Column, arguments: Column, missing: Column) -> Column:
-    held = F.when(V.is_object(arguments), arguments).otherwise(F.parse_json(F.lit("{}")))
-    return _block(
-        missing,
-        kind=F.lit("tool_call"),
-        tool_name=canonical_tool(name),
-        tool_name_raw=name,
-        tool_use_id=use_id,
-        input=held,
-        file_path=V.string(V.field(held, "$.file_path")),
-    )
 
+def _block_event(b: Column, speaker: Column, usage: Column) -> Column:
+    """The event of a typed block, or a struct with no kind that names what is missing.
 
-def _tool_use_block(block: Column) -> Column:
-    name, use_id = V.field(block, "$.name"), V.field(block, "$.id")
-    arguments = V.field(block, "$.input")
-    no_input = F.when(V.is_object(arguments), F.array()).otherwise(F.array(F.lit("input")))
-    return (
-        F.when(~V.is_string(name), _lost("tool_name"))
-        .when(~V.is_string(use_id), _lost("tool_use_id"))
-        .otherwise(_tool_call(V.string(name), V.string(use_id), arguments, no_input))
+    Each output column is decided by the block's class, so the struct is built once.
+    """
+    hidden = b["redacted"] | F.coalesce(b["thinking"] == "[redacted]", F.lit(False))
+    by_assistant = speaker == "assistant"
+    is_text = b["type"] == "text"
+    is_call = by_assistant & (b["type"] == "tool_use")
+    is_thought = by_assistant & (b["type"] == "thinking")
+    is_result = ~by_assistant & (b["type"] == "tool_result")
+    lost = (
+        F.when(is_text, F.when(b["text"].isNull(), "text"))
+        .when(
+            is_call,
+            F.when(b["name"].isNull(), "tool_name").when(b["id"].isNull(), "tool_use_id"),
+        )
+        .when(is_thought, F.when(~hidden & b["thinking"].isNull(), "thinking"))
+        .when(is_result, F.when(b["tool_use_id"].isNull(), "tool_use_id"))
+        .otherwise("content.type")
+    )
+    kind = (
+        F.when(is_text, speaker)
+        .when(is_call, "tool_call")
+        .when(is_thought, "thinking")
+        .when(is_result, "tool_result")
+    )
+    shown = F.when(hidden, F.lit("")).otherwise(b["thinking"])
+    held = F.when(is_call, F.coalesce(b["input"], F.parse_json(F.lit("{}"))))
+    return _event(
+        F.when(lost.isNotNull(), F.array(lost))
+        .when(is_call & b["input"].isNull(), F.array(F.lit("input")))
+        .otherwise(_none()),
+        kind=F.when(lost.isNull(), kind),
+        text=F.when(is_text, b["text"]).when(is_thought, shown),
+        token_count=F.when(is_text & by_assistant, usage),
+        tool_name=F.when(is_call, canonical_tool(b["name"])),
+        tool_name_raw=F.when(is_call, b["name"]),
+        tool_use_id=F.when(is_call, b["id"]).when(is_result, b["tool_use_id"]),
+        input=held,
+        file_path=F.when(is_call, V.string(V.field(b["input"], "$.file_path"))),
+        output=F.when(is_result, b["output"]),
+        is_error=F.when(is_result, b["is_error"]),
+        truncated=F.when(is_result, b["truncated"]),
+        thinking_len=F.when(is_thought, F.length(shown)),
+        redacted=F.when(is_thought, hidden),
+        signature=F.when(is_thought, b["signature"]),
     )
 
 
-def _thinking_block(block: Column) -> Column:
-    body, signature = V.string(V.field(block, "$.thinking")), V.field(block, "$.signature")
-    hidden = F.coalesce(
-        (body == "[redacted]") | F.coalesce(V.boolean(V.field(block, "$.redacted")), F.lit(False)),
-        F.coalesce(V.boolean(V.field(block, "$.redacted")), F.lit(False)),
+def _listed(items: Column, speaker: Column, usage: Column) -> Column:
+    objects = F.filter(
+        F.transform(items, lambda b: V.members(b, *_MEMBERS)), lambda b: b.isNotNull()
+    )
+    return F.transform(
+        F.transform(objects, _typed_block), lambda b: _block_event(b, speaker, usage)
     )
-    shown = F.when(hidden, F.lit("")).otherwise(body)
-    return F.when(hidden | body.isNotNull(), _block(
-        kind=F.lit("thinking"),
-        text=shown,
-        thinking_len=F.length(shown),
-        redacted=hidden,
-        signature=V.string(signature),
-    )).otherwise(_lost("thinking"))
 
 
-def _tool_result_block(block: Column) -> Column:
-    use_id, content = V.field(block, "$.tool_use_id"), V.field(block, "$.content")
-    parts = F.filter(
-        F.transform(V.elements(content), lambda item: V.string(V.field(item, "$.text"))),
-        lambda text: text.isNotNull(),
+def _flat(kind: Column, text: Column, tool: Column, arguments: Column, result: Column) -> Column:
+    """Events of a line that carries its content in top-level keys."""
+    by_assistant = kind == "assistant"
+    held = F.when(V.is_object(arguments), arguments).otherwise(F.parse_json(F.lit("{}")))
+    said = F.when(text.isNotNull(), _event(_none(), kind=kind, text=text))
+    called = F.when(
+        by_assistant & tool.isNotNull(),
+        _event(
+            _none(),
+            kind=F.lit("tool_call"),
+            tool_name=canonical_tool(tool),
+            tool_name_raw=tool,
+            tool_use_id=F.lit(""),
+            input=held,
+            file_path=V.string(V.field(arguments, "$.file_path")),
+        ),
     )
-    cut = V.field(block, "$.truncated")
-    return F.when(
-        V.is_string(use_id),
-        _block(
+    returned = F.when(
+        ~by_assistant & ~V.is_null(result),
+        _event(
+            _none(),
             kind=F.lit("tool_result"),
-            tool_use_id=V.string(use_id),
-            output=F.when(V.is_string(content), V.string(content)).when(
-                V.is_array(content), F.array_join(parts, "\n")
-            ),
-            is_error=V.truthy(V.field(block, "$.is_error")),
-            truncated=F.when(cut.isNotNull(), V.truthy(cut)),
+            tool_use_id=F.lit(""),
+            is_error=F.lit(False),
+            output=F.coalesce(V.string(result), F.to_json(result)),
         ),
-    ).otherwise(_lost("tool_use_id"))
-
-
-def _assistant_block(block: Column, usage: Column) -> Column:
-    kind = V.string(V.field(block, "$.type"))
-    return (
-        F.when(kind == "text", _text_block(block, "assistant", usage))
-        .when(kind == "tool_use", _tool_use_block(block))
-        .when(kind == "thinking", _thinking_block(block))
-        .otherwise(_lost("content.type"))
-    )
-
-
-def _user_block(block: Column) -> Column:
-    kind = V.string(V.field(block, "$.type"))
-    return (
-        F.when(kind == "text", _text_block(block, "user"))
-        .when(kind == "tool_result", _tool_result_block(block))
-        .otherwise(_lost("content.type"))
-    )
-
-
-def _objects(items: Column) -> Column:
-    return F.filter(items, V.is_object)
-
-
-def _flat_assistant(v: Column) -> Column:
-    text, tool = V.field(v, "$.text"), V.field(v, "$.tool")
-    return F.array_compact(
-        F.array(
-            F.when(V.is_string(text), _block(kind=F.lit("assistant"), text=V.string(text))),
-            F.when(
-                V.is_string(tool),
-                _tool_call(V.string(tool), F.lit(""), V.field(v, "$.tool_input"), F.array()),
-            ),
-        )
-    )
-
-
-def _flat_user(v: Column) -> Column:
-    text, result = V.field(v, "$.text"), V.field(v, "$.tool_result")
-    return F.array_compact(
-        F.array(
-            F.when(V.is_string(text), _block(kind=F.lit("user"), text=V.string(text))),
-            F.when(
-                ~V.is_null(result),
-                _block(
-                    kind=F.lit("tool_result"),
-                    tool_use_id=F.lit(""),
-                    is_error=F.lit(False),
-                    output=F.coalesce(V.string(result), F.to_json(result)),
-                ),
-            ),
-        )
     )
+    return F.array_compact(F.array(said, called, returned))
 
 
-def _system_block(v: Column) -> Column:
-    name = V.first_truthy(V.field(v, "$.subtype"), V.field(v, "$.subkind"))
+def _system(v: Column, subtype: Column, subkind: Column) -> Column:
+    name = V.first_truthy(subtype, subkind)
     extras = F.map_filter(V.entries(v), lambda k, _: ~k.isin(*_SYSTEM_ENVELOPE))
-    return _block(
-        kind=F.lit("system"),
-        subkind=F.when(V.truthy(name), F.coalesce(V.string(name), F.lit("unknown"))).otherwise(
-            "unknown"
-        ),
-        system_payload=F.to_variant_object(extras),
+    label = F.when(V.truthy(name), F.coalesce(V.string(name), F.lit("unknown")))
+    return F.array(
+        _event(
+            _none(),
+            kind=F.lit("system"),
+            subkind=F.coalesce(label, F.lit("unknown")),
+            system_payload=F.to_variant_object(extras),
+        )
     )
 
 
 # ------------------------------------------------------------------- lines
 
+_TOP = (
+    "type role timestamp ts session_id session message content text tool tool_input tool_result "
+    "subtype subkind"
+).split()
+
 
 def parse_lines(lines: DataFrame, *, dedup: str = "message") -> DataFrame:
     """One row per non-blank line: class, outcome, event blocks, missing fields.
 
     ``dedup``: ``message`` drops later lines of a session that repeat a message
-    id (the default), ``corpus`` looks at all sessions together, ``block`` drops
-    only repeated blocks of the same id, ``none`` keeps all.
+    id (the default), ``corpus`` looks at all sessions together, ``block`` and
+    ``none`` keep all lines here.
     """
     if dedup not in ("message", "corpus", "block", "none"):
         raise ValueError(f"unknown dedup mode {dedup!r}")
+    rows = V.pin(_read_fields(lines))
+    rows = V.pin(_classify(rows))
+    rows = V.pin(_build_blocks(rows))
+    return _settle(_mark_duplicates(rows, dedup))
+
+
+def _read_fields(lines: DataFrame) -> DataFrame:
+    """Parse each line once and take the members the normaliser looks at."""
     valid = F.make_valid_utf8("line")
     text = F.when(valid.startswith("{") & valid.endswith("}"), valid).otherwise(
         F.regexp_replace(valid, r"(?U)^\s+|\s+$", "")
     )
     rows = lines.withColumn("line", text).filter(F.length("line") > 0)
-    rows = rows.withColumn("_v", F.try_parse_json("line"))
-    v = F.col("_v")
-    message = V.field(v, "$.message")
-    named = F.coalesce(V.string(V.field(v, "$.type")), V.string(V.field(v, "$.role")))
-    rows = rows.select(
-        "*",
-        named.alias("line_kind"),
-        V.is_object(v).alias("_object"),
-        V.is_object(message).alias("_wrapped"),
-        F.when(
-            V.is_object(message) & named.isin("assistant", "user"),
-            V.string(V.field(message, "$.id")),
-        ).alias("message_id"),
-        V.first_truthy(V.field(v, "$.timestamp"), V.field(v, "$.ts")).alias("_time"),
-        V.first_truthy(V.field(v, "$.session_id"), V.field(v, "$.session")).alias("_session"),
+    rows = V.pin(rows.withColumn("_v", F.try_parse_json("line")))
+    return V.pin(rows.withColumn("_o", V.members(F.col("_v"), *_TOP)))
+
+
+def _classify(rows: DataFrame) -> DataFrame:
+    o = F.col("_o")
+    rows = V.pin(
+        rows.withColumns(
+            {
+                "line_kind": F.coalesce(V.string(o["type"]), V.string(o["role"])),
+                "_m": V.members(o["message"], "id", "content", "usage"),
+                "_list": V.elements(o["content"]),
+                "_text": V.string(o["text"]),
+                "_tool": V.string(o["tool"]),
+                "_stamp": V.first_truthy(o["timestamp"], o["ts"]),
+                "_session": V.string(V.first_truthy(o["session_id"], o["session"])),
+            }
+        )
     )
     kind, talk = F.col("line_kind"), F.col("line_kind").isin("assistant", "user")
-    flat_list = V.is_array(V.field(v, "$.content"))
-    has_flat = F.when(
-        kind == "assistant",
-        V.is_string(V.field(v, "$.text")) | V.is_string(V.field(v, "$.tool")),
-    ).otherwise(V.is_string(V.field(v, "$.text")) | ~V.is_null(V.field(v, "$.tool_result")))
+    has_flat = F.col("_text").isNotNull() | F.when(
+        kind == "assistant", F.col("_tool").isNotNull()
+    ).otherwise(~V.is_null(o["tool_result"]))
     line_class = (
-        F.when(v.isNull(), "malformed")
-        .when(~F.col("_object"), "not_object")
+        F.when(F.col("_v").isNull(), "malformed")
+        .when(o.isNull(), "not_object")
         .when(kind.isNull(), "missing_type")
         .when(kind == "system", "system")
         .when(kind.isin(*STRUCTURAL_KINDS), "structural")
         .when(~talk, "unknown_type")
-        .when(F.col("_wrapped"), "message")
-        .when(flat_list, "flat_list")
+        .when(F.col("_m").isNotNull(), "message")
+        .when(F.col("_list").isNotNull(), "flat_list")
         .when(has_flat, "flat")
         .otherwise("flat_missing")
     )
-    rows = rows.withColumn("line_class", line_class)
+    stamp = V.string(F.col("_stamp"))
+    return rows.withColumns(
+        {
+            "line_class": line_class,
+            "message_id": F.when(talk, V.string(F.col("_m.id"))),
+            "_body": V.string(F.col("_m.content")),
+            "_usage": V.integer(V.field(F.col("_m.usage"), "$.output_tokens")),
+            "_stamp_text": stamp,
+            "_parsed_ts": parse_timestamp(stamp),
+            "event_session_id": F.when(F.length("_session") > 0, F.col("_session")).otherwise(
+                F.col("session_id")
+            ),
+        }
+    )
+
 
-    usage = V.integer(V.field(message, "$.usage.output_tokens"))
-    content = V.field(message, "$.content")
+def _build_blocks(rows: DataFrame) -> DataFrame:
+    kind, line_class, o = F.col("line_kind"), F.col("line_class"), F.col("_o")
+    rows = rows.withColumn(
+        "_items",
+        F.when(line_class == "message", V.elements(F.col("_m.content"))).when(
+            line_class == "flat_list", F.col("_list")
+        ),
+    )
+    rows = V.pin(rows)
+    usage = F.when(line_class == "message", F.col("_usage"))
     one_text = F.array(
-        _block(
+        _event(
+            _none(),
             kind=kind,
-            text=V.string(content),
-            token_count=F.when(kind == "assistant", usage),
+            text=F.col("_body"),
+            token_count=F.when(kind == "assistant", F.col("_usage")),
         )
     )
-    items = F.when(F.col("line_class") == "message", V.elements(content)).otherwise(
-        V.elements(V.field(v, "$.content"))
-    )
-    usage_here = F.when(F.col("line_class") == "message", usage)
-    listed = F.when(
-        kind == "assistant",
-        F.transform(_objects(items), lambda b: _assistant_block(b, usage_here)),
-    ).otherwise(F.transform(_objects(items), _user_block))
     blocks = (
-        F.when((F.col("line_class") == "message") & V.is_string(content), one_text)
-        .when(F.col("line_class").isin("message", "flat_list"), listed)
-        .when((F.col("line_class") == "flat") & (kind == "assistant"), _flat_assistant(v))
-        .when(F.col("line_class") == "flat", _flat_user(v))
-        .when(F.col("line_class") == "system", F.array(_system_block(v)))
-    )
-    stamp = V.string(F.col("_time"))
-    parsed_ts = parse_timestamp(stamp)
-    dispatched = ~F.col("line_class").isin("malformed", "not_object", "missing_type")
-    line_missing = (
-        F.when(F.col("line_class") == "malformed", F.array(F.lit("__json__")))
-        .when(F.col("line_class") == "not_object", F.array(F.lit("__object__")))
-        .when(F.col("line_class").isin("missing_type", "unknown_type"), F.array(F.lit("type")))
-        .when(F.col("line_class") == "flat_missing", F.array(F.lit("message")))
+        F.when((line_class == "message") & F.col("_body").isNotNull(), one_text)
+        .when(line_class.isin("message", "flat_list"), _listed(F.col("_items"), kind, usage))
         .when(
-            (F.col("line_class") == "message")
-            & (kind == "user")
-            & ~V.is_string(content)
-            & (F.size(F.coalesce(_objects(items), F.array())) == 0),
-            F.array(F.lit("text")),
+            line_class == "flat",
+            _flat(kind, F.col("_text"), F.col("_tool"), o["tool_input"], o["tool_result"]),
         )
-        .otherwise(F.array().cast("array<string>"))
-    )
-    no_time = F.when(
-        dispatched
-        & (V.is_null(F.col("_time")) | ((F.length(stamp) > 0) & parsed_ts.isNull())),
-        F.array(F.lit("timestamp")),
-    ).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumns(
+        .when(line_class == "system", _system(F.col("_v"), o["subtype"], o["subkind"]))
+    )
+    empty_user = (
+        (line_class == "message")
+        & (kind == "user")
+        & F.col("_body").isNull()
+        & (F.size(F.filter(F.coalesce("_items", F.array().cast("array<variant>")), V.is_object)) == 0)
+    )
+    line_missing = (
+        F.when(line_class == "malformed", F.lit("__json__"))
+        .when(line_class == "not_object", F.lit("__object__"))
+        .when(line_class.isin("missing_type", "unknown_type"), F.lit("type"))
+        .when(line_class == "flat_missing", F.lit("message"))
+        .when(empty_user, F.lit("text"))
+    )
+    dispatched = ~line_class.isin("malformed", "not_object", "missing_type")
+    no_time = dispatched & (
+        V.is_null(F.col("_stamp"))
+        | F.coalesce((F.length("_stamp_text") > 0) & F.col("_parsed_ts").isNull(), F.lit(False))
+    )
+    return rows.withColumns(
         {
             "_blocks": F.coalesce(blocks, F.array().cast(_BLOCK)),
-            "ts": F.coalesce(parsed_ts, "file_mtime"),
-            "ts_resolved": parsed_ts.isNotNull(),
-            "event_session_id": F.coalesce(
-                F.when(F.length(V.string(F.col("_session"))) > 0, V.string(F.col("_session"))),
-                "session_id",
+            "ts": F.coalesce("_parsed_ts", "file_mtime"),
+            "ts_resolved": F.col("_parsed_ts").isNotNull(),
+            "_line_missing": F.when(line_missing.isNotNull(), F.array(line_missing)).otherwise(
+                _none()
             ),
-            "_line_missing": line_missing,
-            "_no_time": no_time,
+            "_no_time": F.when(no_time, F.array(F.lit("timestamp"))).otherwise(_none()),
         }
+    ).drop(
+        "_o", "_m", "_list", "_text", "_tool", "_stamp", "_session", "_body", "_usage",
+        "_stamp_text", "_parsed_ts", "_items",
     )
-    rows = _mark_duplicates(rows, dedup)
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """Events, missing fields and outcome of a line, now that repeats are known."""
+    duplicate, line_class = F.col("duplicate"), F.col("line_class")
     kept = F.filter("_blocks", lambda b: b["kind"].isNotNull())
     lost = F.flatten(F.transform("_blocks", lambda b: b["missing"]))
-    duplicate = F.col("duplicate")
-    rows = rows.withColumn("blocks", F.when(duplicate, F.array().cast(_BLOCK)).otherwise(kept))
+    rows = V.pin(
+        rows.withColumns(
+            {
+                "blocks": F.when(duplicate, F.array().cast(_BLOCK)).otherwise(kept),
+                "missing": F.when(duplicate, F.col("_no_time")).otherwise(
+                    F.concat("_no_time", "_line_missing", lost)
+                ),
+            }
+        )
+    )
     made = F.size("blocks")
     credited = (
-        F.when(duplicate | F.col("line_class").isin("structural", "system"), 1)
-        .when(F.col("line_class").isin("message", "flat_list"), F.greatest(made, F.lit(1)))
-        .when(F.col("line_class") == "flat", made)
+        F.when(duplicate | line_class.isin("structural", "system"), 1)
+        .when(line_class.isin("message", "flat_list"), F.greatest(made, F.lit(1)))
+        .when(line_class == "flat", made)
         .otherwise(0)
     )
-    return rows.withColumns(
-        {
-            "missing": F.when(duplicate, F.col("_no_time")).otherwise(
-                F.concat("_no_time", "_line_missing", lost)
-            ),
-            "parsed_events": credited,
-            "ok": credited > 0,
-        }
-    ).drop("_blocks", "_line_missing", "_no_time", "_object", "_wrapped", "_time", "_session")
+    return rows.withColumns({"parsed_events": credited, "ok": credited > 0}).drop(
+        "_blocks", "_line_missing", "_no_time"
+    )
 
 
 def _mark_duplicates(rows: DataFrame, dedup: str) -> DataFrame:
@@ -554,32 +582,32 @@ def unknown_fingerprints(
     Every line is looked at; ``sampled=True`` keeps only the first ten decoded
     lines and every 500th line of a session.
     """
+    if "fingerprint" not in parsed.columns:
+        parsed = parsed.withColumn("fingerprint", fingerprint(F.col("_v")))
     rows = parsed.filter(~F.col("line_class").isin("malformed", "not_object"))
     if sampled:
         from turnwise.operators.ordered import running_sum
 
-        narrow = rows.select(KEY, CHUNK, "line_no", F.lit(1).alias("_one"), "_v")
         first = Window.partitionBy(KEY).orderBy("line_no")
         burst = (
-            narrow.select(KEY, "line_no", "_v")
+            rows.select(KEY, "line_no", "fingerprint")
             .withColumn("_rank", F.row_number().over(first))
             .filter("_rank <= 10")
             .drop("_rank")
         )
         counted = running_sum(
-            parsed.select(KEY, CHUNK, "line_no", "line_class", "_v"),
+            parsed.select(KEY, CHUNK, "line_no", "line_class", "fingerprint"),
             F.lit(1),
             "_line",
             order=["line_no"],
         )
         stride = counted.filter(
             (F.col("_line") % 500 == 0) & ~F.col("line_class").isin("malformed", "not_object")
-        ).select(KEY, "line_no", "_v")
+        ).select(KEY, "line_no", "fingerprint")
         rows = burst.unionByName(stride)
     known = known_fingerprints() if known is None else list(known)
     return (
-        rows.select(KEY, "line_no", fingerprint(F.col("_v")).alias("fingerprint"))
-        .filter(~F.col("fingerprint").isin(*known))
+        rows.filter(~F.col("fingerprint").isin(*known))
         .groupBy(KEY, "fingerprint")
         .agg(F.min("line_no").alias("first_line_no"), F.countDistinct("line_no").alias("lines"))
     )

@@ -166,7 +166,7 @@ def confusion_matrix(
     return (
         labelled.groupBy(F.col(actual).alias("actual"))
         .pivot(predicted, list(labels))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0)
     )
 

@@ -7,6 +7,7 @@ text, so that results compare across engines.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from turnwise.operators import normalize as N
 from turnwise.operators import ranks
 from turnwise.operators import reports as R
 from turnwise.operators import turns as T
+from turnwise.plans.pipeline import normalise_to_table
 from turnwise.sources import files as files_
 from turnwise.sources import lines as lines_
 from turnwise.sources import sinks, stores
@@ -57,6 +59,10 @@ def six(*names: str) -> dict:
     return {n: F.round(F.col(n).cast("double"), 6) for n in names}
 
 
+def _fresh(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/turnwise/{name}-{uuid.uuid4().hex}"
+
+
 def text_time(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -283,6 +289,11 @@ def _parsed(spark, folder, **options):
     return N.parse_lines(tab.transcript_lines(spark, folder), **options)
 
 
+def _stored(spark, folder):
+    """The parsed lines as a table, for queries that read them more than once."""
+    return normalise_to_table(tab.transcript_lines(spark, folder), _fresh(spark, "parsed"))
+
+
 @query
 def line_outcomes(spark, folder):
     out = _parsed(spark, folder)
@@ -332,7 +343,7 @@ def events_block_dedup(spark, folder):
 
 @query
 def parse_statistics(spark, folder):
-    stats = N.parse_stats(N.line_outcomes(_parsed(spark, folder)))
+    stats = N.parse_stats(N.line_outcomes(_stored(spark, folder)))
     return shape(
         stats, KEY, "total_lines", "parsed_events", "duplicate_count", "session_confidence",
         "parse_confidence", floats=("session_confidence", "parse_confidence"),
@@ -341,12 +352,12 @@ def parse_statistics(spark, folder):
 
 @query
 def missing_field_counts(spark, folder):
-    return N.missing_fields(N.line_outcomes(_parsed(spark, folder)))
+    return N.missing_fields(N.line_outcomes(_stored(spark, folder)))
 
 
 @query
 def drift_code_counts(spark, folder):
-    parsed = _parsed(spark, folder)
+    parsed = _stored(spark, folder)
     rows = N.drift_events(parsed, N.events(parsed))
     return rows.groupBy("level", "code").agg(
         F.count("*").alias("n"), F.count_distinct(KEY).alias("sessions")
@@ -360,7 +371,7 @@ def unknown_line_shapes(spark, folder):
 
 @query
 def unknown_line_shapes_sampled(spark, folder):
-    return N.unknown_fingerprints(_parsed(spark, folder), sampled=True)
+    return N.unknown_fingerprints(_stored(spark, folder), sampled=True)
 
 
 @query
@@ -386,7 +397,7 @@ def typed_field_drift(spark, folder):
 
 @query
 def parse_health_metric(spark, folder):
-    parsed = _parsed(spark, folder)
+    parsed = _stored(spark, folder)
     stats = N.parse_stats(N.line_outcomes(parsed))
     counts = N.events(parsed).groupBy(KEY).agg(F.count("*").alias("event_count"))
     out = M.parse_health(stats, counts)
@@ -407,7 +418,7 @@ def thinking_metric(spark, folder):
 
 @query
 def session_numbers(spark, folder):
-    events = N.events(_parsed(spark, folder))
+    events = N.events(_stored(spark, folder))
     return T.turns(events).groupBy("task_type").agg(
         F.count("*").alias("turns"), F.sum("event_count").alias("events")
     )
@@ -417,7 +428,7 @@ def session_numbers(spark, folder):
 
 
 def _transcript_reports(spark, folder, **options):
-    parsed = _parsed(spark, folder)
+    parsed = _stored(spark, folder)
     return R.session_reports(N.events(parsed), N.line_outcomes(parsed), **options)
 
 
@@ -1040,12 +1051,6 @@ def store_sessions_with_metrics(spark, folder):
 # --------------------------------------------------------------------- sinks
 
 
-def _fresh(spark, name: str) -> str:
-    import uuid
-
-    return f"{scratch_dir(spark)}/turnwise/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def sink_events_json(spark, folder):
     path = _fresh(spark, "events")
@@ -1110,7 +1115,7 @@ def sink_table_versions(spark, folder):
 @query
 def sink_drift(spark, folder):
     path = _fresh(spark, "drift")
-    parsed = _parsed(spark, folder)
+    parsed = _stored(spark, folder)
     sinks.write_drift(N.drift_events(parsed, N.events(parsed)), path)
     return spark.read.parquet(path).groupBy("code").agg(F.count("*").alias("n"))
 

@@ -55,12 +55,13 @@ def stream_lines(
 ) -> DataFrame:
     """Closed transcript chunks from a landing folder, as a stream of lines.
 
-    Files are ``<folder>/<session id>/<chunk no>.jsonl``; a chunk is never
-    appended to.  Line numbers are chunk number * 2^20 + position in the chunk's
-    split, which grows with the session.
+    Files are ``<folder>/<session id>/<chunk no>.jsonl``; the shipper closes a
+    chunk at some megabytes and never appends to it.  Line numbers are chunk
+    number * 2^20 + line in the chunk, which grows with the session.
     """
     raw = (
         spark.readStream.format("text")
+        .option("wholetext", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
         .option("maxBytesPerTrigger", max_bytes)
@@ -68,14 +69,12 @@ def stream_lines(
         .load(folder)
     )
     path = F.col("_metadata.file_path")
-    part = F.regexp_extract(path, r"(\d+)\.jsonl$", 1).cast("long")
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     rows = raw.select(
         F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("session_id"),
-        F.col("value").alias("line"),
-        (F.shiftleft(part, 20) + place).alias("line_no"),
+        F.regexp_extract(path, r"(\d+)\.jsonl$", 1).cast("long").alias("_part"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
-    )
+        F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_pos", "line"),
+    ).withColumn("line_no", F.shiftleft("_part", 20) + F.col("_pos"))
     return rows.select(
         F.concat(F.lit("root-legacy:"), "session_id").alias(KEY),
         "session_id",
