@@ -19,10 +19,9 @@ def pin(df: DataFrame) -> DataFrame:
     it, such as the ``size(blocks) > 0`` it adds under an explode.  For parsed
     JSON that would parse each line once per copy.  A filter on a
     non-deterministic column cannot move, so everything below is computed once.
+    The column ``_pin`` stays for the caller to drop.
     """
-    return (
-        df.withColumn("_pin", F.spark_partition_id()).filter(F.col("_pin") >= 0).drop("_pin")
-    )
+    return df.withColumn("_pin", F.spark_partition_id()).filter(F.col("_pin") >= 0)
 
 
 def field(v: Column, path: str) -> Column:

@@ -51,8 +51,8 @@ _SYSTEM_ENVELOPE = ("type", "timestamp", "session_id", "subtype", "subkind")
 
 
 def canonical_tool(raw: Column) -> Column:
-    pairs = [F.lit(x) for kv in TOOL_ALIASES.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), raw), raw)
+    names = ", ".join(f"'{raw_name}', '{name}'" for raw_name, name in TOOL_ALIASES.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({names})"), raw), raw)
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -235,7 +235,7 @@ def _read_fields(lines: DataFrame) -> DataFrame:
     text = F.when(valid.startswith("{") & valid.endswith("}"), valid).otherwise(
         F.regexp_replace(valid, r"(?U)^\s+|\s+$", "")
     )
-    rows = lines.withColumn("line", text).filter(F.length("line") > 0)
+    rows = V.pin(V.pin(lines).withColumn("line", text)).filter(F.length("line") > 0)
     rows = V.pin(rows.withColumn("_v", F.try_parse_json("line")))
     return V.pin(rows.withColumn("_o", V.members(F.col("_v"), *_TOP)))
 
@@ -371,7 +371,7 @@ def _settle(rows: DataFrame) -> DataFrame:
         .otherwise(0)
     )
     return rows.withColumns({"parsed_events": credited, "ok": credited > 0}).drop(
-        "_blocks", "_line_missing", "_no_time"
+        "_blocks", "_line_missing", "_no_time", "_pin"
     )
 
 

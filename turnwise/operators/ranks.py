@@ -26,7 +26,9 @@ def _bucketed(counts: DataFrame, group: str, value: str, buckets: int) -> DataFr
     points = [i / buckets for i in range(1, buckets)]
     # One row of `buckets` doubles per metric.  Whether it is broadcast is left
     # to the optimiser's size check; the join is on the metric name.
-    cuts = counts.groupBy(group).agg(
+    # The filter keeps `_n` in this branch too, so that both sides ask for the very
+    # same shuffle and Spark runs the input once.
+    cuts = counts.filter(F.col("_n") >= 0).groupBy(group).agg(
         F.array_distinct(F.percentile_approx(value, points, 10_000)).alias("_cuts")
     )
     return counts.join(cuts, group).withColumn("_bucket", _bucket_of(F.col(value))).drop("_cuts")

@@ -889,7 +889,7 @@ def bootstrap_thresholds(spark, folder):
 @query
 def bootstrap_not_ready(spark, folder):
     reports = R.session_reports(tab.tool_events(spark, folder), labels=False)
-    return B.bootstrap(reports, {}, n=1_000_000_000)
+    return B.bootstrap(reports, {}, n=1_000_000)
 
 
 @query

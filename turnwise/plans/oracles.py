@@ -149,16 +149,16 @@ _SPANS = f"""{_SAID},
 phrases(phrase, category, intent, word) AS (VALUES ('the', 'article', 'english article', true),
     ('die', 'article', 'german article', true), ('of the', 'link', 'english link', true),
     ('ing', 'suffix', 'suffix anywhere', false)),
-cut AS (SELECT s.*, p.*, unnest(range(1, length(text) - length(phrase) + 2)) AS at
+cut AS (SELECT s.*, p.*, unnest(range(1, length(text) - length(phrase) + 2)) AS pos
     FROM said s CROSS JOIN phrases p),
-span AS (SELECT session_key, message_index, phrase, category, intent, CAST(at - 1 AS INT) AS start,
-    CAST(at - 1 + length(phrase) AS INT) AS "end", substr(text, at, length(phrase)) AS matched,
-    substr(text, greatest(at - 41, 0) + 1,
-        least(at - 1 + length(phrase) + 40, length(text)) - greatest(at - 41, 0)) AS context_snippet
-    FROM cut WHERE lower(substr(text, at, length(phrase))) = phrase AND (NOT word OR (
-        (at = 1 OR regexp_full_match(substr(text, at - 1, 1), '{_W}'))
-        AND (at + length(phrase) > length(text)
-            OR regexp_full_match(substr(text, at + length(phrase), 1), '{_W}')))))"""
+span AS (SELECT session_key, message_index, phrase, category, intent, CAST(pos - 1 AS INT) AS start,
+    CAST(pos - 1 + length(phrase) AS INT) AS "end", substr(text, pos, length(phrase)) AS matched,
+    substr(text, greatest(pos - 41, 0) + 1,
+        least(pos - 1 + length(phrase) + 40, length(text)) - greatest(pos - 41, 0)) AS context_snippet
+    FROM cut WHERE lower(substr(text, pos, length(phrase))) = phrase AND (NOT word OR (
+        (pos = 1 OR regexp_full_match(substr(text, pos - 1, 1), '{_W}'))
+        AND (pos + length(phrase) > length(text)
+            OR regexp_full_match(substr(text, pos + length(phrase), 1), '{_W}')))))"""
 
 _LABEL = """CASE WHEN n_mutations >= 3 AND n_bash = 0 THEN 'mutation_heavy'
     WHEN n_bash >= 1 AND n_mutations >= 1 THEN 'debug_loop'
@@ -454,10 +454,10 @@ ORACLES: dict[str, str] = {
             CASE WHEN users > 0 THEN CAST(users AS DOUBLE) END AS user_turns,
             CASE WHEN th > 0 THEN {_six('vis / th', 'x').split(' AS x')[0]} END AS thinking_visible_ratio
         FROM e LEFT JOIN r USING (session_key) LEFT JOIN st USING (session_key)""",
-    "reports_in_window": f"""{_LINES}, stop AS (SELECT session_key, min(line_no) AS at FROM ev
+    "reports_in_window": f"""{_LINES}, stop AS (SELECT session_key, min(line_no) AS cut FROM ev
             WHERE ts > TIMESTAMP '2024-01-20' GROUP BY session_key),
         seen AS (SELECT lo.*, row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC) AS b2
-            FROM lo LEFT JOIN stop USING (session_key) WHERE at IS NULL OR line_no < at),
+            FROM lo LEFT JOIN stop USING (session_key) WHERE cut IS NULL OR line_no < cut),
         conf AS (SELECT session_key, count(*) FILTER (WHERE ok) / count(*) AS p FROM seen WHERE b2 <= 200 GROUP BY session_key),
         e AS (SELECT session_key, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS event_count FROM ev
             WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' GROUP BY session_key)
