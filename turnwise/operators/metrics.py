@@ -144,12 +144,8 @@ def read_edit(
 ) -> DataFrame:
     """The read/edit metric with its details, one row per session with tool calls."""
     keys = list(keys)
-    mutation = F.col("category") == "mutation"
-    totals = tool_calls(events, keys).groupBy(*keys).agg(
-        F.count_if(mutation).alias("mutations_total"),
-        F.count_if(mutation & F.col("file_path").isNotNull()).alias("mutations_with_path"),
-        F.count_if(F.col("tool_name").isin(*WRITE_TOOLS)).alias("write_calls"),
-    )
+    calls = events.filter((F.col("kind") == "tool_call") & F.col("tool_name").isNotNull())
+    totals = calls.groupBy(*keys).agg(*_mutation_counts())
     blind = blind_edits(events, cfg=cfg, keys=keys).groupBy(*keys).agg(
         F.count_if("blind").alias("blind_mutations")
     )
@@ -162,6 +158,16 @@ def read_edit(
     return rows.withColumns(read_edit_columns(cfg))
 
 
+def _mutation_counts() -> list[Column]:
+    call = F.col("kind") == "tool_call"
+    mutation = call & F.col("tool_name").isin(*MUTATION_TOOLS)
+    return [
+        F.count_if(mutation).alias("mutations_total"),
+        F.count_if(mutation & F.col("file_path").isNotNull()).alias("mutations_with_path"),
+        F.count_if(call & F.col("tool_name").isin(*WRITE_TOOLS)).alias("write_calls"),
+    ]
+
+
 def read_edit_columns(cfg: MetricConfig = DEFAULTS) -> dict[str, Column]:
     """Derived columns from the read/edit counters; shared with the stream."""
     total = F.col("mutations_total")
@@ -197,34 +203,36 @@ def stop_phrases(
     """Share of messages with a marker, hit counts overall and by category."""
     keys = list(keys)
     counted = spoken(events, keys).select(
-        *keys, text.hit_counts(F.col("text"), phrases).alias("_hits")
+        *keys, "text", text.hit_counts(F.col("text"), phrases).alias("_stop")
     )
+    return counted.groupBy(*keys).agg(*_stop_counts(phrases)).withColumns(stop_columns(cfg))
+
+
+def _stop_counts(phrases: Sequence[Phrase]) -> list[Column]:
+    """Aggregates over ``text`` and ``_stop`` (null on rows that are no message)."""
     categories = sorted({p.category for p in phrases})
-    per_category = {}
+    per_category = []
     for c in categories:
-        places = [i for i, p in enumerate(phrases) if p.category == c]
-        per_category[c] = F.coalesce(
-            F.sum(sum((F.col("_hits")[i] for i in places[1:]), F.col("_hits")[places[0]])), F.lit(0)
-        )
-    total = text.hit_total(F.col("_hits"))
-    out = counted.groupBy(*keys).agg(
-        F.count("*").alias("messages"),
+        first, *rest = [F.col("_stop")[i] for i, p in enumerate(phrases) if p.category == c]
+        per_category.append(F.coalesce(F.sum(sum(rest, first)), F.lit(0)))
+    total = text.hit_total(F.col("_stop"))
+    return [
+        F.count_if(F.length("text") > 0).alias("messages"),
         F.count_if(total > 0).alias("messages_with_hit"),
         F.sum(total).alias("hits"),
         F.map_filter(
-            F.map_from_arrays(
-                F.array(*[F.lit(c) for c in categories]), F.array(*per_category.values())
-            ),
+            F.map_from_arrays(F.array(*[F.lit(c) for c in categories]), F.array(*per_category)),
             lambda _, n: n > 0,
         ).alias("hits_by_category"),
-    )
-    return out.withColumns(
-        {
-            "stop_phrase": F.col("messages_with_hit") / F.greatest(F.col("messages"), F.lit(1)),
-            "stop_phrase_severity": bands.stop_severity(F.col("hits"), cfg),
-            "stop_phrase_label": F.format_string("%d stop-phrase hit(s)", F.col("hits")),
-        }
-    )
+    ]
+
+
+def stop_columns(cfg: MetricConfig = DEFAULTS) -> dict[str, Column]:
+    return {
+        "stop_phrase": F.col("messages_with_hit") / F.greatest(F.col("messages"), F.lit(1)),
+        "stop_phrase_severity": bands.stop_severity(F.col("hits"), cfg),
+        "stop_phrase_label": F.format_string("%d stop-phrase hit(s)", F.col("hits")),
+    }
 
 
 def phrase_hits(
@@ -296,24 +304,37 @@ def reasoning_loops(
     keys = list(keys)
     said = (F.col("kind") == "assistant") & (F.length("text") > 0)
     rows = events.filter((F.col("kind") == "tool_call") | said).select(
-        *keys,
-        CHUNK,
-        SEQ,
-        F.col("kind"),
-        F.when(said, text.hit_total(text.hit_counts(F.col("text"), phrases))).alias("_n"),
+        *keys, "kind", F.when(said, _loop_hits(phrases)).alias("_loop")
     )
-    totals = rows.groupBy(*keys).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("loop_matches"),
-        F.count_if(F.col("kind") == "tool_call").alias("tool_calls"),
-    )
-    bursts = longest_run(rows.filter(F.col("_n").isNotNull()), F.col("_n") > 0, "max_burst", keys=keys)
     return (
-        totals.join(bursts, keys, "left")
+        rows.groupBy(*keys)
+        .agg(*_loop_counts())
+        .join(bursts(events, phrases=phrases, keys=keys), keys, "left")
         .withColumn("max_burst", F.coalesce("max_burst", F.lit(0)))
         .withColumns(loop_columns(cfg))
     )
 
 
+def _loop_hits(phrases: Sequence[Phrase]) -> Column:
+    return text.hit_total(text.hit_counts(F.col("text"), phrases))
+
+
+def _loop_counts() -> list[Column]:
+    return [
+        F.coalesce(F.sum("_loop"), F.lit(0)).alias("loop_matches"),
+        F.count_if(F.col("kind") == "tool_call").alias("tool_calls"),
+    ]
+
+
+def bursts(
+    events: DataFrame, *, phrases: Sequence[Phrase] = LOOP_PHRASES, keys: Keys = (KEY,)
+) -> DataFrame:
+    """Longest run of consecutive messages that contain a phrase (a yes/no test)."""
+    hit = F.col("text").rlike(text.any_pattern(phrases))
+    rows = spoken(events, keys).select(*keys, CHUNK, SEQ, hit.alias("_said"))
+    return longest_run(rows, F.col("_said"), "max_burst", keys=keys)
+
+
 def loop_columns(cfg: MetricConfig = DEFAULTS) -> dict[str, Column]:
     rate = F.col("loop_matches") * 1000.0 / F.greatest(F.col("tool_calls"), F.lit(1))
     unit = F.when(F.col("tool_calls") < cfg.loop_min_calls, "warming up").otherwise("tool calls")
@@ -332,22 +353,32 @@ def thinking(events: DataFrame, *, keys: Keys = (KEY,)) -> DataFrame:
 
     ``median`` keeps one counter per distinct length, not per block.
     """
-    shown = ~F.coalesce(F.col("redacted"), F.lit(False))
+    rows = events.filter(F.col("kind") == "thinking").groupBy(*keys).agg(*_thinking_counts())
+    return rows.withColumns(thinking_columns())
+
+
+def _thinking_counts() -> list[Column]:
+    block = F.col("kind") == "thinking"
+    shown = block & ~F.coalesce(F.col("redacted"), F.lit(False))
     size = F.when(shown & (F.col("thinking_len") > 0), F.col("thinking_len"))
-    sign = F.when(F.length("signature") > 0, F.length("signature"))
-    out = events.filter(F.col("kind") == "thinking").groupBy(*keys).agg(
-        F.count("*").alias("thinking_blocks"),
+    sign = F.when(block & (F.length("signature") > 0), F.length("signature"))
+    return [
+        F.count_if(block).alias("thinking_blocks"),
         F.count_if(shown).alias("visible_blocks"),
         F.median(size).alias("visible_chars_median"),
         F.median(sign).alias("signature_chars_median"),
-    )
-    return out.withColumns(
-        {
-            "redacted_blocks": F.col("thinking_blocks") - F.col("visible_blocks"),
-            "thinking": F.col("visible_blocks") / F.col("thinking_blocks"),
-            "thinking_label": F.format_string("%d/%d visible", "visible_blocks", "thinking_blocks"),
-        }
-    )
+    ]
+
+
+def thinking_columns() -> dict[str, Column]:
+    some = F.col("thinking_blocks") > 0
+    return {
+        "redacted_blocks": F.col("thinking_blocks") - F.col("visible_blocks"),
+        "thinking": F.coalesce(F.try_divide("visible_blocks", "thinking_blocks"), F.lit(0.0)),
+        "thinking_label": F.when(
+            some, F.format_string("%d/%d visible", "visible_blocks", "thinking_blocks")
+        ).otherwise("no thinking blocks"),
+    }
 
 
 def prompts(events: DataFrame, *, keys: Keys = (KEY,)) -> DataFrame:
@@ -362,6 +393,10 @@ def parse_health(
 ) -> DataFrame:
     """Band of the rolling parse confidence; field counts only when critical."""
     rows = stats.join(event_counts.select(*keys, "event_count"), list(keys), "left")
+    return with_parse_health(rows, cfg)
+
+
+def with_parse_health(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
     bad = bands.health_critical(
         F.col("total_lines"),
         F.coalesce(F.col("event_count"), F.lit(0)),
@@ -435,19 +470,37 @@ def snapshots(
 ) -> DataFrame:
     """Wide per-session row: values, severities, labels and details of every metric.
 
-    ``stats`` is ``normalize.parse_stats``; without it the parse confidence is 1.
-    Metrics that were not selected are not planned.
+    All order-free counts of all metrics come from one aggregation over the
+    events; only the last calls, the blind edits and the bursts are branches of
+    their own.  ``stats`` is ``normalize.parse_stats``; without it the parse
+    confidence is 1.  Metrics that were not selected are not planned.
     """
     keys = list(keys)
     chosen = (registry or MetricRegistry()).select(metrics)
-    base = events.groupBy(*keys).agg(
+    said = (F.col("kind") == "assistant") & (F.length("text") > 0)
+    aggs = [
         F.count("*").alias("event_count"),
         F.min_by("ts", SEQ).alias("started_at"),
         F.max_by("ts", SEQ).alias("ended_at"),
         F.max(F.when(F.col("ts_resolved"), F.col("ts"))).alias("last_resolved_at"),
-        F.count_if(F.col("kind") == "user").alias("prompts"),
-    )
-    rows = base if "prompts" in chosen else base.drop("prompts")
+    ]
+    counted = {}
+    if "prompts" in chosen:
+        aggs.append(F.count_if(F.col("kind") == "user").alias("prompts"))
+    if "read_edit_ratio" in chosen:
+        aggs += _mutation_counts()
+    if "stop_phrase" in chosen:
+        counted["_stop"] = F.when(said, text.hit_counts(F.col("text"), stop))
+        aggs += _stop_counts(stop)
+    if "reasoning_loop" in chosen:
+        counted["_loop"] = F.when(said, _loop_hits(loop))
+        aggs += _loop_counts()
+    if "thinking" in chosen:
+        aggs += _thinking_counts()
+    if "stop_phrase" in chosen:
+        # Texts that are not assistant messages do not count as messages.
+        counted["text"] = F.when(said, F.col("text"))
+    rows = events.withColumns(counted).groupBy(*keys).agg(*aggs)
     if stats is None:
         rows = rows.withColumns(
             {
@@ -458,54 +511,34 @@ def snapshots(
             }
         )
     else:
-        health = parse_health(stats, base, cfg=cfg, keys=keys).drop("event_count")
-        rows = rows.join(health, keys, "left")
-    parts = {
-        "read_edit_ratio": lambda: read_edit(events, cfg=cfg, keys=keys),
-        "stop_phrase": lambda: stop_phrases(events, phrases=stop, cfg=cfg, keys=keys),
-        "reasoning_loop": lambda: reasoning_loops(events, phrases=loop, cfg=cfg, keys=keys),
-        "thinking": lambda: thinking(events, keys=keys),
-    }
-    for name, build in parts.items():
-        if name in chosen:
-            rows = rows.join(build(), keys, "left")
-    return rows.withColumns(_quiet_session(chosen))
-
-
-def _quiet_session(chosen: Sequence[str]) -> dict[str, Column]:
-    """Values of a metric for sessions without any event it looks at."""
-    zero = {
-        "read_edit_ratio": {
-            "read_edit_ratio": 0.0,
-            "mutations": 0,
-            "blind_edit_rate": 0.0,
-            "tracking_confidence": 1.0,
-            "read_edit_severity": "ok",
-            "read_edit_label": "warming up",
-        },
-        "stop_phrase": {
-            "stop_phrase": 0.0,
-            "hits": 0,
-            "messages": 0,
-            "messages_with_hit": 0,
-            "stop_phrase_severity": "ok",
-            "stop_phrase_label": "0 stop-phrase hit(s)",
-        },
-        "reasoning_loop": {
-            "reasoning_loop": 0.0,
-            "loop_matches": 0,
-            "tool_calls": 0,
-            "max_burst": 0,
-            "reasoning_loop_severity": "ok",
-            "reasoning_loop_label": "0.0/1k warming up",
-        },
-        "thinking": {"thinking": 0.0, "thinking_blocks": 0, "thinking_label": "no thinking blocks"},
-    }
-    return {
-        col: F.coalesce(F.col(col), F.lit(value))
-        for name in chosen
-        for col, value in zero.get(name, {}).items()
-    }
+        rows = with_parse_health(rows.join(stats, keys, "left"), cfg)
+    if "read_edit_ratio" in chosen:
+        blind = blind_edits(events, cfg=cfg, keys=keys).groupBy(*keys).agg(
+            F.count_if("blind").alias("blind_mutations")
+        )
+        none = {c: F.coalesce(F.col(c), F.lit(0)) for c in (*_WINDOW_COUNTS, "blind_mutations")}
+        ratios = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in _WINDOW_RATIOS}
+        rows = (
+            rows.join(window_counts(events, cfg=cfg, keys=keys), keys, "left")
+            .join(blind, keys, "left")
+            .withColumns({**none, **ratios})
+            .withColumns(read_edit_columns(cfg))
+        )
+    if "stop_phrase" in chosen:
+        rows = rows.withColumns(stop_columns(cfg))
+    if "reasoning_loop" in chosen:
+        rows = (
+            rows.join(bursts(events, phrases=loop, keys=keys), keys, "left")
+            .withColumn("max_burst", F.coalesce("max_burst", F.lit(0)))
+            .withColumns(loop_columns(cfg))
+        )
+    if "thinking" in chosen:
+        rows = rows.withColumns(thinking_columns())
+    return rows
+
+
+_WINDOW_COUNTS = ("reads", "research", "mutations", "other", "window_calls", "classified")
+_WINDOW_RATIOS = ("read_edit_ratio", "research_mutation_ratio")
 
 
 def report_map(chosen: Sequence[str] | None = None) -> Column:
