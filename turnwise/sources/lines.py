@@ -31,7 +31,7 @@ MAX_BROADCAST_SPLITS = 200_000
 def _split_bound(files: DataFrame) -> int:
     """Upper bound on the input splits: one per file and one per full split size."""
     spark = files.sparkSession
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").lower()
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     digits = "".join(c for c in split if c.isdigit())
