@@ -12,7 +12,6 @@ can be is set by the source: :func:`stream_lines` limits the bytes per batch.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -49,8 +48,7 @@ def stream_lines(
     spark: SparkSession,
     folder: str,
     *,
-    max_bytes: str = "256m",
-    max_files: int = 2000,
+    max_bytes: int = 256 << 20,
     span: int = 65_536,
 ) -> DataFrame:
     """Closed transcript chunks from a landing folder, as a stream of lines.
@@ -64,8 +62,7 @@ def stream_lines(
         .option("wholetext", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
-        .option("maxBytesPerTrigger", max_bytes)
-        .option("maxFilesPerTrigger", str(max_files))
+        .option("maxBytesPerTrigger", str(max_bytes))
         .load(folder)
     )
     path = F.col("_metadata.file_path")
@@ -74,7 +71,7 @@ def stream_lines(
         F.regexp_extract(path, r"(\d+)\.jsonl$", 1).cast("long").alias("_part"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_pos", "line"),
-    ).withColumn("line_no", F.shiftleft("_part", 20) + F.col("_pos"))
+    ).withColumn("line_no", F.shiftleft("_part", 20) + F.col("_pos") + 1)
     return rows.select(
         F.concat(F.lit("root-legacy:"), "session_id").alias(KEY),
         "session_id",
@@ -564,10 +561,4 @@ def replay(spark: SparkSession, events: DataFrame, folder: str, *, batches: int
         part.write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(NARROW).parquet(f"{folder}/in")
         run_available(source, f"{folder}/live", f"{folder}/checkpoint", timers=False)
-    return stores.read_latest(spark, f"{folder}/live").withColumn(
-        "read_edit_severity", F.col("read_edit_severity")
-    )
-
-
-def now_ms() -> int:
-    return int(dt.datetime.now(dt.timezone.utc).timestamp() * 1000)
+    return stores.read_latest(spark, f"{folder}/live")
