@@ -27,7 +27,10 @@ def _body(phrase: Phrase) -> str:
         return f"(?:{phrase.text})"
     if phrase.mode == "substring":
         return quote(phrase.text)
-    return rf"(?<!{WORD}){quote(phrase.text)}(?!{WORD})"
+    # The text comes first and its left neighbour is looked at afterwards, so that
+    # most positions fail on one character.
+    body = quote(phrase.text)
+    return rf"{body}(?<!{WORD}{body})(?!{WORD})"
 
 
 def pattern(phrase: Phrase) -> str:

@@ -1164,7 +1164,7 @@ def shifted_times(spark, folder):
 def streamed_reports(spark, folder):
     from turnwise.streaming.live import replay
 
-    out = replay(spark, tab.tool_events(spark, folder), _fresh(spark, "stream"), batches=4)
+    out = replay(spark, tab.tool_events(spark, folder), _fresh(spark, "stream"), batches=2)
     return shape(
         out, KEY, "event_count", "reads", "research", "mutations", "mutations_total",
         "blind_mutations", "read_edit_ratio", "read_edit_severity", floats=("read_edit_ratio",),
