@@ -85,7 +85,8 @@ def _time(column: str, alias: str | None = None) -> str:
 
 
 def _six(expr: str, alias: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {alias}"
+    # Adding zero turns a rounded-away negative number into plain 0.
+    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {alias}"
 
 
 _LINES = f"""WITH {_RAW},
@@ -529,7 +530,7 @@ ORACLES: dict[str, str] = {
     "cohort_trend": f"""{BY_DAY}, c AS (SELECT {_DAYS} AS dimension_value, metric_name, avg(value) AS m, count(*) AS n FROM rl GROUP BY ALL),
         p AS (SELECT *, last_value(CASE WHEN n >= 5 THEN m END IGNORE NULLS) OVER (PARTITION BY metric_name ORDER BY dimension_value
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c)
-        SELECT dimension_value, metric_name, n, 'ok' AS severity, CASE WHEN n >= 5 THEN round(m - prior, 6) END AS delta FROM p""",
+        SELECT dimension_value, metric_name, n, 'ok' AS severity, CASE WHEN n >= 5 THEN round(m - prior, 6) + 0.0 END AS delta FROM p""",
     "cohort_size_distribution": f"""{BY_DAY}, c AS (SELECT {_DAYS} AS d, metric_name, count(*) AS n FROM rl GROUP BY ALL)
         SELECT b AS n_range, (SELECT count(*) FROM c WHERE CASE WHEN n < 5 THEN 'n<5' WHEN n < 10 THEN '5-9'
             WHEN n < 25 THEN '10-24' ELSE '25+' END = b) AS cell_count FROM (SELECT unnest(['n<5', '5-9', '10-24', '25+']) AS b)""",
