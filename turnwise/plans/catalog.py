@@ -634,9 +634,8 @@ def cohort_guarded(spark, folder):
 @query
 def cohort_trend(spark, folder):
     out = C.trend(tab.day_reports(spark, folder), "day")
-    return out.select("dimension_value", "metric_name", "n", "severity").withColumns({}).join(
-        out.select("dimension_value", "metric_name", F.round("delta", 6).alias("delta")),
-        ["dimension_value", "metric_name"],
+    return out.select(
+        "dimension_value", "metric_name", "n", "severity", F.round("delta", 6).alias("delta")
     )
 
 
