@@ -46,3 +46,15 @@ def lower_ascii(text: Column) -> Column:
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
+
+
+def hash_sample(rows: DataFrame, label: str, per_label: int, *identity: str) -> DataFrame:
+    """About ``per_label`` rows of every value of ``label``, by a hash of ``identity``.
+
+    A row's place is a number from 0 to 1; those below 1.5 * per_label / count stay, so
+    no label is gathered or sorted anywhere.  Column ``place`` orders what is left.
+    """
+    counts = saved(rows.groupBy(label).agg(F.count("*").alias("_count")))
+    placed = rows.withColumn("place", F.pmod(F.xxhash64(*identity), F.lit(1 << 40)) / float(1 << 40))
+    kept = placed.join(counts, label).where(F.col("place") * F.col("_count") < 1.5 * per_label)
+    return kept.drop("_count")

@@ -106,32 +106,31 @@ def drop_shared_lines(
     drops = saved(
         found.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("places"))
     )
-    drops = drops.select(
-        F.col("doc_id").alias("_id"),
-        F.col("text_hash").alias("_hash"),
-        F.sort_array("places").alias("_places"),
+    drops = drops.withColumn("places", F.sort_array("places"))
+    # the row itself is one column, so no name of its can clash
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").alias("own_id"),
+        F.xxhash64("text").alias("own_hash"),
+        text_of().alias("own_text"),
     )
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(
+    drops = drops.withColumnsRenamed({"doc_id": "drop_id", "text_hash": "drop_hash"})
+    rows = rows.join(
         drops,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
+        F.col("own_id").eqNullSafe(F.col("drop_id")) & (F.col("own_hash") == F.col("drop_hash")),
         "left",
     )
-    lines = F.split(text_of(), "\n")
-    # The kept stretches between two dropped places, so the work is linear in the lines.
-    edges = F.array_append(F.coalesce("_places", F.array().cast("array<int>")), F.size("_lines"))
-    before = F.concat(F.array(F.lit(-1)), F.coalesce("_places", F.array().cast("array<int>")))
-    stretches = F.zip_with(
-        before, edges, lambda a, b: F.slice(F.col("_lines"), a + 2, b - a - 1)
-    )
-    return (
-        rows.withColumn("_lines", lines)
-        .withColumn(
-            "kept_text",
-            F.when(F.col("_places").isNull(), text_of()).otherwise(
-                F.array_join(F.flatten(stretches), "\n")
-            ),
-        )
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_places"), F.lit(0)).cast("long"))
-        .drop("_text_hash", "_id", "_hash", "_places", "_lines")
+    rows = rows.withColumn("lines", F.split("own_text", "\n"))
+    # the kept stretches between two dropped places, so the work is linear in the lines
+    none = F.array().cast("array<int>")
+    before = F.concat(F.array(F.lit(-1)), F.coalesce("places", none))
+    until = F.array_append(F.coalesce("places", none), F.size("lines"))
+    stretches = F.zip_with(before, until, lambda a, b: F.slice(F.col("lines"), a + 2, b - a - 1))
+    kept = F.when(F.col("places").isNull(), F.col("own_text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
+    results = ("kept_text", "n_lines", "n_dropped")
+    return rows.select(
+        *(F.col(f"row.`{c}`") for c in docs.columns if c not in results),
+        kept.alias("kept_text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -70,7 +70,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
-    rows_per_chunk: int = 2_000,
+    rows_per_chunk: int = 500,
     most_chunks: int = 65_536,
 ) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target, taken: one row per document.
@@ -113,3 +113,45 @@ def mix(
         "target",
         (rounds * F.col("size") + part).cast("long").alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows: a document once per full round, and its first words where the cut is.
+
+    Columns are those of ``docs``; ``n_chars``, where there is one, is counted again.
+    """
+    plan = mix(docs, **options).where("size > 0")
+    plan = saved(
+        plan.groupBy("doc_id", "text_hash", "size")
+        .agg(F.count("*").alias("rows"), F.sum("taken").alias("words"))
+        .where("words > 0")
+    )
+    plan = plan.withColumnsRenamed({c: f"plan_{c}" for c in plan.columns})
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").alias("own_id"),
+        F.xxhash64("text").alias("own_hash"),
+    )
+
+    def joined(some: DataFrame) -> DataFrame:
+        return rows.join(
+            some,
+            F.col("own_id").eqNullSafe(F.col("plan_doc_id")) & (F.col("own_hash") == F.col("plan_text_hash")),
+        )
+
+    # equal rows were added up: one of them stands for all
+    several = saved(plan.where("plan_rows > 1"))
+    found = joined(plan.where("plan_rows = 1")).unionAll(joined(several).dropDuplicates(["own_id", "own_hash"]))
+    full, rest = F.expr("plan_words div plan_size"), F.col("plan_words") % F.col("plan_size")
+    parts = F.concat(
+        F.array_repeat(F.col("plan_size"), full.cast("int")),
+        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
+    )
+    found = found.withColumn("part", F.explode(parts))
+    space = WORD.replace("[^", "[")[:-1]
+    first = F.concat(F.lit(f"^(?:{space}*+{WORD}+){{"), F.col("part").cast("string"), F.lit("}+"))
+    text = F.col("row.text")
+    text = F.when(F.col("part") == F.col("plan_size"), text).otherwise(F.call_function("regexp_extract", text, first, F.lit(0)))
+    found = found.withColumn("new_text", text)
+    again = {"text": F.col("new_text"), "n_chars": F.char_length("new_text").cast("long")}
+    return found.select(*(again.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import exact_dedup, line_dedup, mixing, pii, url_filter
+from turnwise.llm import (
+    exact_dedup,
+    fingerprint,
+    language,
+    line_dedup,
+    mixing,
+    near_dup,
+    pieces,
+    pii,
+    quality,
+    url_filter,
+)
 from turnwise.llm.common import documents
 from turnwise.sources.session import configure
 
@@ -21,6 +34,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(configure(spark), sf_dir)
+    return near_dup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = configure(spark).read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -32,17 +50,50 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(configure(spark), sf_dir).select("doc_id", "text")
+    held_out = quality.held_out()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit_quality(docs.where(~held_out), labels.where(~held_out))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(documents(configure(spark), sf_dir))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(configure(spark), sf_dir).select("doc_id", "text")
+    encoded = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(configure(spark), sf_dir))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(configure(spark), sf_dir).select("doc_id", "text", "lang")
+    held_out = language.held_out()
+    model = language.fit_languages(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
         op2_line_dedup,
+        op3_near_duplicates,
         op4_url_filter,
         op5_mixing,
+        op6_quality,
         op7_personal_data,
+        op8_pieces,
+        op9_fingerprints,
+        op10_language,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
