@@ -222,7 +222,7 @@ class PieceModel:
                 _read(b"".join(surface[i] for i in run)) if of_bytes else b"".join(surface[i] for i in run).decode()
                 for of_bytes, run in itertools.groupby(ids.tolist(), key=self.is_byte.__getitem__)
             )
-        return text[1:] if text.startswith(" ") and not self.is_byte[ids[0]] else text
+        return text[1:] if text.startswith(" ") and not self.is_byte[ids[0]] and ids[0] != self.unknown else text
 
 
 def _read(run: bytes) -> str:
