@@ -63,13 +63,61 @@ def test_listing_prefix_and_changes(spark, tmp_path):
     write(tmp_path, "d.jsonl", ["new"])
     now = files.list_files(spark, str(tmp_path))
     asked = now.join(old.select("path", "prefix_bytes"), "path", "left").withColumn(
-        "n", F.coalesce("prefix_bytes", F.lit(4096))
+        "n", F.coalesce("prefix_bytes", "size")
     )
     now = now.join(files.prefix_hashes(asked, F.col("n")).select("path", "prefix_sha"), "path")
     got = {os.path.basename(r.path): r.change for r in files.classify_changes(old, now).collect()}
     assert got == {"a.jsonl": "APPEND", "b.jsonl": "ROTATE", "c.jsonl": "DELETE", "d.jsonl": "NEW"}
 
 
+def test_a_rewrite_behind_the_first_bytes_is_seen(spark, tmp_path):
+    path = write(tmp_path, "a.jsonl", ["1" * 6000, "old"])
+    first = files.list_files(spark, str(tmp_path))
+    old = first.join(files.prefix_hashes(first), "path").select("path", "size", "prefix_sha", "prefix_bytes")
+    old = spark.createDataFrame(old.collect(), old.schema)
+    assert old.first().prefix_bytes == os.path.getsize(path)
+    write(tmp_path, "a.jsonl", ["1" * 6000, "new", "more"])
+    now = files.list_files(spark, str(tmp_path))
+    asked = now.join(old.select("path", "prefix_bytes"), "path")
+    now = now.join(files.prefix_hashes(asked, F.col("prefix_bytes")).select("path", "prefix_sha"), "path")
+    assert files.classify_changes(old, now).first().change == "ROTATE"
+
+
+def test_walk_batches_leave_no_file_out(spark):
+    listing = spark.range(1000).selectExpr("concat('/logs/', id) as path")
+    batches = files.walk_batches(listing, max_files=100)
+    assert batches.count() == 1000
+    sizes = [r["count"] for r in batches.groupBy("batch").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+    assert files.walk_batches(listing.limit(0)).count() == 0
+
+
+def test_files_of_one_name_are_sessions_of_their_own(spark, tmp_path):
+    write(tmp_path / "p1", "agent-1.jsonl", session(3))
+    write(tmp_path / "p2", "agent-1.jsonl", session(1))
+    lines = S.read_lines(spark, [str(tmp_path / "p1"), str(tmp_path / "p2")], roots=[str(tmp_path)])
+    assert lines.select("session_key").distinct().count() == 2
+    assert lines.select("session_key", "line_no").distinct().count() == lines.count()
+    parsed = N.parse_lines(lines)
+    reports = R.session_reports(N.events(parsed), N.line_outcomes(parsed), labels=False).collect()
+    assert sorted(r.event_count for r in reports) == [4, 6]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_half_written_line_is_read_once_it_is_complete(spark, tmp_path, end):
+    path = tmp_path / "s.jsonl"
+    path.write_bytes(f'{{"n": "é"}}{end}{{"n": 2}}{end}{{"n"'.encode())
+    lines = S.read_lines(spark, str(path))
+    assert [r.complete for r in lines.orderBy("line_no").collect()] == [True, True, False]
+    index = S.index_of(lines)
+    index = spark.createDataFrame(index.collect(), index.schema)
+    assert index.first().lines_done == 2 and S.new_lines(lines, index).count() == 0
+    with open(path, "a", encoding="utf-8", newline="") as handle:
+        handle.write(f": 3}}{end}")
+    assert S.new_lines(S.read_lines(spark, str(path)), index).first().line_no == 3
+    assert S.read_lines(spark, str(path), partial=False).count() == 3
+
+
 def session(n, edits=1):
     out = [L.user(0, "add a thing", mid="u")]
     for i in range(n):
@@ -115,9 +163,9 @@ def test_time_window_and_cut_off(spark):
     midnight = dt.datetime(2026, 1, 2)
     late = R.session_reports(events, outcomes, start=midnight, labels=False).first()
     assert late.event_count == 11 and late.started_at == dt.datetime(2026, 1, 2)
-    early = R.session_reports(events, outcomes, end=midnight, labels=False).first()
+    early = R.session_reports(events, outcomes, end=midnight, cutoff=True, labels=False).first()
     assert early.event_count == 11
-    plain = R.session_reports(events, outcomes, end=midnight, cutoff=False, labels=False).first()
+    plain = R.session_reports(events, outcomes, end=midnight, labels=False).first()
     assert plain.event_count == 12
     outside = R.session_reports(events, outcomes, start=dt.datetime(2027, 1, 1), labels=False)
     assert outside.count() == 0

@@ -166,12 +166,12 @@ def in_window(
     start: dt.datetime | None,
     end: dt.datetime | None,
     *,
-    cutoff: bool = True,
+    cutoff: bool = False,
 ) -> DataFrame:
-    """Events inside [start, end].
+    """Events inside [start, end], wherever they stand in their session.
 
     With ``cutoff`` a session also stops at its first event after ``end``, even
-    if later events fall inside again (reading stops there).
+    if later events fall inside again (a reader that stops there sees no more).
     """
     rows = events
     if end is not None:
@@ -186,7 +186,7 @@ def in_window(
 
 
 def fan_out_windows(
-    events: DataFrame, windows: Sequence[tuple[str, dt.datetime, dt.datetime]], *, cutoff: bool = True
+    events: DataFrame, windows: Sequence[tuple[str, dt.datetime, dt.datetime]], *, cutoff: bool = False
 ) -> DataFrame:
     """Events once per window that contains them, with a ``window`` column.
 
@@ -200,6 +200,10 @@ def fan_out_windows(
         ]
     )
     if not cutoff:
+        if windows:
+            # reaches the scan: nothing outside all windows is read further
+            low, high = min(a for _, a, _ in windows), max(b for _, _, b in windows)
+            events = events.filter(F.col("ts").between(_stamp(low), _stamp(high)))
         fits = F.filter(table, lambda w: (F.col("ts") >= w["_from"]) & (F.col("ts") <= w["_to"]))
         rows = events.withColumn("_w", F.explode(fits))
         return rows.withColumn("window", F.col("_w.window")).drop("_w")
@@ -257,26 +261,20 @@ def identity_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: v for k, v in defaults.items() if k not in have})
 
 
-def session_reports(
+def session_snapshots(
     events: DataFrame,
     outcomes: DataFrame | None = None,
     *,
-    identity: DataFrame | None = None,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
-    cutoff: bool = True,
+    cutoff: bool = False,
     metrics: Sequence[str] | None = None,
     registry: M.MetricRegistry | None = None,
     cfg: MetricConfig = DEFAULTS,
     stop: Sequence[Phrase] = STOP_PHRASES,
     loop: Sequence[Phrase] = LOOP_PHRASES,
-    labels: bool = True,
 ) -> DataFrame:
-    """One report per session with at least one event in the window.
-
-    ``identity`` may give session_key -> session_id, root and project columns,
-    model and permission mode.
-    """
+    """All metric columns of every session with an event in the window."""
     seen = in_window(events, start, end, cutoff=cutoff)
     if outcomes is not None:
         held = outcomes
@@ -285,9 +283,39 @@ def session_reports(
         stats = N.parse_stats(held, window=cfg.confidence_window)
     else:
         stats = None
-    wide = M.snapshots(
+    return M.snapshots(
         seen, stats, metrics=metrics, registry=registry, cfg=cfg, stop=stop, loop=loop
     )
+
+
+def session_reports(
+    events: DataFrame,
+    outcomes: DataFrame | None = None,
+    *,
+    identity: DataFrame | None = None,
+    start: dt.datetime | None = None,
+    end: dt.datetime | None = None,
+    cutoff: bool = False,
+    metrics: Sequence[str] | None = None,
+    registry: M.MetricRegistry | None = None,
+    cfg: MetricConfig = DEFAULTS,
+    stop: Sequence[Phrase] = STOP_PHRASES,
+    loop: Sequence[Phrase] = LOOP_PHRASES,
+    labels: bool = True,
+    wide: DataFrame | None = None,
+) -> DataFrame:
+    """One report per session with at least one event in the window.
+
+    ``wide`` may hold what :func:`session_snapshots` gave for the same options.
+
+    ``identity`` may give session_key -> session_id, root and project columns,
+    model and permission mode.
+    """
+    seen = in_window(events, start, end, cutoff=cutoff)
+    if wide is None:
+        wide = session_snapshots(
+            events, outcomes, start=start, end=end, cutoff=cutoff, metrics=metrics, registry=registry, cfg=cfg, stop=stop, loop=loop
+        )
     chosen = [m for m in (registry or M.MetricRegistry()).select(metrics) if m in M.METRICS]
     rows = wide.withColumn("metrics", M.report_map(chosen))
     for name in (registry or M.MetricRegistry()).select(metrics):
@@ -346,7 +374,7 @@ def window_reports(
     windows: Sequence[tuple[str, dt.datetime, dt.datetime]],
     *,
     outcomes: DataFrame | None = None,
-    cutoff: bool = True,
+    cutoff: bool = False,
     cfg: MetricConfig = DEFAULTS,
     stop: Sequence[Phrase] = STOP_PHRASES,
     loop: Sequence[Phrase] = LOOP_PHRASES,

@@ -444,8 +444,7 @@ def transcript_reports(spark, folder):
     )
 
 
-@query
-def reports_in_window(spark, folder):
+def _reports_in_window(spark, folder, **options):
     out = _transcript_reports(
         spark,
         folder,
@@ -453,6 +452,7 @@ def reports_in_window(spark, folder):
         end=dt.datetime(2024, 1, 20),
         metrics=["prompts"],
         labels=False,
+        **options,
     )
     return out.select(
         KEY, text_time("started_at").alias("started_at"), text_time("ended_at").alias("ended_at"),
@@ -460,6 +460,16 @@ def reports_in_window(spark, folder):
     )
 
 
+@query
+def reports_in_window(spark, folder):
+    return _reports_in_window(spark, folder)
+
+
+@query
+def reports_in_window_stopped(spark, folder):
+    return _reports_in_window(spark, folder, cutoff=True)
+
+
 @query
 def reports_by_window(spark, folder):
     out = R.window_reports(tab.tool_events(spark, folder), R.standard_windows(NOW))
@@ -771,7 +781,10 @@ def history_diff(spark, folder):
 
 @query
 def history_diff_next_day(spark, folder):
-    reports = tab.day_reports(spark, folder)
+    # read four times below: the report pipeline runs once
+    path = _fresh(spark, "day-reports")
+    tab.day_reports(spark, folder).select(KEY, "started_at", "metrics").write.parquet(path)
+    reports = spark.read.parquet(path)
     day = F.to_date("started_at")
     user = F.split(F.col(KEY), "-")[0]
     pairs = reports.select(
@@ -941,7 +954,7 @@ def _listing(spark, folder, until: dt.date):
 @query
 def file_changes(spark, folder):
     old = _listing(spark, folder, dt.date(2024, 1, 12)).filter("user_id % 10 != 0")
-    new = _listing(spark, folder, dt.date(2024, 1, 13)).filter("user_id % 9 != 0")
+    new = _listing(spark, folder, dt.date(9999, 1, 1)).filter("user_id % 9 != 0")
     user = F.col("user_id")
     old = old.select("path", "size", F.lit("a").alias("prefix_sha"))
     new = new.select(
@@ -954,16 +967,15 @@ def file_changes(spark, folder):
 
 @query
 def changed_files(spark, folder):
-    new = _listing(spark, folder, dt.date(2024, 1, 13)).select("path", "size", "mtime")
+    new = _listing(spark, folder, dt.date(9999, 1, 1)).select("path", "size", "mtime")
     old = _listing(spark, folder, dt.date(2024, 1, 12)).select("path", "size", "mtime")
     return files_.changed_files(new, old).select("path", "size")
 
 
 @query
 def bounded_listing(spark, folder):
-    new = _listing(spark, folder, dt.date(2024, 1, 13)).select("path", "size")
-    kept, overflow = files_.bounded_walk(new, max_files=25)
-    return kept.join(F.broadcast(overflow))
+    whole = _listing(spark, folder, dt.date(9999, 1, 1)).select("path", "size")
+    return files_.walk_batches(whole, max_files=25)
 
 
 # -------------------------------------------------------------------- stores

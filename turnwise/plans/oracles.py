@@ -252,9 +252,9 @@ _IN_B = "CAST(started_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-30
 _PRE, _POST = "started_at < DATE '2024-01-15'", "started_at >= DATE '2024-01-15'"
 
 _LISTING = """WITH cnt AS (SELECT user_id, count(*) FILTER (WHERE ts < DATE '2024-01-13') AS old_size,
-    count(*) FILTER (WHERE ts < DATE '2024-01-14') AS new_size,
+    count(*) AS new_size,
     max(ts) FILTER (WHERE ts < DATE '2024-01-13') AS old_time,
-    max(ts) FILTER (WHERE ts < DATE '2024-01-14') AS new_time,
+    max(ts) AS new_time,
     '/logs/' || user_id || '.jsonl' AS path FROM events GROUP BY user_id)"""
 
 _FLEET = f"""{BY_USER},
@@ -455,7 +455,15 @@ ORACLES: dict[str, str] = {
             CASE WHEN users > 0 THEN CAST(users AS DOUBLE) END AS user_turns,
             CASE WHEN th > 0 THEN {_six('vis / th', 'x').split(' AS x')[0]} END AS thinking_visible_ratio
         FROM e LEFT JOIN r USING (session_key) LEFT JOIN st USING (session_key)""",
-    "reports_in_window": f"""{_LINES}, stop AS (SELECT session_key, min(line_no) AS cut FROM ev
+    "reports_in_window": f"""{_LINES},
+        conf AS (SELECT session_key, count(*) FILTER (WHERE ok) / count(*) AS p FROM (
+            SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC) AS b2 FROM lo)
+            WHERE b2 <= 200 GROUP BY session_key),
+        e AS (SELECT session_key, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS event_count FROM ev
+            WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' GROUP BY session_key)
+        SELECT session_key, {_time('started_at')}, {_time('ended_at')}, event_count, {_six('p', 'parse_confidence')}
+        FROM e JOIN conf USING (session_key)""",
+    "reports_in_window_stopped": f"""{_LINES}, stop AS (SELECT session_key, min(line_no) AS cut FROM ev
             WHERE ts > TIMESTAMP '2024-01-20' GROUP BY session_key),
         seen AS (SELECT lo.*, row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC) AS b2
             FROM lo LEFT JOIN stop USING (session_key) WHERE cut IS NULL OR line_no < cut),
@@ -653,9 +661,9 @@ ORACLES: dict[str, str] = {
         SELECT path, change, greatest(d, 0) AS growth, d > 3 AS large_growth FROM g""",
     "changed_files": f"""{_LISTING} SELECT path, new_size AS size FROM cnt WHERE new_size > 0
         AND NOT (old_size = new_size AND old_time = new_time) OR (new_size > 0 AND old_size = 0)""",
-    "bounded_listing": f"""{_LISTING}, n AS (SELECT path, new_size AS size FROM cnt WHERE new_size > 0)
-        SELECT path, size, greatest((SELECT count(*) FROM n) - 25, 0) AS overflow_count, (SELECT count(*) FROM n) > 25 AS overflowed
-        FROM n ORDER BY path LIMIT 25""",
+    "bounded_listing": f"""{_LISTING}, n AS (SELECT path, new_size AS size FROM cnt),
+        t AS (SELECT greatest(CAST(ceil(count(*) / 25) AS BIGINT), 1) AS batches FROM n)
+        SELECT path, size, batches, CAST('0x' || md5(path)[1:8] AS BIGINT) % batches AS batch FROM n, t""",
     "store_upsert": f"""{BY_DAY} SELECT CAST(user_id AS VARCHAR) AS session_key, {_time('max(ended_at)', 'updated_at')},
         max_by(event_count, ended_at) AS event_count FROM rep GROUP BY user_id""",
     "store_replace_metrics": f"""{BY_DAY} SELECT session_key, metric_name, {_six('value', 'value')} FROM longm WHERE {_PRE}

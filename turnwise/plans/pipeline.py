@@ -16,6 +16,10 @@ from turnwise.sources import files, sinks, stores
 from turnwise.sources.lines import index_of, quarantine, read_lines, session_identity
 
 
+#: Up to so many changed files are named one by one; beyond, the folder is read and joined.
+LISTED_FILES = 100_000
+
+
 def normalise_to_table(lines: DataFrame, path: str, *, dedup: str = "message") -> DataFrame:
     """Parse the lines once and keep the result as a table.
 
@@ -49,17 +53,28 @@ def ingest(
     todo = listing
     if stored["sessions"] is not None:
         todo = files.changed_files(listing, stored["sessions"], force=force)
-    # The paths to read are the driver's input to the scan, as any file list is.
-    chosen = [row.uri for row in todo.select("uri").toLocalIterator()]
-    if not chosen:
+    count = todo.count()
+    if not count:
         return {n: df for n, df in stored.items() if df is not None}
-    lines, bad = quarantine(read_lines(spark, chosen, roots=roots))
+    if count <= LISTED_FILES:
+        # few files: name them to the scan, so that it opens no others
+        chosen = [row.uri for row in todo.select("uri").toLocalIterator()]
+        lines = read_lines(spark, chosen, roots=roots, partial=False)
+    else:
+        lines = read_lines(spark, paths, roots=roots, partial=False)
+        lines = lines.join(todo.select("path"), "path", "left_semi")
+    lines, bad = quarantine(lines)
     version = (stores.versions(spark, f"{base}/sessions") or [0])[-1] + 1
     parsed = normalise_to_table(lines, f"{base}/parsed/version={version:09d}")
     events, outcomes = N.events(parsed), N.line_outcomes(parsed)
     who = session_identity(parsed, overrides, events)
+    # computed once, for the reports and for the metrics table, with the same options
+    wide = R.session_snapshots(events, outcomes, **{k: v for k, v in options.items() if k != "labels"})
+    where = f"{base}/snapshots/version={version:09d}"
+    wide.write.mode("overwrite").parquet(where)
+    wide = spark.read.parquet(where)
     reports = R.session_reports(
-        events, outcomes, identity=who.drop("path", "file_mtime"), **options
+        events, outcomes, identity=who.drop("path", "file_mtime"), wide=wide, **options
     )
     held = who.select(KEY, "path", "file_mtime").join(
         todo.select("path", "size", "mtime"), "path", "left"
@@ -70,15 +85,18 @@ def ingest(
         .withColumn("updated_at", F.current_timestamp())
         .withColumnRenamed("ended_at", "last_event_time")
     )
-    wide = M.snapshots(events, N.parse_stats(outcomes))
-    metrics = M.snapshot_rows(wide)
+    registry = options.get("registry") or M.MetricRegistry()
+    chosen_metrics = [m for m in registry.select(options.get("metrics")) if m in M.METRICS]
+    metrics = M.snapshot_rows(wide, chosen=chosen_metrics)
     if stored["sessions"] is not None:
         sessions, metrics = stores.upsert_processed(
             stored["sessions"], stored["metrics"], sessions, metrics
         )
     stores.write_version(metrics, f"{base}/metrics", version)
+    # A version's drift replaces what an earlier version said of the same files.
+    seen = parsed.select(KEY).distinct()
+    sinks.write_drift_version(N.drift_events(parsed, events), seen, f"{base}/drift", version)
+    bad.select("path", "line_no").write.mode("overwrite").parquet(f"{base}/quarantine/version={version:09d}")
     # Sessions last: a run that stops before this line is simply done again.
     stores.write_version(sessions, f"{base}/sessions", version)
-    sinks.write_drift(N.drift_events(parsed, events), f"{base}/drift")
-    bad.select("path", "line_no").write.mode("append").parquet(f"{base}/quarantine")
     return {n: stores.read_latest(spark, f"{base}/{n}") for n in ("sessions", "metrics")}

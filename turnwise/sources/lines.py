@@ -24,20 +24,40 @@ def session_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-#: About 200 bytes a row, so at most some 40 MB.
-MAX_BROADCAST_SPLITS = 200_000
+def file_key(path: Column) -> Column:
+    """The file's stem and a mark of its folder; null without a stem."""
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    stem = F.nullif(session_stem(path), F.lit(""))
+    return F.concat(stem, F.lit("@"), F.substring(F.md5(folder), 1, 12))
+
+
+#: About 200 bytes a row, so at most some 200 MB; at the usual 128 MB a split that
+#: is about 128 TB of text.
+MAX_BROADCAST_SPLITS = 1_000_000
+
+
+def _bytes_of(spark: SparkSession, name: str, default: str) -> int:
+    value = spark.conf.get(name, default).lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = "".join(c for c in value if c.isdigit())
+    return int(digits) * next((units[c] for c in value if c in units), 1)
 
 
 def _split_bound(files: DataFrame) -> int:
-    """Upper bound on the input splits: one per file and one per full split size."""
+    """Upper bound on the input splits: one per file and one per full split.
+
+    A split is as large as the setting says unless the input is too small for as many
+    as there are cores; names of files stay in the JVM.
+    """
     spark = files.sparkSession
     size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = "".join(c for c in split if c.isdigit())
-    unit = next((units[c] for c in split if c in units), 1)
-    least = min(int(digits) * unit, 4 << 20)
-    return len(files.inputFiles()) + size // least
+    split = _bytes_of(spark, "spark.sql.files.maxPartitionBytes", "134217728")
+    cost = _bytes_of(spark, "spark.sql.files.openCostInBytes", "4194304")
+    count = len(files._jdf.inputFiles())
+    asked = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    parts = int(asked) if asked else spark.sparkContext.defaultParallelism
+    per_part = (size + count * cost) // max(parts, 1)
+    return count + size // max(1, min(split, max(cost, per_part)))
 
 
 def read_lines(
@@ -47,9 +67,14 @@ def read_lines(
     roots: Sequence[str] | None = None,
     span: int = CHUNK_SPAN,
     glob: str = "*.jsonl",
+    partial: bool = True,
 ) -> DataFrame:
     """One row per line of every transcript under ``paths`` (files, folders, globs).
 
+    Every file is a session of its own: files of one name in different folders have
+    different keys.  ``complete`` is false for a last line without its line end, which
+    may still be being written; without ``partial`` it is left for a later read.
+
     Lines are numbered without moving them: Spark's row id already grows in file
     order inside a split, so it is enough to know each split's first id and how
     many lines the file's earlier splits hold.  That is a count per split, one
@@ -59,13 +84,17 @@ def read_lines(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .option("lineSep", "\n")
+        .text(paths)
     )
     raw = (
         files.select(
             F.col("value").alias("line"),
             F.col("_metadata.file_path").alias("_uri"),
             F.col("_metadata.file_block_start").alias("_block"),
+            F.col("_metadata.file_size").alias("_size"),
             F.col("_metadata.file_modification_time").alias("file_mtime"),
             F.monotonically_increasing_id().alias("_id"),
         )
@@ -75,11 +104,23 @@ def read_lines(
     else:
         def small(df: DataFrame) -> DataFrame:
             return df
-    before = Window.partitionBy("_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_uri")
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         raw.groupBy("_uri", "_block")
-        .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-        .select("_uri", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+        .agg(
+            F.min("_id").alias("_first"),
+            F.count("*").alias("_n"),
+            F.sum(F.octet_length("line") + 1).alias("_bytes"),
+        )
+        .select(
+            "_uri",
+            "_block",
+            "_first",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"),
+            F.sum("_n").over(whole).alias("_lines"),
+            F.sum("_bytes").over(whole).alias("_ends"),
+        )
     )
     rows = raw.join(small(splits), ["_uri", "_block"]).withColumns(
         {
@@ -87,6 +128,11 @@ def read_lines(
             "path": _plain_path(F.col("_uri")),
         }
     )
+    # with a line end behind every line, lines and line ends fill the file exactly
+    last = (F.col("line_no") == F.col("_lines")) & (F.col("_ends") > F.col("_size"))
+    rows = rows.withColumn("complete", ~last)
+    if not partial:
+        rows = rows.filter("complete")
     rows = rows.withColumn("session_id", session_stem(F.col("path")))
     if roots:
         rows = R.match_roots(rows, roots)
@@ -96,12 +142,13 @@ def read_lines(
             {"root_id": F.lit(LEGACY_ROOT), "root_label": F.lit(None).cast("string")}
         )
     return rows.select(
-        R.session_key(F.col("root_id"), F.col("session_id")).alias(KEY),
+        R.session_key(F.col("root_id"), file_key(F.col("path"))).alias(KEY),
         "session_id",
         "root_id",
         "root_label",
         "path",
         "line_no",
+        "complete",
         F.floor(F.col("line_no") / span).alias(CHUNK),
         "line",
         "file_mtime",
@@ -155,13 +202,17 @@ def started_between(
     return lines.join(dropped, KEY, "left_anti")
 
 
+def _complete(lines: DataFrame) -> DataFrame:
+    return lines.filter("complete") if "complete" in lines.columns else lines
+
+
 def new_lines(lines: DataFrame, file_index: DataFrame) -> DataFrame:
-    """Lines past what ``file_index`` (path, lines_done) says was already read."""
+    """Complete lines past what ``file_index`` (path, lines_done) says was already read."""
     done = file_index.select("path", "lines_done")
-    rows = lines.join(done, "path", "left")
+    rows = _complete(lines).join(done, "path", "left")
     return rows.filter(F.col("line_no") > F.coalesce("lines_done", F.lit(0))).drop("lines_done")
 
 
 def index_of(lines: DataFrame) -> DataFrame:
-    """(path, lines_done) after all given lines have been read."""
-    return lines.groupBy("path").agg(F.max("line_no").alias("lines_done"))
+    """(path, lines_done) after all complete lines given have been read."""
+    return _complete(lines).groupBy("path").agg(F.max("line_no").alias("lines_done"))

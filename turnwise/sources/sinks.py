@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import variants as V
@@ -154,6 +154,19 @@ def write_drift(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("code").parquet(path)
 
 
+def write_drift_version(rows: DataFrame, seen: DataFrame, path: str, version: int) -> None:
+    """Drift rows of one ingest and the sessions it read; doing it again replaces both."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows/version={version:09d}")
+    seen.select(KEY).write.mode("overwrite").parquet(f"{path}/seen/version={version:09d}")
+
+
+def read_drift(spark: SparkSession, path: str) -> DataFrame:
+    """Per session, the drift rows of the last ingest that read it."""
+    rows = spark.read.parquet(f"{path}/rows")
+    last = spark.read.parquet(f"{path}/seen").groupBy(KEY).agg(F.max("version").alias("version"))
+    return rows.join(last, [KEY, "version"], "left_semi").drop("version")
+
+
 def write_events(event_rows: DataFrame, path: str) -> None:
     """Event table by day, so date bounds prune folders."""
     event_rows.withColumn("event_date", F.to_date("ts")).write.mode("overwrite").partitionBy(

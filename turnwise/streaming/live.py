@@ -55,7 +55,8 @@ def stream_lines(
 
     Files are ``<folder>/<session id>/<chunk no>.jsonl``; the shipper closes a
     chunk at some megabytes and never appends to it.  Line numbers are chunk
-    number * 2^20 + line in the chunk, which grows with the session.
+    number * 2^22 + line in the chunk, which grows with the session; a chunk or a
+    session too large for that stops the stream with an error.
     """
     raw = (
         spark.readStream.format("text")
@@ -71,7 +72,12 @@ def stream_lines(
         F.regexp_extract(path, r"(\d+)\.jsonl$", 1).cast("long").alias("_part"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_pos", "line"),
-    ).withColumn("line_no", F.shiftleft("_part", 20) + F.col("_pos") + 1)
+    )
+    fits = (F.col("_pos") < (1 << 22) - 1) & (F.col("_part") < 1 << 16)
+    number = F.shiftleft("_part", 22) + F.col("_pos") + 1
+    rows = rows.withColumn(
+        "line_no", F.when(fits, number).otherwise(F.raise_error(F.lit("chunk too large to number its lines")))
+    )
     return rows.select(
         F.concat(F.lit("root-legacy:"), "session_id").alias(KEY),
         "session_id",
@@ -223,7 +229,7 @@ def _median(lengths: list[tuple[int, int]]) -> float | None:
 class SessionState(StatefulProcessor):
     """Counters of one session, advanced by narrow rows in line order."""
 
-    def __init__(self, cfg: MetricConfig = DEFAULTS, *, timers: bool = True, guard_replay: bool = True):
+    def __init__(self, cfg: MetricConfig = DEFAULTS, *, timers: bool = True, guard_replay: bool = False):
         self.cfg = cfg
         self.timers = timers
         self.guard_replay = guard_replay
@@ -436,8 +442,12 @@ class SessionState(StatefulProcessor):
             return
         s = self._load()
         now = timerValues.getCurrentProcessingTimeInMs()
-        last = (s["resolved_us"] or 0) // 1000
-        if now - last >= self.cfg.evict_after * 1000:
+        if s["resolved_us"] is None:
+            # no readable time: the later of the two timers ends the session
+            over = not any(True for _ in self.handle.listTimers())
+        else:
+            over = now - s["resolved_us"] // 1000 >= self.cfg.evict_after * 1000
+        if over:
             yield self._finish(key[0], s)
         else:
             yield self._row(key[0], s, "live", "stale")
@@ -477,10 +487,15 @@ def live_metrics(
     *,
     cfg: MetricConfig = DEFAULTS,
     timers: bool = True,
-    guard_replay: bool = True,
+    guard_replay: bool = False,
     initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Narrow rows -> live and final session rows with all metric columns."""
+    """Narrow rows -> live and final session rows with all metric columns.
+
+    Late rows count like any other.  The checkpoint already keeps a restarted query
+    from reading a file twice; ``guard_replay`` is only for sources that send rows again
+    in order, and skips what lies at or below a session's highest sequence number.
+    """
     use_rocksdb(rows.sparkSession)
     out = rows.groupBy(KEY).transformWithStateInPandas(
         statefulProcessor=SessionState(cfg, timers=timers, guard_replay=guard_replay),
