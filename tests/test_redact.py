@@ -1,7 +1,11 @@
+import json
+
+import lines as L
 import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import anonymize as A
+from turnwise.operators import normalize as N
 
 SHA = "0123456789abcdef0123456789abcdef01234567"
 UUID = "123e4567-e89b-12d3-a456-426614174000"
@@ -42,3 +46,37 @@ def test_tokens_and_project_names(spark):
     assert rows[1].text == ".claude/projects/fixture-2" and rows[2].text is None
     tokens = A.stable_tokens(df, "tool_use_id", "tool").orderBy("seq").collect()
     assert [r.tool_use_id_token for r in tokens] == ["tool-1", "tool-2", "tool-1"]
+
+
+def test_whole_events_are_anonymised(spark):
+    project, secret = "h" * 20, "sk-" + "a1B2" * 6
+    call = {
+        "type": "tool_use",
+        "name": "Bash",
+        "id": "toolu_1",
+        "input": {
+            "command": f"cat /home/ann/.claude/projects/{project}/x {secret}",
+            "nested": [{"timestamp": "2026-01-01T12:00:10Z", "tool_use_id": "toolu_1", "n": 3}],
+        },
+    }
+    items = [
+        L.user(0, "look at /Users/bob/code", mid="u1"),
+        L.assistant(5, call, mid="m" + "Z" * 40),
+        {"type": "system", "timestamp": L.at(9), "subtype": "x", "cwd": f"/home/ann/.claude/projects/{project}"},
+    ]
+    events = N.events(N.parse_lines(L.frame(spark, {"s": items})))
+    before = events.count()
+    clean = A.anonymize_events(events)
+    assert clean.columns == events.columns and clean.count() == before
+    rows = [
+        {c: r[c] for c in r.asDict()} for r in clean.withColumns({c: F.to_json(c) for c in A.NESTED}).orderBy("seq").collect()
+    ]
+    said = json.dumps(rows, default=str)
+    assert not any(x in said for x in ("ann", "bob", secret, project, "toolu_1", "Z" * 40))
+    made = next(r for r in rows if r["input"])
+    nested = json.loads(made["input"])
+    assert "projects/fixture-1/x" in nested["command"] and "/home/user/" in nested["command"]
+    assert nested["nested"][0]["tool_use_id"] == "tool-1" == made["tool_use_id"] and nested["nested"][0]["n"] == 3
+    assert nested["nested"][0]["timestamp"].startswith("2026-01-01T00:00:1")
+    system = next(r for r in rows if r["kind"] == "system")
+    assert json.loads(system["system_payload"])["cwd"].endswith("projects/fixture-1")

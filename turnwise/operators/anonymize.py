@@ -12,6 +12,7 @@ from turnwise.model import CHUNK, KEY, SEQ
 from turnwise.operators.ordered import running_sum
 
 REDACTED = "[REDACTED]"
+# Fixed value: where shifted sessions start.
 BASE_TIME = dt.datetime(2026, 1, 1)
 
 # Home folders, to be replaced by one neutral path.
@@ -39,6 +40,7 @@ LONG_TOKEN = (
     rf"{_WORD}{{32,}}{_END}"
 )
 
+# Fixed value: a project folder and its hash.
 PROJECT_SEGMENT = r"((?:\.claude|claude)/projects/)([A-Za-z0-9_\-]{16,})"
 
 #: Rules (pattern, replacement, text that must occur) for tables whose secrets are
@@ -109,13 +111,18 @@ def stable_tokens(df: DataFrame, column: str, prefix: str, *, keys: Sequence[str
     )
 
 
-def project_tokens(df: DataFrame, column: str) -> DataFrame:
+def project_tokens(df: DataFrame, *columns: str) -> DataFrame:
     """Rewrite ``projects/<hash>`` segments to ``projects/fixture-n`` per session.
 
-    A text may name several projects, so the segments are numbered as rows and
-    put back by a list of the projects named in that text.
+    Numbers follow the first use over all ``columns`` in their order.  A text may name
+    several projects, so the segments are numbered as rows and put back by a list of
+    the projects named in that row.
     """
-    found = F.regexp_extract_all(F.col(column), F.lit(PROJECT_SEGMENT), F.lit(2))
+    found = F.flatten(
+        F.array(
+            *(F.coalesce(F.regexp_extract_all(F.col(c), F.lit(PROJECT_SEGMENT), F.lit(2)), F.array().cast("array<string>")) for c in columns)
+        )
+    )
     named = df.select(KEY, CHUNK, SEQ, F.posexplode(found).alias("_pos", "_hash"))
     first = named.groupBy(KEY, "_hash").agg(
         F.min(F.struct(F.col(SEQ).alias("s"), F.col("_pos").alias("p"), F.col(CHUNK).alias("c"))).alias("_f")
@@ -133,16 +140,19 @@ def project_tokens(df: DataFrame, column: str) -> DataFrame:
         .agg(F.collect_list(F.struct("_hash", "_n")).alias("_map"))
     )
     rows = df.join(per_row, [KEY, SEQ], "left")
-    swapped = F.aggregate(
-        "_map",
-        F.col(column),
-        lambda acc, m: F.regexp_replace(
-            acc,
-            F.concat(F.lit(r"((?:\.claude|claude)/projects/)"), m["_hash"], F.lit(r"(?![A-Za-z0-9_\-])")),
-            F.concat(F.lit("$1fixture-"), m["_n"].cast("string")),
-        ),
-    )
-    return rows.withColumn(column, F.coalesce(swapped, F.col(column))).drop("_map")
+
+    def swapped(column: str) -> Column:
+        return F.aggregate(
+            "_map",
+            F.col(column),
+            lambda acc, m: F.regexp_replace(
+                acc,
+                F.concat(F.lit(r"((?:\.claude|claude)/projects/)"), m["_hash"], F.lit(r"(?![A-Za-z0-9_\-])")),
+                F.concat(F.lit("$1fixture-"), m["_n"].cast("string")),
+            ),
+        )
+
+    return rows.withColumns({c: F.coalesce(swapped(c), F.col(c)) for c in columns}).drop("_map")
 
 
 def shift_times(df: DataFrame, *, base: dt.datetime = BASE_TIME, keys: Sequence[str] = (KEY,)) -> DataFrame:
@@ -165,12 +175,57 @@ def shift_times(df: DataFrame, *, base: dt.datetime = BASE_TIME, keys: Sequence[
     return df.join(starts, [*keys, CHUNK]).withColumn("ts", moved).drop("_start")
 
 
+#: String columns of an event, and those that hold JSON.
+TEXTS = ("text", "file_path", "output", "signature", "message_id", "session_id", "event_session_id", "tool_name_raw", "subkind")
+NESTED = ("input", "system_payload")
+
+# Members whose text is a time to shift or a tool id to replace.
+TIME_KEYS = ("timestamp", "ts", "created_at", "updated_at", "time")
+TOOL_ID_KEYS = ("tool_use_id", "tool_call_id")
+
+
+def _shifted_members(text: Column, offset: Column) -> Column:
+    """Times under a time member, moved by ``offset`` microseconds, in JSON text."""
+    member = r'("(?:' + "|".join(TIME_KEYS) + r')":")(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[^"]*)(")'
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(member), F.lit(2)))
+
+    def move(acc: Column, old: Column) -> Column:
+        moved = F.timestamp_micros(F.unix_micros(old.try_cast("timestamp")) + offset)
+        new = F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return F.replace(acc, F.concat(F.lit(':"'), old, F.lit('"')), F.concat(F.lit(':"'), F.coalesce(new, old), F.lit('"')))
+
+    return F.when(F.size(found) > 0, F.aggregate(found, text, move)).otherwise(text)
+
+
 def anonymize_events(event_rows: DataFrame, **options) -> DataFrame:
-    """The event table with texts redacted, tool ids tokenised and times shifted."""
-    rows = project_tokens(event_rows, "text")
-    rows = redact_columns(rows, ["text", "file_path", "output"], **options)
+    """The event table with every text redacted, ids tokenised and times shifted.
+
+    Projects are numbered over all columns before anything is redacted, nested values
+    are rewritten by member name in their JSON text, and a nested value that would no
+    longer parse is an error, not a null.
+    """
+    texts = [c for c in TEXTS if c in event_rows.columns]
+    nested = [c for c in NESTED if c in event_rows.columns]
+    rows = event_rows.withColumns({c: F.to_json(c) for c in nested})
+    rows = project_tokens(rows, *texts, *nested)
+    rows = shift_times(rows.withColumn("_before", F.col("ts")))
+    offset = F.unix_micros("ts") - F.unix_micros("_before")
+    rows = rows.withColumns({c: _shifted_members(F.col(c), offset) for c in nested}).drop("_before")
     rows = stable_tokens(rows, "tool_use_id", "tool")
-    rows = rows.withColumn("tool_use_id", F.col("tool_use_id_token")).drop("tool_use_id_token")
-    arguments = redact(F.to_json("input"), **options)
-    rows = rows.withColumn("input", F.try_parse_json(arguments))
-    return shift_times(rows)
+    ids = r'("(?:' + "|".join(TOOL_ID_KEYS) + r')":")[^"]*(")'
+    known = F.col("tool_use_id_token")
+    swap = {
+        c: F.when(known.isNotNull(), F.regexp_replace(F.col(c), F.lit(ids), F.concat(F.lit("$1"), known, F.lit("$2")))).otherwise(
+            F.regexp_replace(F.col(c), ids, "$1tool-0$2")
+        )
+        for c in nested
+    }
+    rows = rows.withColumns(swap).withColumn("tool_use_id", known).drop("tool_use_id_token")
+    rows = redact_columns(rows, [*texts, *nested], **options)
+
+    def parsed(column: str) -> Column:
+        value = F.try_parse_json(column)
+        broken = F.raise_error(F.concat(F.lit(f"redaction broke {column}: "), F.col(column))).cast("variant")
+        return F.when(F.col(column).isNotNull() & value.isNull(), broken).otherwise(value)
+
+    return rows.withColumns({c: parsed(c) for c in nested}).select(*event_rows.columns)

@@ -32,7 +32,7 @@ from turnwise.model import (
     MetricConfig,
     Phrase,
 )
-from turnwise.operators.ordered import last_before, longest_run, newest, running_sum
+from turnwise.operators.ordered import longest_run, newest, running_sum
 
 Keys = Sequence[str]
 
@@ -123,19 +123,39 @@ def rolling_ratio(
 def blind_edits(
     events: DataFrame, *, cfg: MetricConfig = DEFAULTS, keys: Keys = (KEY,)
 ) -> DataFrame:
-    """One row per mutation with a path: call number, last read of that path, blind."""
-    keys = list(keys)
-    numbered = running_sum(tool_calls(events, keys), F.lit(1), "call_no", keys=keys)
-    touched = numbered.filter(
+    """One row per mutation with a path: call number, last read of that path, blind.
+
+    Calls move once, to their (session, chunk); there they get their number and the
+    last look at the same file.  Only summaries of a chunk, and of a file in a chunk,
+    cross chunks: how many calls came before, and when the file was last looked at.
+    """
+    keys, start = list(keys), Window.unboundedPreceding
+    columns = [*keys, CHUNK, SEQ, "category", "file_path"]
+    calls = tool_calls(events, keys).select(*columns)
+    looked = F.when(F.col("category").isin("read", "research"), F.col("_n"))
+    here = Window.partitionBy(*keys, CHUNK).orderBy(SEQ)
+    of_file = Window.partitionBy(*keys, CHUNK, "file_path").orderBy(SEQ).rowsBetween(start, -1)
+    local = calls.withColumn("_n", F.row_number().over(here)).withColumn("_seen", F.max(looked).over(of_file))
+    # always true: the branches below then ask for the very same shuffle, which runs once
+    local = local.filter(F.hash(*columns) >= F.lit(-(1 << 31)))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(start, -1)
+    base = local.groupBy(*keys, CHUNK).agg(F.max("_n").alias("_calls"))
+    base = base.select(*keys, CHUNK, F.coalesce(F.sum("_calls").over(earlier), F.lit(0)).alias("_base"))
+    touched = local.filter(
         F.col("file_path").isNotNull() & F.col("category").isin("read", "research", "mutation")
     )
-    looked = F.when(F.col("category") != "mutation", F.col("call_no"))
-    seen = last_before(touched, looked, "last_read", keys=[*keys, "file_path"])
+    chunks = Window.partitionBy(*keys, "file_path").orderBy(CHUNK).rowsBetween(start, -1)
+    files = touched.groupBy(*keys, CHUNK, "file_path").agg(F.max(looked).alias("_last"))
+    carried = files.join(base, [*keys, CHUNK]).select(
+        *keys, CHUNK, "file_path", "_base", F.max(F.col("_last") + F.col("_base")).over(chunks).alias("_carry")
+    )
+    rows = touched.filter(F.col("category") == "mutation").join(carried, [*keys, CHUNK, "file_path"])
     gap = F.col("call_no") - F.col("last_read")
     return (
-        seen.filter(F.col("category") == "mutation")
+        rows.withColumn("call_no", F.col("_n") + F.col("_base"))
+        .withColumn("last_read", F.coalesce(F.col("_seen") + F.col("_base"), "_carry"))
         .withColumn("blind", gap.isNull() | (gap > cfg.blind_edit_window))
-        .drop("category")
+        .drop("category", "_n", "_seen", "_base", "_carry")
     )
 
 

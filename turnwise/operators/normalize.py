@@ -5,8 +5,9 @@ line_no, chunk, line, file_mtime`` plus anything the caller wants to keep.
 
 All work on a line is one narrow projection: the line is parsed to VARIANT once,
 its content blocks become an array of event structs, and whatever was missing
-becomes an array of field names.  The only shuffle is the search for repeated
-message ids, which moves (session, chunk, id, line) and no text.
+becomes an array of field names.  Repeated message ids are searched on narrow rows
+(session, line, id); the ids that do repeat are joined to the parsed lines, which move
+only when those ids are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -226,16 +227,20 @@ def parse_lines(lines: DataFrame, *, dedup: str = "message") -> DataFrame:
     rows = V.pin(_read_fields(lines))
     rows = V.pin(_classify(rows))
     rows = V.pin(_build_blocks(rows))
-    return _settle(_mark_duplicates(rows, dedup))
+    return _settle(_mark_duplicates(rows, lines, dedup))
 
 
-def _read_fields(lines: DataFrame) -> DataFrame:
-    """Parse each line once and take the members the normaliser looks at."""
-    valid = F.make_valid_utf8("line")
-    text = F.when(valid.startswith("{") & valid.endswith("}"), valid).otherwise(
+def _clean(line: Column) -> Column:
+    """Valid UTF-8 without white space at the ends."""
+    valid = F.make_valid_utf8(line)
+    return F.when(valid.startswith("{") & valid.endswith("}"), valid).otherwise(
         F.regexp_replace(valid, r"(?U)^\s+|\s+$", "")
     )
-    rows = V.pin(V.pin(lines).withColumn("line", text)).filter(F.length("line") > 0)
+
+
+def _read_fields(lines: DataFrame) -> DataFrame:
+    """Parse each line once and take the members the normaliser looks at."""
+    rows = V.pin(V.pin(lines).withColumn("line", _clean(F.col("line")))).filter(F.length("line") > 0)
     rows = V.pin(rows.withColumn("_v", F.try_parse_json("line")))
     return V.pin(rows.withColumn("_o", V.members(F.col("_v"), *_TOP)))
 
@@ -375,27 +380,50 @@ def _settle(rows: DataFrame) -> DataFrame:
     )
 
 
-def _mark_duplicates(rows: DataFrame, dedup: str) -> DataFrame:
-    """Add ``duplicate``: an earlier line already carried this message id."""
+def _message_ids(lines: DataFrame) -> DataFrame:
+    """(session, line, message id) by a narrow parse of the lines that can hold an id.
+
+    A member name is written as it is or with an escape, so other lines are not parsed.
+    """
+    rows = V.pin(V.pin(lines).withColumn("line", _clean(F.col("line"))))
+    rows = V.pin(rows.filter(F.col("line").contains('"id"') | F.col("line").contains("\\u")))
+    top = V.members(F.try_parse_json("line"), "type", "role", "message")
+    rows = V.pin(rows.select(KEY, "line_no", top.alias("_o")))
+    kind = F.coalesce(V.string(F.col("_o.type")), V.string(F.col("_o.role")))
+    found = V.string(V.members(F.col("_o.message"), "id")["id"])
+    rows = rows.select(KEY, "line_no", F.when(kind.isin("assistant", "user"), found).alias("message_id"))
+    return V.pin(rows).drop("_pin").filter(F.col("message_id").isNotNull())
+
+
+def _mark_duplicates(rows: DataFrame, lines: DataFrame, dedup: str) -> DataFrame:
+    """Add ``duplicate``: an earlier line already carried this message id.
+
+    The first line of each id that occurs more than once comes from a plain aggregate
+    over narrow rows, which combines map-side however often an id repeats.  Only those
+    ids are joined; lines without an id carry a key of their own, so none is hot.
+    """
     if dedup in ("none", "block"):
         return rows.withColumn("duplicate", F.lit(False))
     scope = [KEY] if dedup == "message" else []
-    order = ["line_no"] if dedup == "message" else [KEY, "line_no"]
-    ids = rows.filter(F.col("message_id").isNotNull()).select(KEY, "line_no", "message_id")
-    # The first line per id comes from a plain aggregate, which combines map-side
-    # however often an id repeats; the joins are on (session, line), which is unique.
-    firsts = ids.groupBy(*scope, "message_id").agg(F.min(F.struct(*order)).alias("_f"))
-    if dedup == "message":
-        firsts = firsts.select(KEY, F.col("_f.line_no"))
-    else:
-        firsts = firsts.select(f"_f.{KEY}", "_f.line_no")
-    repeats = ids.join(firsts, [KEY, "line_no"], "left_anti").select(
-        KEY, "line_no", F.lit(True).alias("_repeat")
+    firsts = (
+        _message_ids(lines)
+        .groupBy(*scope, "message_id")
+        .agg(F.min(F.struct(KEY, "line_no")).alias("_first"), F.count("*").alias("_n"))
+        .filter(F.col("_n") > 1)
+        .select(*scope, F.col("message_id").alias("_id"), F.lit(True).alias("_has_id"), "_first")
+    )
+    own = F.concat_ws("/", KEY, F.col("line_no").cast("string"))
+    rows = rows.withColumns(
+        {
+            "_id": F.coalesce("message_id", own),
+            "_has_id": F.col("message_id").isNotNull(),
+        }
     )
+    here = F.struct(F.col(KEY).alias(KEY), F.col("line_no").alias("line_no"))
     return (
-        rows.join(repeats, [KEY, "line_no"], "left")
-        .withColumn("duplicate", F.coalesce("_repeat", F.lit(False)))
-        .drop("_repeat")
+        rows.join(firsts, [*scope, "_id", "_has_id"], "left")
+        .withColumn("duplicate", F.coalesce(F.col("_first") != here, F.lit(False)))
+        .drop("_id", "_has_id", "_first")
     )
 
 

@@ -8,12 +8,14 @@ summed per metric, and rows are ordered inside one bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: Buckets per group; a bucket of a billion distinct values then holds some hundred thousand.
+BUCKETS = 1024
 
 
 def value_counts(df: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
@@ -23,19 +25,24 @@ def value_counts(df: DataFrame, group: str, value: str, weight: str | None = Non
 
 def _bucketed(counts: DataFrame, group: str, value: str, buckets: int) -> DataFrame:
     """Attach a bucket number to every distinct value."""
-    points = [i / buckets for i in range(1, buckets)]
-    # One row of `buckets` doubles per metric.  Whether it is broadcast is left
-    # to the optimiser's size check; the join is on the metric name.
+    side = max(2, math.isqrt(buckets))
+    points = [i / side**2 for i in range(1, side**2)]
+    # One row of cuts per metric.  Whether it is broadcast is left to the optimiser's
+    # size check; the join is on the metric name.
     # The filter keeps `_n` in this branch too, so that both sides ask for the very
     # same shuffle and Spark runs the input once.
     cuts = counts.filter(F.col("_n") >= 0).groupBy(group).agg(
-        F.array_distinct(F.percentile_approx(value, points, 10_000)).alias("_cuts")
+        F.percentile_approx(value, points, 20_000).alias("_cuts")
     )
-    return counts.join(cuts, group).withColumn("_bucket", _bucket_of(F.col(value))).drop("_cuts")
+    coarse = F.transform(F.sequence(F.lit(side), F.lit(side**2 - 1), F.lit(side)), lambda i: F.get("_cuts", i - 1))
+    cuts = cuts.withColumn("_coarse", coarse)
+    return counts.join(cuts, group).withColumn("_bucket", _bucket_of(F.col(value), side)).drop("_cuts", "_coarse")
 
 
-def _bucket_of(value: Column) -> Column:
-    return F.size(F.filter("_cuts", lambda cut: cut < value))
+def _bucket_of(value: Column, side: int) -> Column:
+    """How many of the ``side``^2 - 1 cuts lie below: first every ``side``-th, then those between."""
+    block = F.size(F.filter("_coarse", lambda cut: cut < value))
+    return block * side + F.size(F.filter(F.slice("_cuts", block * side + 1, side - 1), lambda cut: cut < value))
 
 
 def cumulative_counts(

@@ -935,6 +935,24 @@ def unread_lines(spark, folder):
     return lines_.new_lines(lines, done).groupBy(KEY).agg(F.count("*").alias("lines"))
 
 
+@query
+def file_lines(spark, folder):
+    """Transcripts written as files, one folder per session, and read back with numbers."""
+    path = _fresh(spark, "files")
+    lines = tab.transcript_lines(spark, folder).select(F.col(KEY).alias("session"), "line_no", "line")
+    # a handful of files per session at most: a session is spread by blocks of its lines
+    dealt = lines.repartition("session", F.floor(F.col("line_no") / 1_000_000))
+    ordered = dealt.sortWithinPartitions("session", "line_no").select("session", "line")
+    ordered.write.partitionBy("session").text(path)
+    rows = lines_.read_lines(spark, path, glob="*.txt")
+    session = F.regexp_extract("path", r"/session=([^/]+)/", 1)
+    return rows.groupBy(session.alias("session")).agg(
+        F.count("*").alias("lines"),
+        F.count_if("complete").alias("complete_lines"),
+        F.count_distinct(KEY, "line_no").alias("numbers"),
+    )
+
+
 def _listing(spark, folder, until: dt.date):
     rows = tab.table(spark, folder, "events")
     return (
@@ -1151,6 +1169,13 @@ def redacted_kinds(spark, folder):
     return out.agg(F.sum(n).alias("redactions"), F.count_if(n > 0).alias("documents"))
 
 
+@query
+def anonymised_events(spark, folder):
+    parsed = N.parse_lines(tab.transcript_lines(spark, folder))
+    out = A.anonymize_events(N.events(parsed))
+    return out.select(KEY, SEQ, "kind", "tool_use_id", "message_id", "file_path", text_time("ts").alias("ts"))
+
+
 @query
 def stable_tokens(spark, folder):
     rows = tab.table(spark, folder, "events").select(

@@ -652,6 +652,8 @@ ORACLES: dict[str, str] = {
     "unread_lines": """WITH d AS (SELECT user_id, max(event_id) FILTER (WHERE event_id % 1000 < 500) AS done FROM events GROUP BY user_id)
         SELECT CAST(user_id AS VARCHAR) AS session_key, count(*) AS lines FROM events JOIN d USING (user_id)
         WHERE event_id > coalesce(done, 0) GROUP BY user_id""",
+    "file_lines": f"""{_LINES} SELECT session_key AS session, count(*) AS lines, count(*) AS complete_lines,
+        count(*) AS numbers FROM ln GROUP BY session_key""",
     "file_changes": f"""{_LISTING}, o AS (SELECT * FROM cnt WHERE old_size > 0 AND user_id % 10 <> 0),
         n AS (SELECT *, CASE WHEN user_id % 8 = 0 THEN 0 ELSE new_size END AS size FROM cnt WHERE new_size > 0 AND user_id % 9 <> 0),
         j AS (SELECT coalesce(o.path, n.path) AS path, o.old_size, n.size, n.user_id, CASE WHEN o.path IS NULL THEN 'NEW' WHEN n.path IS NULL THEN 'DELETE'
