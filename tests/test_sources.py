@@ -6,6 +6,7 @@ import lines as L
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise.operators import metrics as M
 from turnwise.operators import normalize as N
 from turnwise.operators import reports as R
 from turnwise.plans.pipeline import ingest
@@ -149,6 +150,26 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert metric == 2
 
 
+def test_ingest_options_drift_and_failing_metrics(spark, tmp_path):
+    root, base = tmp_path / "logs", str(tmp_path / "out")
+    write(root, "one.jsonl", [*session(4), "{broken"])
+    registry = M.MetricRegistry()
+    registry.register("team.events", lambda ev: ev.groupBy("session_key").agg(F.count("*").alias("value")))
+    registry.register("team.planned", lambda ev: ev.select("no_such_column"))
+    registry.register("team.run", lambda ev: ev.select("session_key", F.raise_error(F.lit("x")).cast("double").alias("value")))
+    wanted = ["prompts", "team.events", "team.planned", "team.run"]
+    for _ in range(2):
+        out = ingest(spark, str(root), base, registry=registry, metrics=wanted, force=True)
+    names = sorted(r.metric_name for r in out["metrics"].collect())
+    assert names == ["parse_health", "prompts", "team.events"]
+    held = out["sessions"].first().metrics
+    assert set(held) == {"parse_health", "user_turns", "team.events"} and held["team.events"] == 7
+    drift = [(r.code, r.context) for r in sinks.read_drift(spark, f"{base}/drift").collect()]
+    assert [c for c, _ in drift].count("malformed_line") == 1
+    failed = {json.loads(x)["collector"] for c, x in drift if c == "collector_unexpected_exception"}
+    assert failed == {"team.planned", "team.run"}
+
+
 def test_time_window_and_cut_off(spark):
     start = dt.datetime(2026, 1, 1, 23, 50, tzinfo=dt.timezone.utc)
 

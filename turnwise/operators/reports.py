@@ -303,10 +303,12 @@ def session_reports(
     loop: Sequence[Phrase] = LOOP_PHRASES,
     labels: bool = True,
     wide: DataFrame | None = None,
+    extras: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One report per session with at least one event in the window.
 
-    ``wide`` may hold what :func:`session_snapshots` gave for the same options.
+    ``wide`` may hold what :func:`session_snapshots` gave for the same options, ``extras``
+    the computed rows of user metrics.
 
     ``identity`` may give session_key -> session_id, root and project columns,
     model and permission mode.
@@ -320,7 +322,9 @@ def session_reports(
     rows = wide.withColumn("metrics", M.report_map(chosen))
     for name in (registry or M.MetricRegistry()).select(metrics):
         if registry is not None and registry.is_extra(name):
-            extra = registry.compute_extra(name, seen).select(KEY, F.col("value").alias("_x"))
+            extra = (extras or {}).get(name)
+            extra = registry.compute_extra(name, seen) if extra is None else extra
+            extra = extra.select(KEY, F.col("value").alias("_x"))
             rows = rows.join(extra, KEY, "left").withColumn(
                 "metrics",
                 F.when(

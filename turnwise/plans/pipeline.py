@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import Any
 
@@ -33,6 +34,28 @@ def normalise_to_table(lines: DataFrame, path: str, *, dedup: str = "message") -
     return lines.sparkSession.read.parquet(path)
 
 
+def isolated_metrics(
+    registry: M.MetricRegistry, names: Sequence[str], events: DataFrame, where: str
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each user metric as a written table of its own, and drift rows of those that fail.
+
+    One that raises, while it is planned or while it runs, costs its own values only.
+    """
+    spark = events.sparkSession
+    found: dict[str, DataFrame] = {}
+    failed = []
+    for name in names:
+        path = f"{where}/{name}"
+        try:
+            registry.compute_extra(name, events).write.mode("overwrite").parquet(path)
+            found[name] = spark.read.parquet(path)
+        except Exception as problem:  # noqa: BLE001 - whatever a user metric raises
+            context = json.dumps({"collector": name, "exception_type": type(problem).__name__})
+            failed.append((None, "error", "collector", "collector_unexpected_exception", None, context))
+    schema = f"{KEY} string, level string, source string, code string, line_no long, context string"
+    return found, spark.createDataFrame(failed, schema)
+
+
 def ingest(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -58,8 +81,8 @@ def ingest(
         return {n: df for n, df in stored.items() if df is not None}
     if count <= LISTED_FILES:
         # few files: name them to the scan, so that it opens no others
-        chosen = [row.uri for row in todo.select("uri").toLocalIterator()]
-        lines = read_lines(spark, chosen, roots=roots, partial=False)
+        named = [row.uri for row in todo.select("uri").toLocalIterator()]
+        lines = read_lines(spark, named, roots=roots, partial=False)
     else:
         lines = read_lines(spark, paths, roots=roots, partial=False)
         lines = lines.join(todo.select("path"), "path", "left_semi")
@@ -68,13 +91,20 @@ def ingest(
     parsed = normalise_to_table(lines, f"{base}/parsed/version={version:09d}")
     events, outcomes = N.events(parsed), N.line_outcomes(parsed)
     who = session_identity(parsed, overrides, events)
+    registry = options.get("registry") or M.MetricRegistry()
+    chosen = registry.select(options.get("metrics"))
+    seen_events = R.in_window(events, options.get("start"), options.get("end"), cutoff=options.get("cutoff", False))
+    extras, failed = isolated_metrics(
+        registry, [n for n in chosen if registry.is_extra(n)], seen_events, f"{base}/extra/version={version:09d}"
+    )
+    options["metrics"] = [n for n in chosen if n in extras or not registry.is_extra(n)]
     # computed once, for the reports and for the metrics table, with the same options
     wide = R.session_snapshots(events, outcomes, **{k: v for k, v in options.items() if k != "labels"})
     where = f"{base}/snapshots/version={version:09d}"
     wide.write.mode("overwrite").parquet(where)
     wide = spark.read.parquet(where)
     reports = R.session_reports(
-        events, outcomes, identity=who.drop("path", "file_mtime"), wide=wide, **options
+        events, outcomes, identity=who.drop("path", "file_mtime"), wide=wide, extras=extras, **options
     )
     held = who.select(KEY, "path", "file_mtime").join(
         todo.select("path", "size", "mtime"), "path", "left"
@@ -85,9 +115,11 @@ def ingest(
         .withColumn("updated_at", F.current_timestamp())
         .withColumnRenamed("ended_at", "last_event_time")
     )
-    registry = options.get("registry") or M.MetricRegistry()
-    chosen_metrics = [m for m in registry.select(options.get("metrics")) if m in M.METRICS]
-    metrics = M.snapshot_rows(wide, chosen=chosen_metrics)
+    metrics = M.snapshot_rows(wide, chosen=[m for m in options["metrics"] if m in M.METRICS])
+    for rows in extras.values():
+        metrics = metrics.unionByName(
+            rows.withColumns({"severity": F.lit("ok"), "label": F.lit(None).cast("string")})
+        )
     if stored["sessions"] is not None:
         sessions, metrics = stores.upsert_processed(
             stored["sessions"], stored["metrics"], sessions, metrics
@@ -95,7 +127,8 @@ def ingest(
     stores.write_version(metrics, f"{base}/metrics", version)
     # A version's drift replaces what an earlier version said of the same files.
     seen = parsed.select(KEY).distinct()
-    sinks.write_drift_version(N.drift_events(parsed, events), seen, f"{base}/drift", version)
+    drift = N.drift_events(parsed, events).unionByName(failed)
+    sinks.write_drift_version(drift, seen, f"{base}/drift", version)
     bad.select("path", "line_no").write.mode("overwrite").parquet(f"{base}/quarantine/version={version:09d}")
     # Sessions last: a run that stops before this line is simply done again.
     stores.write_version(sessions, f"{base}/sessions", version)

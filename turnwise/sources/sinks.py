@@ -161,10 +161,11 @@ def write_drift_version(rows: DataFrame, seen: DataFrame, path: str, version: in
 
 
 def read_drift(spark: SparkSession, path: str) -> DataFrame:
-    """Per session, the drift rows of the last ingest that read it."""
+    """Per session, the drift rows of the last ingest that read it; without one, all."""
     rows = spark.read.parquet(f"{path}/rows")
     last = spark.read.parquet(f"{path}/seen").groupBy(KEY).agg(F.max("version").alias("version"))
-    return rows.join(last, [KEY, "version"], "left_semi").drop("version")
+    held = rows.join(last, [KEY, "version"], "left_semi").select(rows.columns)
+    return held.unionByName(rows.filter(F.col(KEY).isNull())).drop("version")
 
 
 def write_events(event_rows: DataFrame, path: str) -> None:
