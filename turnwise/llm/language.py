@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.common import hash_sample, remainder
 
-#: Length of the feature vectors.
-WIDTH = 1 << 14
+#: Length of the feature vectors, as a power of two.
+BITS = 13
+WIDTH = 1 << BITS
 #: Characters taken together; a text of any length is a sum of blocks.
 BLOCK = 1 << 20
 
@@ -55,10 +56,10 @@ def features(text: str) -> np.ndarray:
             tail = codes[size - 1 :]
             mixed = (mixed[: len(tail)] if size == 1 else mixed[:-1]) * np.uint64(0x9E3779B97F4A7C15) + tail
             hashed = (mixed + np.uint64(size)) * np.uint64(0xFF51AFD7ED558CCD)
-            counts += np.bincount((hashed >> np.uint64(50)).astype(np.int64), minlength=WIDTH)
+            counts += np.bincount((hashed >> np.uint64(64 - BITS)).astype(np.int64), minlength=WIDTH)
     counts = np.sqrt(counts)
     norm = np.sqrt(counts @ counts)
-    return counts / norm if norm else counts
+    return (counts / norm if norm else counts).astype(np.float32)
 
 
 def fit_machine(rows: np.ndarray, positive: np.ndarray, rounds: int = 60, c: float = 10.0) -> np.ndarray:
@@ -68,8 +69,8 @@ def fit_machine(rows: np.ndarray, positive: np.ndarray, rounds: int = 60, c: flo
     """
     sign = np.where(positive, 1.0, -1.0)
     limit = c * len(rows) / 2 / np.where(positive, positive.sum(), (~positive).sum())
-    square = (rows * rows).sum(axis=1) + 1.0
-    alpha, weights, bias = np.zeros(len(rows)), np.zeros(rows.shape[1]), 0.0
+    square = np.einsum("ij,ij->i", rows, rows) + 1.0
+    alpha, weights, bias = np.zeros(len(rows)), np.zeros(rows.shape[1], np.float32), 0.0
     order = np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
@@ -77,7 +78,7 @@ def fit_machine(rows: np.ndarray, positive: np.ndarray, rounds: int = 60, c: flo
             gradient = sign[i] * (rows[i] @ weights + bias) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), limit[i])
             if step := new - alpha[i]:
-                weights += step * sign[i] * rows[i]
+                weights += np.float32(step * sign[i]) * rows[i]
                 bias += step * sign[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -97,7 +98,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.families or not _LETTER.search(text):
             return "und", 0.0
-        x = np.append(features(text), 1.0)
+        x = np.append(features(text), np.float32(1.0))
         score, family = 1.0, self.families[0]
         if len(self.families) > 1:
             share = _shares(self.family_weights @ x)
@@ -158,20 +159,30 @@ def fit_languages(docs: DataFrame, per_language: int = 400) -> LanguageModel:
 
 
 def fit_on(sample: dict[str, list[str]]) -> LanguageModel:
-    rows = {lang: np.array([features(t) for t in texts]) for lang, texts in sorted(sample.items())}
-    if not rows:
+    if not sample:
         return LanguageModel()
-    model = LanguageModel(families_of({lang: r.mean(axis=0) for lang, r in rows.items()}))
+    # one table of rows for all machines, some 13 MB a language; languages are stretches of it
+    names = sorted(sample)
+    rows = np.empty((sum(len(sample[n]) for n in names), WIDTH), np.float32)
+    part, start = {}, 0
+    for name in names:
+        part[name] = np.arange(start, start + len(sample[name]))
+        for text in sample[name]:
+            rows[start] = features(text)
+            start += 1
+    model = LanguageModel(families_of({n: rows[part[n]].mean(axis=0) for n in names}))
     if len(model.families) > 1:
-        everything = np.concatenate([rows[n] for f in model.families for n in f])
-        home = np.concatenate([[k] * len(rows[n]) for k, f in enumerate(model.families) for n in f])
-        model.family_weights = np.array([fit_machine(everything, home == k) for k in range(len(model.families))])
+        home = np.empty(len(rows), np.int64)
+        for k, family in enumerate(model.families):
+            for name in family:
+                home[part[name]] = k
+        model.family_weights = np.array([fit_machine(rows, home == k) for k in range(len(model.families))])
     for family in model.families:
         for a in range(len(family)):
             for b in range(a + 1, len(family)):
-                x, y = rows[family[a]], rows[family[b]]
-                side = np.arange(len(x) + len(y)) < len(x)
-                model.pair_weights[family[a], family[b]] = fit_machine(np.concatenate([x, y]), side)
+                both = rows[np.concatenate([part[family[a]], part[family[b]]])]
+                side = np.arange(len(both)) < len(part[family[a]])
+                model.pair_weights[family[a], family[b]] = fit_machine(both, side)
     return model
 
 
