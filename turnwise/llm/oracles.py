@@ -55,4 +55,77 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM placed
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_line_dedup": OP2, "op5_mixing": OP5}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP3 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN sizes m ON m.doc_id = x JOIN sizes n ON n.doc_id = y
+  WHERE 100 * shared >= 75 * (m.n + n.n - shared)),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.y FROM reached r JOIN links l ON r.b = l.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.least AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT a, min(b) AS least FROM reached GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
+def _op4(rounds: int = 8, damping: float = 0.85, limit: float = 0.5) -> str:
+    """The rounds of the graph written out one after the other."""
+    ctes = []
+    for i in range(rounds):
+        ctes.append(f"""
+s{i + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+  SELECT host, good AS trust, bad AS distrust FROM seeds
+  UNION ALL SELECT dst, share * trust * {damping}::DOUBLE, 0::DOUBLE FROM edges JOIN s{i} ON src = host
+  UNION ALL SELECT src, 0::DOUBLE, back * distrust * {damping}::DOUBLE FROM edges JOIN s{i} ON dst = host)
+  GROUP BY host)""")
+    fits = """CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END"""
+    return rf"""
+WITH parts AS MATERIALIZED (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+named AS (SELECT page_id, html, host, path, {fits} AS rule FROM parts),
+ruled AS MATERIALIZED (
+  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said
+  FROM named),
+seeds AS MATERIALIZED (
+  SELECT host, avg((said IS NOT DISTINCT FROM 'allow')::INT) AS good, avg((said IS NOT DISTINCT FROM 'block')::INT) AS bad
+  FROM ruled WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html,
+    '(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1)), {_LOWER}) AS dst
+  FROM ruled),
+pairs AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND src <> dst GROUP BY ALL),
+edges AS MATERIALIZED (
+  SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share, n / sum(n) OVER (PARTITION BY dst) AS back FROM pairs),
+s0 AS (SELECT host, good AS trust, bad AS distrust FROM seeds),{",".join(ctes)}
+SELECT page_id, r.host, path, rule,
+       coalesce(said, CASE WHEN distrust >= {limit} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN s{rounds} s ON s.host = r.host
+"""
+
+
+ORACLES = {
+    "op1_exact_dedup": OP1,
+    "op2_line_dedup": OP2,
+    "op3_near_duplicates": OP3,
+    "op4_url_filter": _op4(),
+    "op5_mixing": OP5,
+}
