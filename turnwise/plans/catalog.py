@@ -935,6 +935,25 @@ def unread_lines(spark, folder):
     return lines_.new_lines(lines, done).groupBy(KEY).agg(F.count("*").alias("lines"))
 
 
+@query
+def conversation_events(spark, folder):
+    out = N.events(N.parse_lines(tab.conversation_lines(spark, folder)))
+    return out.select(
+        KEY, "line_no", "kind", "event_session_id", "tool_use_id", "is_error", "subkind", "ts_resolved",
+        F.md5(F.coalesce("output", "text", F.lit(""))).alias("said_md5"),
+        F.try_variant_get("system_payload", "$.cwd", "string").alias("cwd"),
+        text_time("ts").alias("ts"),
+    )
+
+
+@query
+def conversation_missing_fields(spark, folder):
+    outcomes = N.line_outcomes(N.parse_lines(tab.conversation_lines(spark, folder)))
+    return outcomes.groupBy("line_class", "ok", F.array_join("missing", ",").alias("missing")).agg(
+        F.count("*").alias("lines")
+    )
+
+
 @query
 def file_lines(spark, folder):
     """Transcripts written as files, one folder per session, and read back with numbers."""

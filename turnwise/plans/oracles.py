@@ -652,6 +652,20 @@ ORACLES: dict[str, str] = {
     "unread_lines": """WITH d AS (SELECT user_id, max(event_id) FILTER (WHERE event_id % 1000 < 500) AS done FROM events GROUP BY user_id)
         SELECT CAST(user_id AS VARCHAR) AS session_key, count(*) AS lines FROM events JOIN d USING (user_id)
         WHERE event_id > coalesce(done, 0) GROUP BY user_id""",
+    "conversation_events": f"""SELECT CAST(conv_id AS VARCHAR) AS session_key, CAST(turn AS BIGINT) AS line_no,
+        ['tool_result', 'system', 'assistant', 'user', 'assistant'][turn % 5 + 1] AS kind,
+        CASE WHEN turn % 5 = 4 THEN 'other' ELSE CAST(conv_id AS VARCHAR) END AS event_session_id,
+        CASE WHEN turn % 5 = 0 THEN 't' || turn END AS tool_use_id,
+        CASE WHEN turn % 5 = 0 THEN turn % 2 = 0 END AS is_error,
+        CASE WHEN turn % 5 = 1 THEN 'note' END AS subkind, turn % 5 <> 3 AS ts_resolved,
+        md5(CASE turn % 5 WHEN 0 THEN coalesce(text, '') || chr(10) || 'more' WHEN 1 THEN '' ELSE coalesce(text, '') END) AS said_md5,
+        CASE WHEN turn % 5 = 1 THEN '/home/user/x' END AS cwd,
+        {_T.format("TIMESTAMP '2024-01-01' + to_seconds(CASE WHEN turn % 5 = 3 THEN 0 ELSE conv_id * 3600 + turn * 60 END)")} AS ts
+        FROM conversations""",
+    "conversation_missing_fields": """SELECT
+        CASE turn % 5 WHEN 1 THEN 'system' WHEN 2 THEN 'flat_list' WHEN 4 THEN 'flat' ELSE 'message' END AS line_class,
+        true AS ok, CASE WHEN turn % 5 = 3 THEN 'timestamp' ELSE '' END AS missing, count(*) AS lines
+        FROM conversations GROUP BY ALL""",
     "file_lines": f"""{_LINES} SELECT session_key AS session, count(*) AS lines, count(*) AS complete_lines,
         count(*) AS numbers FROM ln GROUP BY session_key""",
     "file_changes": f"""{_LISTING}, o AS (SELECT * FROM cnt WHERE old_size > 0 AND user_id % 10 <> 0),

@@ -207,6 +207,53 @@ def transcript_lines(spark: SparkSession, folder: str, *, span: int = CHUNK_SPAN
     )
 
 
+def conversation_lines(spark: SparkSession, folder: str, *, span: int = CHUNK_SPAN) -> DataFrame:
+    """``conversations`` as transcript lines of the rarer shapes; a session is a conversation.
+
+    By turn % 5: a user line with a tool result in parts; a system line with a working
+    folder; an assistant line of role, ts and a list of content; a user line without a
+    time; a flat assistant line that names another session.
+    """
+    rows = table(spark, folder, "conversations")
+    turn, said = F.col("turn"), F.coalesce("text", F.lit(""))
+    sid = F.col("conv_id").cast("string")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + turn * 60)
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def line(**fields: Column) -> Column:
+        return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    def part(value: Column) -> Column:
+        return F.struct(F.lit("text").alias("type"), value.alias("text"))
+
+    result = F.struct(
+        F.lit("tool_result").alias("type"),
+        F.concat(F.lit("t"), turn).alias("tool_use_id"),
+        F.array(part(said), part(F.lit("more"))).alias("content"),
+        (turn % 2 == 0).alias("is_error"),
+    )
+    shapes = (
+        line(type=F.lit("user"), timestamp=stamp, session=sid, message=F.struct(F.array(result).alias("content"))),
+        line(type=F.lit("system"), timestamp=stamp, subtype=F.lit("note"), cwd=F.lit("/home/user/x")),
+        line(role=F.lit("assistant"), ts=stamp, content=F.array(part(said))),
+        line(type=F.lit("user"), message=F.struct(said.alias("content"))),
+        line(type=F.lit("assistant"), timestamp=stamp, session_id=F.lit("other"), text=said),
+    )
+    text = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        text = F.when(turn % 5 == i, shape).otherwise(text)
+    return rows.select(
+        sid.alias(KEY),
+        sid.alias("session_id"),
+        F.lit("root-legacy").alias("root_id"),
+        F.concat(F.lit("/data/projects/c/"), sid, F.lit(".jsonl")).alias("path"),
+        turn.cast("long").alias("line_no"),
+        F.floor(turn / span).alias(CHUNK),
+        text.alias("line"),
+        F.timestamp_seconds(F.lit(1704067200)).alias("file_mtime"),
+    )
+
+
 def day_reports(spark: SparkSession, folder: str, *, span: int = CHUNK_SPAN) -> DataFrame:
     """Reports over user-days, with project, model and mode taken from the user id."""
     from turnwise.operators.reports import session_reports
