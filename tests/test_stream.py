@@ -50,6 +50,15 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
         assert got[sid].duplicate_count == 5
 
 
+def test_chunks_out_of_order_are_all_counted(spark, tmp_path):
+    folder, base, check = (str(tmp_path / n) for n in ("in", "live", "check"))
+    items = [L.user(i, "add it", mid=f"u{i}") for i in range(5)]
+    for part, some in ((1, items[3:]), (0, items[:3])):
+        land(folder, "late", part, some)
+        live.run_available(live.narrow_lines(live.stream_lines(spark, folder)), base, check, timers=False)
+    assert stores.read_latest(spark, base).first().event_count == 5
+
+
 def test_silent_session_is_finished_by_its_timer(spark, tmp_path):
     folder, base, check = (str(tmp_path / n) for n in ("in", "live", "check"))
     land(folder, "old", 0, [L.user(0, "plan it"), L.assistant(1, L.text("done"))])

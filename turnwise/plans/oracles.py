@@ -726,6 +726,10 @@ ORACLES: dict[str, str] = {
     "streamed_reports": f"""{BY_USER} SELECT session_key, event_count, reads, research, mutations, mutations_total, blind_mutations,
         {_six('read_edit_ratio', 'read_edit_ratio')}, CASE WHEN classified < 10 THEN 'ok' WHEN read_edit_ratio < 2 THEN 'critical'
         WHEN read_edit_ratio < 4 THEN 'warn' ELSE 'ok' END AS read_edit_severity FROM metric""",
+    "streamed_late_chunks": f"""{_LINES}, n AS (SELECT session_key, count(*) AS event_count,
+            count(*) FILTER (WHERE tool_name = 'edit') AS mutations_total FROM ev GROUP BY session_key)
+        SELECT 'root-legacy:' || st.session_key AS session_key, coalesce(event_count, 0) AS event_count,
+            coalesce(mutations_total, 0) AS mutations_total, duplicate_count FROM st LEFT JOIN n USING (session_key)""",
     "history_diff_header": f"""{BY_DAY},
         d AS (SELECT *, CAST(floor((epoch_us(ended_at) - epoch_us(started_at)) / 1e6) AS BIGINT) AS secs,
             (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS exact FROM rep JOIN worst USING (session_key)),

@@ -50,10 +50,12 @@ def stream_lines(
     *,
     max_bytes: int = 256 << 20,
     span: int = 65_536,
+    glob: str = "*.jsonl",
 ) -> DataFrame:
     """Closed transcript chunks from a landing folder, as a stream of lines.
 
-    Files are ``<folder>/<session id>/<chunk no>.jsonl``; the shipper closes a
+    Files are ``<folder>/<session id>/<chunk no>.jsonl``, or any one file in
+    ``<folder>/session=<session id>/chunk=<chunk no>/``; the shipper closes a
     chunk at some megabytes and never appends to it.  Line numbers are chunk
     number * 2^22 + line in the chunk, which grows with the session; a chunk or a
     session too large for that stops the stream with an error.
@@ -62,14 +64,17 @@ def stream_lines(
         spark.readStream.format("text")
         .option("wholetext", "true")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", glob)
         .option("maxBytesPerTrigger", str(max_bytes))
         .load(folder)
     )
     path = F.col("_metadata.file_path")
+    named = path.rlike(r"/session=[^/]+/chunk=\d+/[^/]+$")
+    session = F.when(named, F.regexp_extract(path, r"/session=([^/]+)/chunk=", 1))
+    number = F.when(named, F.regexp_extract(path, r"/chunk=(\d+)/[^/]+$", 1))
     rows = raw.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("session_id"),
-        F.regexp_extract(path, r"(\d+)\.jsonl$", 1).cast("long").alias("_part"),
+        F.coalesce(session, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("session_id"),
+        F.coalesce(number, F.regexp_extract(path, r"(\d+)\.jsonl$", 1)).cast("long").alias("_part"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_pos", "line"),
     )
