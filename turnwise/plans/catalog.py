@@ -1243,3 +1243,55 @@ def streamed_late_chunks(spark, folder):
         live.run_available(rows, f"{base}/live", f"{base}/checkpoint", timers=False)
     out = stores.read_latest(spark, f"{base}/live")
     return out.select(KEY, "event_count", "mutations_total", "duplicate_count")
+
+
+# ------------------------------------------------- sinks and lookups by the way
+
+
+@query
+def sink_events_by_day(spark, folder):
+    path = _fresh(spark, "events-by-day")
+    sinks.write_events(tab.tool_events(spark, folder).select(KEY, SEQ, "ts", "tool_name"), path)
+    back = spark.read.parquet(path).filter(F.col("event_date") >= F.lit(dt.date(2024, 1, 10)))
+    return back.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+
+
+@query
+def sink_snapshots(spark, folder):
+    path = _fresh(spark, "snapshots")
+    rows = M.snapshot_rows(M.snapshots(tab.tool_events(spark, folder)))
+    for _ in range(2):
+        sinks.write_snapshots(rows, path)
+    return spark.read.json(path).groupBy("kind", "metric_name").agg(F.count("*").alias("n"))
+
+
+@query
+def migrated_keys(spark, folder):
+    reports = tab.day_reports(spark, folder)
+    sessions, metrics = R.migrate_processed(
+        reports.select("session_id", "event_count"),
+        reports.select("session_id", F.explode("metrics").alias("metric_name", "value")),
+    )
+    per_key = metrics.groupBy(KEY).agg(F.count("*").alias("metrics"))
+    return sessions.join(per_key, KEY).select(KEY, "root_id", "event_count", "metrics")
+
+
+@query
+def paths_without_project(spark, folder):
+    user = F.col("user_id")
+    where = F.when(user % 2 == 0, F.lit("/data/projects/p/")).otherwise(F.lit("/data/other/"))
+    users = tab.table(spark, folder, "events").select("user_id").distinct()
+    return R.unknown_layout(users.select(F.concat(where, user.cast("string"), F.lit(".jsonl")).alias("path")))
+
+
+@query
+def events_until_day(spark, folder):
+    until = R.end_of_day(dt.datetime(2024, 1, 15))
+    rows = R.in_window(tab.tool_events(spark, folder), None, until)
+    return rows.groupBy(KEY).agg(F.count("*").alias("n"))
+
+
+@query
+def store_by_path(spark, folder):
+    sessions = tab.day_reports(spark, folder).withColumn("path", F.concat(F.lit("/logs/"), KEY))
+    return stores.by_path(sessions, "/logs/3-2024-01-05").select(KEY, "path", "event_count")

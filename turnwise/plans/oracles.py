@@ -726,6 +726,18 @@ ORACLES: dict[str, str] = {
     "streamed_reports": f"""{BY_USER} SELECT session_key, event_count, reads, research, mutations, mutations_total, blind_mutations,
         {_six('read_edit_ratio', 'read_edit_ratio')}, CASE WHEN classified < 10 THEN 'ok' WHEN read_edit_ratio < 2 THEN 'critical'
         WHEN read_edit_ratio < 4 THEN 'warn' ELSE 'ok' END AS read_edit_severity FROM metric""",
+    "sink_events_by_day": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events
+        WHERE ts >= DATE '2024-01-10' GROUP BY ALL""",
+    "sink_snapshots": f"""{BY_USER}, n AS (SELECT unnest(['parse_health', 'read_edit_ratio', 'stop_phrase', 'reasoning_loop', 'thinking', 'prompts'])
+        AS metric_name) SELECT 'snapshot' AS kind, metric_name, 2 * (SELECT count(*) FROM metric) AS n FROM n""",
+    "migrated_keys": f"""{BY_DAY} SELECT 'root-legacy:' || session_key AS session_key, 'root-legacy' AS root_id,
+        any_value(event_count) AS event_count, count(*) AS metrics FROM rep JOIN longm USING (session_key) GROUP BY session_key""",
+    "paths_without_project": """SELECT DISTINCT '/data/other/' || user_id || '.jsonl' AS path, 'warn' AS level,
+        'project_layout_unknown' AS code FROM events WHERE user_id % 2 <> 0""",
+    "events_until_day": """SELECT CAST(user_id AS VARCHAR) AS session_key, count(*) AS n FROM events
+        WHERE ts <= TIMESTAMP '2024-01-15 23:59:59' GROUP BY user_id""",
+    "store_by_path": f"""{BY_DAY} SELECT session_key, '/logs/' || session_key AS path, event_count FROM rep
+        WHERE session_key = '3-2024-01-05'""",
     "streamed_late_chunks": f"""{_LINES}, n AS (SELECT session_key, count(*) AS event_count,
             count(*) FILTER (WHERE tool_name = 'edit') AS mutations_total FROM ev GROUP BY session_key)
         SELECT 'root-legacy:' || st.session_key AS session_key, coalesce(event_count, 0) AS event_count,
