@@ -48,6 +48,35 @@ def running_sum(
     )
 
 
+def last_before(
+    df: DataFrame,
+    value: Column,
+    out: str,
+    *,
+    keys: Sequence[str],
+    order: Sequence[str] = (SEQ,),
+) -> DataFrame:
+    """Add ``out`` = largest non-null ``value`` among strictly earlier rows.
+
+    ``value`` has to grow with the order (an index or a time), so that "largest"
+    is also "latest".
+    """
+    keys = list(keys)
+    here = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(_START, -1)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(_START, -1)
+    carry = (
+        df.groupBy(*keys, CHUNK)
+        .agg(F.max(value).alias("_chunk_last"))
+        .select(*keys, CHUNK, F.max("_chunk_last").over(before).alias("_carry"))
+    )
+    return (
+        df.withColumn("_local", F.max(value).over(here))
+        .join(carry, [*keys, CHUNK])
+        .withColumn(out, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry")
+    )
+
+
 def newest(
     df: DataFrame, n: int, *, keys: Sequence[str] = (KEY,), order: Sequence[str] = (SEQ,)
 ) -> DataFrame:
