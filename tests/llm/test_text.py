@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import sys
 import zlib
 
 import public_tokenizers
@@ -365,7 +364,6 @@ def test_pipeline_of_odd_tables(spark, empty):
 
 
 def test_registered():
-    sys.path.insert(0, "/root/repo")
     import __spark_entry__
 
     names = __spark_entry__.queries()
