@@ -150,7 +150,8 @@ def fit_languages(docs: DataFrame, per_language: int = 400) -> LanguageModel:
     """Fit on at most ``per_language`` rows a language, the first by a hash of the row."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     sample: dict[str, list[str]] = {}
-    found = hash_sample(rows, "lang", per_language, "doc_id", "text").collect()
+    # a row that is there many times is learnt from once
+    found = hash_sample(rows, "lang", per_language, "doc_id", "text").distinct().collect()
     for row in sorted(found, key=lambda r: (r["place"], r["text"])):
         texts = sample.setdefault(row["lang"], [])
         if len(texts) < per_language:

@@ -142,6 +142,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Qu
     chosen = saved(hash_sample(rows, "quality", per_label, "doc_id"))
     # about 3 * per_label ids: the side that is sent to all tasks is that small
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)
+    # an id on many rows is learnt from once, from the least of its texts
+    found = found.groupBy("doc_id", "quality", "place").agg(F.min("text").alias("text"))
     texts: dict[int, list[str]] = {0: [], 1: []}
     for row in sorted(found.collect(), key=lambda r: (r["place"], r["doc_id"], r["text"])):
         if len(texts[row["quality"]]) < per_label:
