@@ -21,12 +21,13 @@ import heapq
 import itertools
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 SPACE = "▁"
 
@@ -238,33 +239,45 @@ def _read(run: bytes) -> str:
     return "".join(out)
 
 
-def encode_texts(docs: DataFrame, model_path: str, keep_ids: bool = True, check: bool = True) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256, decoded_sha256, and ids and decoded if kept.
+#: Texts encoded, and rows returned, at once.
+ROWS = 256
 
-    No shuffle; memory is that of one Arrow batch and the segments remembered.
-    """
-    results = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in results]
-    extra = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
-        ", ids array<int>, decoded string" if keep_ids else ""
-    )
-    result = f"struct<{extra.replace(' bigint', ':bigint').replace(' string', ':string').replace(' array<int>', ':array<int>')}>"
-
-    @F.pandas_udf(result)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = PieceModel(model_path, check=check)
-        for batch in batches:
-            texts = [t or "" for t in batch]
-            ids = model.encode_batch(texts)
+
+def _encoded(
+    batches: Iterator[pa.RecordBatch], model_path: str, kept: list[str], keep_ids: bool, check: bool
+) -> Iterator[pa.RecordBatch]:
+    model = PieceModel(model_path, check=check)
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            ids = model.encode_batch([t or "" for t in part["text"].to_pylist()])
             decoded = [model.decode(np.frombuffer(b, "<u4")) for b in ids]
-            columns = {
-                "n_tokens": [len(b) // 4 for b in ids],
-                "ids_sha256": [hashlib.sha256(b).hexdigest() for b in ids],
-                "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
+            columns = {c: part[c] for c in kept} | {
+                "n_tokens": pa.array([len(b) // 4 for b in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in ids]),
+                "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
             }
             if keep_ids:
-                columns |= {"ids": [np.frombuffer(b, "<u4").astype("i4") for b in ids], "decoded": decoded}
-            yield pd.DataFrame(columns)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype("i4"))
+                ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype("i4")
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), flat)
+                columns["decoded"] = pa.array(decoded, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
 
-    rows = docs.select(F.struct(*columns).alias("row"), encoded(F.col("text")).alias("found"))
-    return rows.select("row.*", "found.*")
+def encode_texts(
+    docs: DataFrame, model_path: str, keep_ids: bool = True, check: bool = True, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256, decoded_sha256, and ids and decoded if kept.
+
+    ``keep`` names the columns of ``docs`` to return, all by default.  No shuffle; memory
+    is that of one Arrow batch, the results of ``ROWS`` texts and the segments remembered.
+    """
+    results = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])))
+    schema = StructType([rows.schema[c] for c in kept])
+    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if keep_ids:
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    return rows.mapInArrow(lambda batches: _encoded(batches, model_path, kept, keep_ids, check), schema)

@@ -65,8 +65,8 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(configure(spark), sf_dir).select("doc_id", "text")
-    encoded = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
-    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_texts(docs, model, keep_ids=False, keep=["doc_id"])
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
