@@ -99,6 +99,38 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(rows[i].spans == "" for i in (41, 43, 44, 45))
 
 
+def test_unseen_identifiers_do_not_speak_against_a_context(spark):
+    unseen = 40  # half of the context
+    texts = [f"then call me at 212-555-{1000 + i} thanks" for i in range(unseen)]
+    texts += [f"word{i} lorem call me at +1 (212) 555-{1000 + i} thanks" for i in range(40)]
+    texts += [f"contact: joe{i}@example.com now" for i in range(50)]
+    texts += [f"contact: +1 (646) 555-{1000 + i} now" for i in range(50)]
+    texts += ["contact: 646-555-0101 now", "contact: joe@localhost now"]
+    # strings that fit no kind do: half of this context
+    texts += [f"the item +1 (718) 555-{1000 + i} left" for i in range(6)]
+    texts += [f"the item AB{1000000 + i} left" for i in range(6)] + ["the item 718-555-0101 left"]
+    rows = {r.doc_id: r for r in pii.personal_data_report(as_docs(spark, [""] + texts)).collect()}
+    at = lambda i: rows[i + 1].spans
+    numbers = [i for i in range(unseen) if (i + 1) % 7]
+    assert all(at(i) == "phone:16:28" for i in numbers)
+    both = unseen + 140
+    for i, span in ((both, "phone:9:21"), (both + 1, "email:9:22"), (both + 14, "")):
+        if (i + 1) % 7:
+            assert at(i) == span
+
+
+def test_patterns_are_followed_until_nothing_is_new(spark):
+    """A chain: strings of one context are the seeds of the next one."""
+    texts = [f"alpha +1 (212) 555-{1000 + i}" for i in range(6)]
+    names = ["alpha", "beta", "gamma"]
+    for number, (one, two) in enumerate(zip(names, names[1:])):
+        for i in range(6):
+            phone = f"212-55{number}-{2000 + i}"
+            texts += [f"{one} {phone}", f"{two} {phone}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert all(r.spans for r in pii.personal_data_report(docs).collect())
+
+
 # --- urls --------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 The base finds four kinds by pattern and check.  Its finds are seeds: the words around
 them become lexical patterns, patterns and the identifier-like strings in the same
 contexts form a graph, and Spark scores it in turns: a pattern by how many of its
-strings are known, a string by the patterns it stands in.  Strings that high-confidence
-patterns point at become spans too.  DataFrame functions only.
+strings are known and how many contradict, a string by the patterns it stands in, until
+no string is new.  Strings that high-confidence patterns point at become spans too.
+DataFrame functions only.
 
 Texts are scanned once, into narrow rows of finds; places come from running sums over
 the lengths between finds, so the work is linear in a text of any length.
@@ -148,44 +149,64 @@ def _loose_kind() -> Column:
     )
 
 
+def _contradictions(graph: DataFrame) -> DataFrame:
+    """Per pattern and kind, how many distinct strings speak against the kind.
+
+    Strings whose characters fit no kind speak against all of them, and finds of the base
+    against a kind that they only look like.  Unknown strings that fit say nothing, nor do
+    finds that look like another kind.
+    """
+    loose, looks = F.col("kind") == "loose", F.col("looks")
+    odd = {k: F.when(loose, looks.isNull()).otherwise((looks == k) & (F.col("kind") != k)) for k in KINDS}
+    flags = [F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in odd.items()]
+    sums = graph.groupBy("pattern", "value").agg(*flags).groupBy("pattern").agg(*(F.sum(k).alias(k) for k in KINDS))
+    return sums.select("pattern", F.explode(F.create_map(*(x for k in KINDS for x in (F.lit(k), F.col(k))))).alias("kind", "against"))
+
+
 def discovered(
-    finds: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.9
+    finds: DataFrame, rounds: int | None = None, min_seeds: int = 5, min_confidence: float = 0.9
 ) -> DataFrame:
     """doc_id, text_hash, kind, start, end of spans that trusted patterns point at.
 
     ``finds``: base spans (kind) and identifier-like strings (kind ``loose``) that touch
-    none.  A pattern counts for a kind by the share of its distinct strings known to be
-    of it, with ``min_seeds`` at least; a string is of a kind when a trusted pattern of
-    that kind holds it and its characters fit.
+    none.  A pattern counts for a kind by its distinct strings known to be of it, with
+    ``min_seeds`` at least, against those that contradict; a string is of a kind when a
+    trusted pattern of that kind holds it and its characters fit.  A string's score is
+    set when it is found, so sums only grow, and the turns end when no string is new, or
+    after ``rounds``.
     """
     graph = finds.select(
         "kind", "value", _loose_kind().alias("looks"), F.explode(contexts()).alias("pattern")
     )
-    graph = saved(graph.groupBy("pattern", "value", "kind", "looks").agg(F.count("*").alias("n")))
-    known = graph.where("kind <> 'loose'").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    graph = saved(graph.distinct())
+    pairs = graph.select("pattern", "value").distinct()
     loose = graph.where("kind = 'loose'").select("pattern", "value", "looks")
-    sizes = saved(graph.groupBy("pattern").agg(F.count_distinct("value").alias("n_values")))
-    trusted = None
-    for _ in range(rounds):
-        known = saved(known)
-        edges = graph.select("pattern", "value").distinct().join(known, "value")
-        scored = edges.groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
+    against = saved(_contradictions(graph))
+    fresh = known = graph.where("kind <> 'loose'").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    hits, number = None, 0
+    while True:
+        gain = pairs.join(fresh, "value").select("pattern", "kind", "score")
+        sums = gain if hits is None else hits.withColumnRenamed("hits", "score").unionAll(gain)
+        hits = saved(sums.groupBy("pattern", "kind").agg(F.sum("score").alias("hits")))
         trusted = saved(
-            scored.join(sizes, "pattern")
-            .withColumn("confidence", F.col("hits") / F.col("n_values"))
-            .where((F.col("hits") >= min_seeds) & (F.col("confidence") >= min_confidence))
+            hits.where(F.col("hits") >= min_seeds)
+            .join(against, ["pattern", "kind"])
+            .withColumn("confidence", F.col("hits") / (F.col("hits") + F.col("against")))
+            .where(F.col("confidence") >= min_confidence)
             .select("pattern", F.col("kind").alias("looks"), "confidence")
         )
-        fresh = (
+        number += 1
+        if number == rounds:
+            break
+        fresh = saved(
             loose.join(trusted, ["pattern", "looks"])
             .groupBy("value", F.col("looks").alias("kind"))
             .agg(F.max("confidence").alias("score"))
+            .join(known, ["value", "kind"], "left_anti")
         )
-        known = (
-            known.unionAll(fresh.select("value", "kind", "score"))
-            .groupBy("value", "kind")
-            .agg(F.max("score").alias("score"))
-        )
+        if fresh.isEmpty():
+            break
+        known = saved(known.unionAll(fresh.select(*known.columns)))
     strings = finds.where("kind = 'loose'").select(
         "doc_id", "text_hash", "start", "end", _loose_kind().alias("looks"), F.explode(contexts()).alias("pattern")
     )
@@ -210,7 +231,7 @@ def _trimmed(rows: DataFrame) -> DataFrame:
 
 
 def find_personal_data(
-    docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.9
+    docs: DataFrame, rounds: int | None = None, min_seeds: int = 5, min_confidence: float = 0.9
 ) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text_hash) and the spans: doc_id, text_hash, kind, start, end, base."""
     rows = found_rows(docs)
