@@ -131,6 +131,30 @@ def test_patterns_are_followed_until_nothing_is_new(spark):
     assert all(r.spans for r in pii.personal_data_report(docs).collect())
 
 
+def test_discovered_spans_may_hold_spaces_and_follow_a_word(spark):
+    texts = [f"word{i} call +1 (212) 555-{1000 + i} thanks" for i in range(10)]
+    texts += [f"word{i} tel:+1 (212) 555-{1000 + i} thanks" for i in range(10)]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2220", "6011 0000 0000 0004", "3530 1113 3330 0000"]
+    texts += [f"card {c} ok" for c in cards]
+    wanted = {
+        "call 212 555 0199 thanks": "phone:5:17",
+        "call 020 7946 0958, 3rd floor": "phone:5:18",
+        "call (212) 555-0199.": "phone:5:19",
+        "call 212 - 555 - 0199 4th": "phone:5:21",
+        "card 4111 1111 1111 1112 ok": "card:5:24",
+        "dial tel:2125550199 now": "phone:9:19",
+        "dial tel=(212) 555 0199 now": "phone:9:23",
+        "call 2125550199 2125550188 thanks": "phone:5:15",  # no word between the two
+        "call 1 2 3": "",
+        "in 212 555 0199 cases": "",
+    }
+    n = len(texts)
+    rows = [(i, t) for i, t in enumerate([*texts, *wanted])] + [(n + len(wanted), "1 " * 50_000 + "((- " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.personal_data_report(docs).collect()}
+    assert {t: found[n + i] for i, t in enumerate(wanted)} == wanted
+
+
 # --- urls --------------------------------------------------------------------
 
 

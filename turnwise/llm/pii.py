@@ -37,8 +37,18 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 #: Identifier-like strings, among which patterns may discover new spans: without spaces,
-#: with an at sign or at least seven digits.
+#: with an at sign or at least seven digits; and runs of digit groups joined by single
+#: spaces (or a hyphen between two), dots, hyphens and brackets.  A word before ``:`` or
+#: ``=`` is context.
 LOOSE = r"(?<!\S)[^\s@0-9]*+(?:@|[0-9][^\s0-9@]*+(?:[0-9][^\s0-9@]*+){6}|[0-9][^\s@]*+@)\S*+"
+_LEAD = r"(?:[^\s\p{L}\p{N}@]*+\p{L}[\p{L}_.-]*+[:=])?+[^\s\p{L}\p{N}@]*+"
+_GROUP = r"[0-9]++(?:[().-]{1,2}+[0-9]++)*+(?=[^\s\p{L}\p{N}@]*+(?!\S))"
+RUN = (
+    rf"(?<!\S){_LEAD}(?=(?:[().-]*+(?:\x20(?:-\x20)?+\(?+)?+[0-9]){{7}})"
+    rf"{_GROUP}(?:\)?+\x20(?:-\x20)?+\(?+{_GROUP})++"
+)
+#: Digits a run may have.
+RUN_DIGITS = (7, 19)
 #: Characters of context on either side.
 CONTEXT = 60
 
@@ -61,7 +71,7 @@ def _finds(kind: str) -> Column:
 
 def found_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and all raw matches with their places, one row per match."""
-    patterns = dict(PATTERNS, loose=LOOSE)
+    patterns = dict(PATTERNS, loose=LOOSE, run=RUN)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_of().alias("_text"))
     rows = rows.where(F.col("_text").rlike("[0-9@]"))
     for kind, pattern in patterns.items():
@@ -143,7 +153,7 @@ def _loose_kind() -> Column:
     return (
         F.when(value.contains("@"), "email")
         .when(letters, F.lit(None))
-        .when(F.regexp_count(value, F.lit(r"\.")) >= 3, "ip")
+        .when((F.regexp_count(value, F.lit(r"\.")) >= 3) & ~value.contains(" "), "ip")
         .when(digits >= 13, "card")
         .when(digits.between(7, 12), "phone")
     )
@@ -210,24 +220,36 @@ def discovered(
     strings = finds.where("kind = 'loose'").select(
         "doc_id", "text_hash", "start", "end", _loose_kind().alias("looks"), F.explode(contexts()).alias("pattern")
     )
-    return (
+    found = (
         strings.join(trusted, ["pattern", "looks"])
         .select("doc_id", "text_hash", F.col("looks").alias("kind"), "start", "end")
         .distinct()
     )
+    # a string inside a run that is found as a whole is part of it
+    outer = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(outer.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("reach", reach).where("reach IS NULL OR reach < end").drop("reach")
 
 
 def _trimmed(rows: DataFrame) -> DataFrame:
-    """Identifier-like strings without the punctuation around them."""
-    lead = F.char_length(F.regexp_extract("value", r"^[^\p{L}\p{N}]*+", 0))
-    value = F.regexp_replace("value", r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
-    loose = F.col("kind") == "loose"
-    return (
-        rows.withColumn("start", F.when(loose, F.col("start") + lead).otherwise(F.col("start")))
-        .withColumn("value", F.when(loose, value).otherwise(F.col("value")))
-        .withColumn("end", F.col("start") + F.char_length("value"))
-        .where(F.char_length("value") > 0)
+    """Identifier-like strings without the punctuation and the word before ``:`` around them."""
+    lead = F.regexp_extract("value", f"^{_LEAD}", 0)
+    rest = F.expr("substr(value, char_length(_lead) + 1)")
+    value = F.regexp_replace(rest, r"[^\p{L}\p{N}]++$", "")
+    bracket = F.col("_lead").endswith("(") & F.col("_value").rlike(r"^[0-9]++\)")
+    n_lead = F.char_length("_lead") - bracket.cast("int")
+    loose = F.col("kind").isin("loose", "run")
+    trimmed = rows.withColumn("_lead", lead).withColumn("_value", value).withColumn("_n", n_lead)
+    trimmed = trimmed.select(
+        "doc_id",
+        "text_hash",
+        F.when(loose, "loose").otherwise(F.col("kind")).alias("kind"),
+        (F.col("start") + F.when(loose, F.col("_n")).otherwise(0)).alias("start"),
+        F.when(loose, F.concat(F.when(bracket, "(").otherwise(""), "_value")).otherwise(F.col("value")).alias("value"),
+        F.when(loose, F.right(F.concat("left", F.expr("left(value, _n)")), F.lit(CONTEXT))).otherwise(F.col("left")).alias("left"),
+        "right",
     )
+    return trimmed.withColumn("end", F.col("start") + F.char_length("value")).where(F.char_length("value") > 0)
 
 
 def find_personal_data(
@@ -235,7 +257,9 @@ def find_personal_data(
 ) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text_hash) and the spans: doc_id, text_hash, kind, start, end, base."""
     rows = found_rows(docs)
-    rows = _trimmed(rows.where((F.col("kind") == "loose") | is_valid()))
+    digits = F.char_length(F.regexp_replace("value", "[^0-9]", ""))
+    wanted = (F.col("kind") == "loose") | ((F.col("kind") == "run") & digits.between(*RUN_DIGITS))
+    rows = _trimmed(rows.where(wanted | is_valid()))
     # strings that touch a base span are part of it: compare with the nearest on both sides
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end", "kind")
     base = F.col("kind") != "loose"
