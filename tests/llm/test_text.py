@@ -373,6 +373,15 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_dictionaries_hold_pieces_from_all_over_the_texts():
+    texts = [f"{i:06d}" + "opening " * 200 + "closing " * 200 for i in range(750)]
+    whole = quality.dictionary(texts, 512 << 10)
+    assert len(whole) == 512 << 10
+    assert 0.4 < whole.count(b"closing") / (whole.count(b"opening") + whole.count(b"closing")) < 0.6
+    few = quality.dictionary(texts[:20], 512 << 10)
+    assert len(few) == sum(map(len, texts[:20])) and few.count(b"closing ") > 0.9 * 20 * 200
+
+
 def test_quality_odd_cases(spark, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     none = quality.fit_quality(empty, labels)

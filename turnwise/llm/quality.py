@@ -18,6 +18,7 @@ or 0.5; extra columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,10 +101,19 @@ def fit_curve(values: np.ndarray, good: np.ndarray, share: float, rounds: int =
 
 
 def dictionary(texts: list[str], size: int, piece: int = 600) -> bytes:
-    """``size`` bytes taken in turns from all texts, so each of them has a say."""
+    """``size`` bytes taken in turns from all texts, so each of them has a say.
+
+    A text gives its pieces in the order of a hash, so they come from all over it however
+    many texts there are; texts that fit in ``size`` together are there whole.
+    """
     samples = [t.encode("utf-8", "surrogatepass") for t in texts]
-    longest = max(map(len, samples), default=0)
-    turns = (s[i : i + piece] for i in range(0, longest, piece) for s in samples if i < len(s))
+    orders = []
+    for s in samples:
+        seed = zlib.crc32(s)
+        starts = range(0, len(s), piece)
+        orders.append(sorted(starts, key=lambda i: zlib.crc32(b"%d" % i, seed)))
+    longest = max(map(len, orders), default=0)
+    turns = (s[o[n] : o[n] + piece] for n in range(longest) for s, o in zip(samples, orders) if n < len(o))
     out = bytearray()
     for part in turns:
         out += part
