@@ -416,6 +416,19 @@ def test_pipeline_stages(spark):
     assert last.count() == counts[4] and sorted(map(str, whole.collect())) == sorted(map(str, last.collect()))
 
 
+def test_language_stage_keeps_uncertain_documents(spark, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    found = F.when(F.col("text").rlike("[a-z]"), "aa").otherwise("und")
+    monkeypatch.setattr(language, "fit_languages", lambda docs: None)
+    monkeypatch.setattr(
+        language, "identify", lambda docs, model: docs.withColumn("lang_pred", found).withColumn("score", F.lit(0.7 * 0.7))
+    )
+    docs = spark.createDataFrame([(1, "short and clean"), (2, "7 + 7"), (3, "ok")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 3]
+
+
 def test_pipeline_of_odd_tables(spark, empty):
     import corpus_pipeline
 
