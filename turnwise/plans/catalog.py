@@ -1256,6 +1256,14 @@ def sink_events_by_day(spark, folder):
     return back.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
 
 
+@query
+def sink_events_every_day(spark, folder):
+    path = _fresh(spark, "events-every-day")
+    sinks.write_events(tab.tool_events(spark, folder).select(KEY, SEQ, "ts", "tool_name"), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+
+
 @query
 def sink_snapshots(spark, folder):
     path = _fresh(spark, "snapshots")

@@ -728,6 +728,7 @@ ORACLES: dict[str, str] = {
         WHEN read_edit_ratio < 4 THEN 'warn' ELSE 'ok' END AS read_edit_severity FROM metric""",
     "sink_events_by_day": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events
         WHERE ts >= DATE '2024-01-10' GROUP BY ALL""",
+    "sink_events_every_day": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events GROUP BY ALL",
     "sink_snapshots": f"""{BY_USER}, n AS (SELECT unnest(['parse_health', 'read_edit_ratio', 'stop_phrase', 'reasoning_loop', 'thinking', 'prompts'])
         AS metric_name) SELECT 'snapshot' AS kind, metric_name, 2 * (SELECT count(*) FROM metric) AS n FROM n""",
     "migrated_keys": f"""{BY_DAY} SELECT 'root-legacy:' || session_key AS session_key, 'root-legacy' AS root_id,
