@@ -57,20 +57,23 @@ FROM placed
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
-OP3 = rf"""
+
+def _near(words: int, percent: int) -> str:
+    """Components of links among documents as sets of shingles."""
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 shingles AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS MATERIALIZED (
   SELECT x, y FROM (
     SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
     FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL)
   JOIN sizes m ON m.doc_id = x JOIN sizes n ON n.doc_id = y
-  WHERE 100 * shared >= 75 * (m.n + n.n - shared)),
+  WHERE 100 * shared >= {percent} * (m.n + n.n - shared)),
 reached AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
   UNION SELECT r.a, l.y FROM reached r JOIN links l ON r.b = l.x)
@@ -121,11 +124,39 @@ SELECT page_id, r.host, path, rule,
 FROM ruled r LEFT JOIN s{rounds} s ON s.host = r.host
 """
 
+OP12 = rf"""
+WITH words AS MATERIALIZED (
+  SELECT row, doc_id, term, count(*) AS tf
+  FROM (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents))
+  GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM words GROUP BY row),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM words, corpus GROUP BY term),
+asked AS (
+  SELECT DISTINCT item, item_id, term
+  FROM (SELECT item, item_id, unnest(regexp_extract_all(translate(text, {_LOWER}),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT item_id, text, row_number() OVER () AS item FROM benchmark))),
+scored AS (
+  SELECT item, item_id, row, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN words USING (term) JOIN weights USING (term) JOIN sizes USING (row), corpus
+  GROUP BY ALL HAVING score > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 ORACLES = {
     "op1_exact_dedup": OP1,
     "op2_line_dedup": OP2,
-    "op3_near_duplicates": OP3,
+    "op3_near_duplicates": _near(5, 75),
     "op4_url_filter": _op4(),
     "op5_mixing": OP5,
+    "op11_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({_near(2, 80)})",
+    "op12_lexical_search": OP12,
 }

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import (
+    alignment,
     exact_dedup,
     fingerprint,
     language,
+    lexical,
     line_dedup,
+    minhash,
     mixing,
     near_dup,
     pieces,
@@ -81,6 +84,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_copies(documents(configure(spark), sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = configure(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search(documents(spark, sf_dir), items)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(configure(spark), sf_dir)
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.score_links(alignment.align_texts(docs, *paths, keep_groups=False))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +113,9 @@ QUERIES = {
         op8_pieces,
         op9_fingerprints,
         op10_language,
+        op11_minhash,
+        op12_lexical_search,
+        op13_alignment,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
