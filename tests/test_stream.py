@@ -64,8 +64,9 @@ def test_silent_session_is_finished_by_its_timer(spark, tmp_path):
     land(folder, "old", 0, [L.user(0, "plan it"), L.assistant(1, L.text("done"))])
     rows = live.narrow_lines(live.stream_lines(spark, folder))
     cfg = MetricConfig(stale_after=300, evict_after=2100)
+    live.cut_available(rows, f"{base}-state", check, cfg=cfg)
     stream = (
-        live.live_metrics(rows, cfg=cfg)
+        live.live_metrics(live.segment_stream(spark, f"{base}-state"), cfg=cfg)
         .writeStream.outputMode("update")
         .option("checkpointLocation", check)
         .trigger(processingTime="1 second")

@@ -1215,17 +1215,59 @@ def shifted_times(spark, folder):
 # ----------------------------------------------------------------- streaming
 
 
+def _streamed(spark, rows, name, parts, *, last=None):
+    """Session rows after ``rows`` landed in ``parts``, each a run from the checkpoints.
+
+    ``parts`` are conditions; ``last`` are rows that come with the last part.
+    """
+    from turnwise.streaming import live
+
+    base = _fresh(spark, name)
+    for i, part in enumerate(parts):
+        some = rows.filter(part)
+        if last is not None and i == len(parts) - 1:
+            some = some.unionByName(last, allowMissingColumns=True)
+        some.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(live.NARROW).parquet(f"{base}/in")
+        live.run_available(source, f"{base}/live", f"{base}/checkpoint", timers=False)
+    return stores.read_latest(spark, f"{base}/live")
+
+
 @query
 def streamed_reports(spark, folder):
-    from turnwise.streaming.live import replay
+    from turnwise.streaming.live import narrow_events
 
-    out = replay(spark, tab.tool_events(spark, folder), _fresh(spark, "stream"), batches=2)
+    rows = narrow_events(tab.tool_events(spark, folder))
+    low, high = rows.agg(F.min(SEQ), F.max(SEQ)).first()
+    # the border lies inside a chunk, whose two parts are two segments
+    early = F.col(SEQ) < (low + high) // 2
+    out = _streamed(spark, rows, "stream", [early, ~early])
     return shape(
         out, KEY, "event_count", "reads", "research", "mutations", "mutations_total",
         "blind_mutations", "read_edit_ratio", "read_edit_severity", floats=("read_edit_ratio",),
     )
 
 
+@query
+def streamed_segments(spark, folder):
+    """Two kinds of sessions in small chunks that land in any order; a control row ends each."""
+    from turnwise.streaming import live
+
+    work = live.narrow_events(tab.prompted_events(spark, folder, span=256))
+    talk = live.narrow_events(tab.conversation_events(spark, folder, span=4), stop=STOP, loop=LOOP)
+    rows = work.withColumn(KEY, F.concat(F.lit("u"), KEY)).unionByName(
+        talk.withColumn(KEY, F.concat(F.lit("c"), KEY))
+    )
+    place = F.pmod(F.xxhash64(KEY, "chunk"), F.lit(3))
+    ends = live.tombstones(rows.select(KEY).distinct().withColumn("change", F.lit("DELETE")))
+    out = _streamed(spark, rows, "segments", [place == i for i in range(3)], last=ends)
+    return out.select(
+        KEY, "row_type", "event_count", "calls", "reads", "research", "mutations", "other", "mutations_total",
+        "blind_mutations", "messages", "messages_with_hit", "hits", "loop_matches", "max_burst", "prompts",
+        "turns", "session_task_type",
+    )
+
+
 @query
 def streamed_late_chunks(spark, folder):
     """Transcripts land as chunk files, every second chunk of a session before the others."""

@@ -191,6 +191,40 @@ _JUDGED = """WITH j AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'p
     FROM documents JOIN labels USING (doc_id))"""
 
 
+def _streamed_sessions() -> str:
+    """Users with prompts and conversations, as closed sessions of the stream."""
+    calls = _RAW.replace("FROM raw)", "FROM raw WHERE event_type <> 'signup')")
+    said = f"""{_SAID}, d AS (SELECT *, {_doubled('text')} AS d FROM said),
+        h AS (SELECT *, {_words('and')} + {_words('und')} + len(regexp_extract_all(text, '(?i)que')) AS n,
+            {_words('the')} + {_words('die')} + {_words('of the')} + len(regexp_extract_all(text, '(?i)ing')) AS s FROM d),
+        i AS (SELECT *, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (
+            PARTITION BY session_key ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM h),
+        b AS (SELECT session_key, island, count(*) AS said, count(*) FILTER (WHERE s > 0) AS with_hit, sum(s) AS s,
+            count(*) FILTER (WHERE n > 0) AS run, sum(n) AS n FROM i GROUP BY ALL)
+        SELECT session_key, sum(said) AS messages, sum(with_hit) AS messages_with_hit, sum(s) AS hits,
+            sum(n) AS loop_matches, max(run) AS max_burst FROM b GROUP BY session_key"""
+    labels = f"""{_TURNS}, v AS (SELECT session_key, task_type, count(*) AS n FROM tu GROUP BY ALL)
+        SELECT session_key, sum(n) AS turns, CASE WHEN sum(n) >= 2 AND max(n) * 2 > sum(n)
+            THEN max_by(task_type, n) ELSE 'mixed' END AS session_task_type FROM v GROUP BY session_key"""
+    whole = ("calls", "reads", "research", "mutations", "other", "mutations_total", "blind_mutations")
+    zero = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in whole)
+    talk = ("messages", "messages_with_hit", "hits", "loop_matches", "max_burst")
+    return f"""SELECT 'u' || u.session_key AS session_key, 'final' AS row_type, u.event_count, {zero},
+            {", ".join(f"0::BIGINT AS {c}" for c in talk)}, u.prompts, coalesce(turns, 0)::BIGINT AS turns, session_task_type
+        FROM (SELECT CAST(user_id AS VARCHAR) AS session_key, count(*) AS event_count,
+                count(*) FILTER (WHERE event_type = 'signup') AS prompts FROM events GROUP BY user_id) u
+        LEFT JOIN (WITH {calls},{_calls(_USER)} SELECT session_key, event_count AS calls, {", ".join(whole[1:])} FROM metric) m
+            USING (session_key)
+        LEFT JOIN ({labels}) l USING (session_key)
+        UNION ALL BY NAME
+        SELECT 'c' || c.session_key AS session_key, 'final' AS row_type, event_count,
+            {", ".join(f"0::BIGINT AS {c}" for c in whole)}, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in talk)},
+            prompts, prompts AS turns, CASE WHEN prompts >= 2 THEN 'planning' WHEN prompts = 1 THEN 'mixed' END AS session_task_type
+        FROM (SELECT CAST(conv_id AS VARCHAR) AS session_key, count(*) AS event_count,
+                count(*) FILTER (WHERE role = 'user') AS prompts FROM conversations GROUP BY conv_id) c
+        LEFT JOIN ({said}) s USING (session_key)"""
+
+
 def _window_sql(extra: str = "") -> str:
     now = "TIMESTAMP '2024-01-30 12:00:00'"
     return f"""WITH {_RAW},
@@ -726,6 +760,7 @@ ORACLES: dict[str, str] = {
     "streamed_reports": f"""{BY_USER} SELECT session_key, event_count, reads, research, mutations, mutations_total, blind_mutations,
         {_six('read_edit_ratio', 'read_edit_ratio')}, CASE WHEN classified < 10 THEN 'ok' WHEN read_edit_ratio < 2 THEN 'critical'
         WHEN read_edit_ratio < 4 THEN 'warn' ELSE 'ok' END AS read_edit_severity FROM metric""",
+    "streamed_segments": _streamed_sessions(),
     "sink_events_by_day": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events
         WHERE ts >= DATE '2024-01-10' GROUP BY ALL""",
     "sink_events_every_day": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events GROUP BY ALL",

@@ -1,17 +1,20 @@
 """Live sessions: per-session state over a stream of transcript rows.
 
-Everything that needs text (JSON parsing, phrase counts, keyword labels) happens
-in Spark expressions before the shuffle, so only narrow rows reach the stateful
-operator.  State per session is a fixed set of counters, the last 50 tool
-categories and the last 200 line outcomes, plus keyed entries for files, message
-ids and lengths that live in the state store and not in memory.
-
-A batch of one session is put into line order inside the operator.  How much that
-can be is set by the source: :func:`stream_lines` limits the bytes per batch.
+Two queries follow each other.  The first turns each micro-batch into segments
+(:mod:`turnwise.operators.segments`), one row per session and chunk, with plain batch
+expressions: JSON parsing, phrase counts, repeated message ids, windows.  The second
+keeps a session's state, which is its merged segment, and advances it by the new
+segments; it sees a few rows per session and batch, however many lines there were.
+
+Message ids that were seen lie in a table by batch; a segment is the same whenever its
+batch is done again, and the state knows its segments by their place, so nothing counts
+twice.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -32,13 +35,12 @@ from turnwise.model import (
     SEQ,
     STOP_PHRASES,
     TASK_KEYWORDS,
-    TURN_LOOKUP_TOOLS,
-    TURN_MUTATION_TOOLS,
     MetricConfig,
     Phrase,
 )
 from turnwise.operators import metrics as M
 from turnwise.operators import normalize as N
+from turnwise.operators import segments as S
 from turnwise.sources import stores
 
 # ------------------------------------------------------------------- inputs
@@ -97,7 +99,7 @@ NARROW = (
     f"{KEY} string, {SEQ} long, line_no long, kind string, ts timestamp, ts_resolved boolean, "
     "message_id string, tool_name string, category string, file_path string, stop_hits int, "
     "loop_hits int, visible_len int, signature_len int, hidden boolean, keyword_label string, "
-    "line_ok boolean, line_events long"
+    f"line_ok boolean, line_events long, {CHUNK} long"
 )
 
 
@@ -149,6 +151,7 @@ def narrow_events(
         ),
         "line_ok",
         "line_events",
+        F.col(CHUNK).cast("long").alias(CHUNK),
     )
 
 
@@ -169,6 +172,7 @@ def narrow_lines(lines: DataFrame, **phrases: Any) -> DataFrame:
         "message_id",
         F.col("ok").alias("line_ok"),
         F.col("parsed_events").cast("long").alias("line_events"),
+        F.col(CHUNK).cast("long").alias(CHUNK),
     )
     return narrow_events(events, **phrases).unionByName(outcome, allowMissingColumns=True)
 
@@ -180,38 +184,113 @@ def tombstones(changes: DataFrame) -> DataFrame:
     )
 
 
-# -------------------------------------------------------------------- state
+# ----------------------------------------------------------------- segments
 
-_COUNTERS = (
-    "high_water event_count calls mutations_total mutations_with_path blind_mutations write_calls "
-    "messages messages_with_hit hits loop_matches burst max_burst thinking_blocks visible_blocks "
-    "prompts total_lines parsed_events duplicate_count turn_open turn_calls turn_mutations "
-    "turn_bash turn_lookups turns"
-).split()
-_TIMES = ("first_us", "last_us", "resolved_us")
-_STATE = ", ".join(
-    [f"{c} long" for c in (*_COUNTERS, *_TIMES)]
-    + ["turn_keyword string", "categories array<string>", "outcomes array<boolean>"]
-)
-_STATE_FIELDS = [*_COUNTERS, *_TIMES, "turn_keyword", "categories", "outcomes"]
 
-OUTPUT = ", ".join(
-    [f"{KEY} string", "row_type string", "state string"]
-    + [f"{c} long" for c in _COUNTERS if c not in ("burst", "turn_open") and not c.startswith("turn_")]
-    + [
-        "reads long, research long, mutations long, other long, window_calls long",
-        "started_at timestamp, ended_at timestamp, last_resolved_at timestamp",
-        "parse_confidence double, visible_chars_median double, signature_chars_median double",
-        "session_task_type string",
-    ]
-)
-_OUTPUT_COUNTERS = [
-    c for c in _COUNTERS if c not in ("burst", "turn_open") and not c.startswith("turn_")
-]
+def _known_ids(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
+    """Message ids of earlier batches: session, id, first line, bucket."""
+    if not stores.versions(spark, f"{base}/ids"):
+        return None
+    schema = f"{KEY} string, message_id string, line_no long, version int, bucket int"
+    held = spark.read.schema(schema).option("basePath", f"{base}/ids").parquet(f"{base}/ids")
+    # a batch that is done again does not know its own ids
+    return held.filter(F.col("version") < batch_id)
+
+
+def mark_repeats(rows: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows without those of repeated lines, ids that are new).
+
+    A line repeats if another line, earlier in these rows or in ``known``, has its message
+    id.  It stays as a line, as one that went well with one event.  Only ids that do
+    repeat are joined to the rows.
+    """
+    ids = rows.filter(F.col("message_id").isNotNull()).groupBy(KEY, "message_id").agg(
+        F.min("line_no").alias("line_no"), F.max("line_no").alias("_last")
+    )
+    if known is not None:
+        before = known.groupBy(KEY, "message_id").agg(F.min("line_no").alias("_before"))
+        ids = ids.join(before, [KEY, "message_id"], "left")
+    else:
+        ids = ids.withColumn("_before", F.lit(None).cast("long"))
+    first = F.coalesce("_before", "line_no")
+    fresh = ids.filter(F.col("_before").isNull()).select(KEY, "message_id", "line_no")
+    several = ids.filter((first != F.col("line_no")) | (first != F.col("_last")))
+    several = several.select(KEY, "message_id", first.alias("_first"))
+    named = rows.filter(F.col("message_id").isNotNull()).join(several, [KEY, "message_id"], "left")
+    named = named.withColumn("repeated", F.coalesce(F.col("_first") != F.col("line_no"), F.lit(False)))
+    named = named.filter(~F.col("repeated") | (F.col("kind") == "line")).withColumns(
+        {
+            "line_ok": F.when(F.col("repeated"), True).otherwise(F.col("line_ok")),
+            "line_events": F.when(F.col("repeated"), 1).otherwise(F.col("line_events")),
+        }
+    )
+    plain = rows.filter(F.col("message_id").isNull()).withColumn("repeated", F.lit(False))
+    return plain.unionByName(named.drop("_first")), fresh
+
+
+#: Folders that one batch's ids are dealt to, so that a batch reads those of its sessions.
+ID_BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(KEY), F.lit(ID_BUCKETS)).cast("int")
 
 
-def _missing(value: Any) -> bool:
-    return value is None or value is pd.NaT or value != value
+def write_segments(base: str, *, cfg: MetricConfig = DEFAULTS, known: DataFrame | None = None):
+    """``foreachBatch`` function: narrow rows of a batch -> its segments, ids and controls.
+
+    All of it is planned as one batch: windows per (session, chunk), no row in Python.
+    The version is the batch id; a batch that is done again gives the same segments.
+    ``known`` may hold ids (session_key, message_id, line_no) read before the stream.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # parsed once; what follows reads narrow rows, three times
+        batch.write.mode("overwrite").parquet(f"{base}/rows")
+        batch = spark.read.schema(batch.schema).parquet(f"{base}/rows")
+        rows = batch.filter(F.col("kind") != "delete")
+        buckets = [r[0] for r in rows.select(_bucket()).distinct().collect()]
+        seen = _known_ids(spark, base, batch_id)
+        if seen is not None:
+            seen = seen.filter(F.col("bucket").isin(buckets)).select(KEY, "message_id", "line_no")
+        if known is not None:
+            more = known.filter(_bucket().isin(buckets)).select(KEY, "message_id", "line_no")
+            seen = more if seen is None else seen.unionByName(more)
+        kept, fresh = mark_repeats(rows, seen)
+        found = S.chunk_segments(kept, cfg).withColumn("deleted", F.lit(False))
+        gone = batch.filter(F.col("kind") == "delete").select(KEY).distinct()
+        gone = gone.withColumns({"from_seq": F.lit(2**62), "deleted": F.lit(True)})
+        # ids first: a reader of segments may go on as soon as they are there
+        stored = fresh.withColumn("bucket", _bucket()).repartition("bucket")
+        stored.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/ids/version={batch_id:09d}")
+        stores.write_version(found.unionByName(gone, allowMissingColumns=True), f"{base}/segments", batch_id)
+
+    return write
+
+
+def segment_stream(spark: SparkSession, base: str) -> DataFrame:
+    """The segments written under ``base``, as a stream."""
+    return spark.readStream.schema(f"{S.SEGMENT}, deleted boolean").parquet(f"{base}/segments/version=*")
+
+
+def cut_available(rows: DataFrame, base: str, checkpoint: str, **options: Any) -> None:
+    """Turn the narrow rows that the source holds now into segments, then stop."""
+    stream = (
+        rows.writeStream.option("checkpointLocation", f"{checkpoint}/segments")
+        .trigger(availableNow=True)
+        .foreachBatch(write_segments(base, **options))
+        .start()
+    )
+    stream.awaitTermination()
+
+
+# -------------------------------------------------------------------- state
+
+OUTPUT = ", ".join(
+    [S.SEGMENT, "row_type string", "state string", "closed boolean"]
+    + ["visible_chars_median double", "signature_chars_median double"]
+)
 
 
 def _median(lengths: list[tuple[int, int]]) -> float | None:
@@ -232,251 +311,155 @@ def _median(lengths: list[tuple[int, int]]) -> float | None:
 
 
 class SessionState(StatefulProcessor):
-    """Counters of one session, advanced by narrow rows in line order."""
+    """A session as the merged segment of all it has sent, advanced segment by segment.
 
-    def __init__(self, cfg: MetricConfig = DEFAULTS, *, timers: bool = True, guard_replay: bool = False):
+    ``parts`` holds the segments by their place.  One that comes late is put in its place
+    and the session is merged again; one that is there already changes nothing.
+    """
+
+    def __init__(self, cfg: MetricConfig = DEFAULTS, *, timers: bool = True):
         self.cfg = cfg
         self.timers = timers
-        self.guard_replay = guard_replay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.main = handle.getValueState("main", _STATE)
-        self.reads = handle.getMapState("reads", "file_path string", "call_no long")
-        self.ids = handle.getMapState("ids", "message_id string", "line_no long")
+        self.main = handle.getValueState("main", "segment string, state string")
+        self.parts = handle.getMapState("parts", "from_seq long", "segment string")
         self.lengths = handle.getMapState("lengths", "what string, size long", "n long")
-        self.labels = handle.getMapState("labels", "label string", "n long")
-
-    # -- plumbing
-
-    def _load(self) -> dict[str, Any]:
-        if self.main.exists():
-            got = self.main.get()
-            return dict(zip(_STATE_FIELDS, got, strict=True))
-        fresh: dict[str, Any] = dict.fromkeys(_COUNTERS, 0)
-        fresh["high_water"] = -1
-        fresh.update(dict.fromkeys(_TIMES), turn_keyword=None, categories=[], outcomes=[])
-        return fresh
-
-    def _save(self, s: dict[str, Any]) -> None:
-        self.main.update(tuple(s[f] for f in _STATE_FIELDS))
-
-    def _bump(self, state: Any, key: tuple, by: int = 1) -> None:
-        held = state.getValue(key)[0] if state.containsKey(key) else 0
-        state.updateValue(key, (int(held) + by,))
-
-    # -- one row
-
-    def _step(self, s: dict[str, Any], row: dict[str, Any]) -> None:
-        cfg = self.cfg
-        message_id = None if _missing(row["message_id"]) else row["message_id"]
-        if message_id is not None:
-            key = (message_id,)
-            if self.ids.containsKey(key):
-                repeated = int(self.ids.getValue(key)[0]) != int(row["line_no"])
-            else:
-                self.ids.updateValue(key, (int(row["line_no"]),))
-                repeated = False
-            if repeated:
-                if row["kind"] == "line":
-                    s["duplicate_count"] += 1
-                    self._line(s, True, 1)
-                return
-        if row["kind"] == "line":
-            self._line(s, bool(row["line_ok"]), int(row["line_events"]))
-            return
-        micros = row["ts"].value // 1000
-        s["event_count"] += 1
-        if s["first_us"] is None:
-            s["first_us"] = micros
-        s["last_us"] = micros
-        if row["ts_resolved"]:
-            s["resolved_us"] = max(micros, s["resolved_us"] or micros)
-        kind = row["kind"]
-        if kind == "user":
-            s["prompts"] += 1
-            self._close_turn(s)
-            s["turn_open"] = 1
-            s["turn_keyword"] = row["keyword_label"]
-        elif kind == "assistant" and not _missing(row["loop_hits"]):
-            stop, loop = int(row["stop_hits"]), int(row["loop_hits"])
-            s["messages"] += 1
-            s["hits"] += stop
-            s["messages_with_hit"] += stop > 0
-            s["loop_matches"] += loop
-            s["burst"] = s["burst"] + 1 if loop else 0
-            s["max_burst"] = max(s["max_burst"], s["burst"])
-        elif kind == "thinking":
-            s["thinking_blocks"] += 1
-            if not (row["hidden"] is True):
-                s["visible_blocks"] += 1
-                if not _missing(row["visible_len"]) and row["visible_len"] > 0:
-                    self._bump(self.lengths, ("visible", int(row["visible_len"])))
-            if not _missing(row["signature_len"]) and row["signature_len"] > 0:
-                self._bump(self.lengths, ("signature", int(row["signature_len"])))
-        elif kind == "tool_call" and not _missing(row["tool_name"]):
-            self._tool(s, row, cfg)
-
-    def _line(self, s: dict[str, Any], ok: bool, events: int) -> None:
-        s["total_lines"] += 1
-        s["parsed_events"] += events
-        s["outcomes"] = [*s["outcomes"], ok][-self.cfg.confidence_window :]
-
-    def _tool(self, s: dict[str, Any], row: dict[str, Any], cfg: MetricConfig) -> None:
-        tool, category = row["tool_name"], row["category"]
-        path = None if _missing(row["file_path"]) else row["file_path"]
-        s["calls"] += 1
-        s["categories"] = [*s["categories"], category][-cfg.window_size :]
-        if category == "mutation":
-            s["mutations_total"] += 1
-            s["write_calls"] += tool == "write"
-            if path is not None:
-                s["mutations_with_path"] += 1
-                seen = self.reads.getValue((path,))[0] if self.reads.containsKey((path,)) else None
-                if seen is None or s["calls"] - int(seen) > cfg.blind_edit_window:
-                    s["blind_mutations"] += 1
-        elif category in ("read", "research") and path is not None:
-            self.reads.updateValue((path,), (s["calls"],))
-        if s["turn_open"]:
-            s["turn_calls"] += 1
-            s["turn_mutations"] += tool in TURN_MUTATION_TOOLS
-            s["turn_bash"] += tool == "bash"
-            s["turn_lookups"] += tool in TURN_LOOKUP_TOOLS
-
-    def _close_turn(self, s: dict[str, Any]) -> None:
-        if not s["turn_open"]:
-            return
-        edits, bash = s["turn_mutations"], s["turn_bash"]
-        if edits >= 3 and not bash:
-            label = "mutation_heavy"
-        elif bash and edits:
-            label = "debug_loop"
-        elif not s["turn_calls"]:
-            label = "planning"
-        elif not bash and edits < 2 and s["turn_lookups"] > 2 * edits:
-            label = "exploration"
-        else:
-            label = s["turn_keyword"] or "mixed"
-        self._bump(self.labels, (label,))
-        s["turns"] += 1
-        for c in ("turn_open", "turn_calls", "turn_mutations", "turn_bash", "turn_lookups"):
-            s[c] = 0
-        s["turn_keyword"] = None
+
+    # -- state
+
+    def _load(self) -> tuple[S.Segment | None, str]:
+        if not self.main.exists():
+            return None, "active"
+        text_, state = self.main.get()
+        return json.loads(text_), state
+
+    def _save(self, held: S.Segment, state: str) -> None:
+        self.main.update((json.dumps(held), state))
+
+    def _bump(self, what: str, size: int, by: int) -> None:
+        key = (what, size)
+        held = self.lengths.getValue(key)[0] if self.lengths.containsKey(key) else 0
+        self.lengths.updateValue(key, (int(held) + by,))
+
+    def _take(self, found: list[S.Segment], held: S.Segment | None) -> S.Segment | None:
+        """Put segments into their places and merge them into the session."""
+        late = False
+        for segment in sorted(found, key=lambda x: x["from_seq"]):
+            place = (segment["from_seq"],)
+            if self.parts.containsKey(place):
+                continue
+            for what, sizes, counts in (("visible", *S.LENGTHS[:2]), ("signature", *S.LENGTHS[2:])):
+                for size, n in zip(segment[sizes], segment[counts]):
+                    self._bump(what, size, n)
+                segment[sizes], segment[counts] = [], []
+            self.parts.updateValue(place, (json.dumps(segment),))
+            late = late or held is not None and segment["from_seq"] <= held["to_seq"]
+            if not late:
+                held = segment if held is None else S.merge(held, segment, self.cfg)
+        if late:
+            places = sorted((int(k[0]), v[0]) for k, v in self.parts.iterator())
+            held = functools.reduce(
+                lambda a, b: S.merge(a, b, self.cfg), (json.loads(text_) for _, text_ in places)
+            )
+        return held
 
     # -- output
 
-    def _row(self, key: str, s: dict[str, Any], row_type: str, state: str) -> pd.DataFrame:
-        tail = s["categories"]
-        by = {"visible": [], "signature": []}
+    def _row(self, held: S.Segment, row_type: str, state: str) -> pd.DataFrame:
+        by: dict[str, list[tuple[int, int]]] = {"visible": [], "signature": []}
         for (what, size), (n,) in self.lengths.iterator():
             by[what].append((int(size), int(n)))
-        votes = {k[0]: int(v[0]) for k, v in self.labels.iterator()}
-        top = max(votes, key=lambda k: (votes[k], k), default=None)
-        clear = s["turns"] >= 2 and votes[top] * 2 > s["turns"]
-        outcomes = s["outcomes"]
-
-        def when(us: int | None):
-            return pd.NaT if us is None else pd.Timestamp(us, unit="us")
-
-        return pd.DataFrame(
-            [
-                {
-                    KEY: key,
-                    "row_type": row_type,
-                    "state": state,
-                    **{c: s[c] for c in _OUTPUT_COUNTERS},
-                    "reads": tail.count("read"),
-                    "research": tail.count("research"),
-                    "mutations": tail.count("mutation"),
-                    "other": tail.count("other"),
-                    "window_calls": len(tail),
-                    "started_at": when(s["first_us"]),
-                    "ended_at": when(s["last_us"]),
-                    "last_resolved_at": when(s["resolved_us"]),
-                    "parse_confidence": sum(outcomes) / len(outcomes) if outcomes else 1.0,
-                    "visible_chars_median": _median(by["visible"]),
-                    "signature_chars_median": _median(by["signature"]),
-                    "session_task_type": (top if clear else "mixed") if s["turns"] else None,
-                }
-            ]
-        )
+        out = held | {
+            "row_type": row_type,
+            "state": state,
+            "closed": row_type == "final",
+            "visible_chars_median": _median(by["visible"]),
+            "signature_chars_median": _median(by["signature"]),
+        }
+        return pd.DataFrame([out])
 
-    def _clear(self) -> None:
-        for state in (self.main, self.reads, self.ids, self.lengths, self.labels):
+    def _finish(self, held: S.Segment) -> pd.DataFrame:
+        out = self._row(held, "final", "evicted")
+        for state in (self.main, self.parts, self.lengths):
             state.clear()
-
-    def _finish(self, key: str, s: dict[str, Any]) -> pd.DataFrame:
-        self._close_turn(s)
-        out = self._row(key, s, "final", "evicted")
-        self._clear()
         return out
 
-    def _schedule(self, s: dict[str, Any], now_ms: int) -> None:
+    def _schedule(self, held: S.Segment, now_ms: int) -> None:
         if not self.timers:
             return
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        quiet_from = now_ms if s["resolved_us"] is None else min(now_ms, s["resolved_us"] // 1000)
+        resolved = held["resolved_us"]
+        quiet_from = now_ms if resolved is None else min(now_ms, resolved // 1000)
         for wait in (self.cfg.stale_after, self.cfg.evict_after):
             self.handle.registerTimer(max(quiet_from + wait * 1000, now_ms + 1))
 
     # -- entry points called by Spark
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        session = key[0]
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(SEQ, kind="stable")
-        s = self._load()
-        deleted = False
-        for row in batch.to_dict("records"):
-            if row["kind"] == "delete":
-                deleted = True
-                continue
-            if self.guard_replay and int(row[SEQ]) <= s["high_water"]:
-                continue
-            s["high_water"] = max(s["high_water"], int(row[SEQ]))
-            self._step(s, row)
+        found, deleted = [], False
+        for frame in rows:
+            gone = frame["deleted"].fillna(False).astype(bool)
+            deleted = deleted or bool(gone.any())
+            found += [S.unpack(row) for row in frame[~gone].to_dict("records")]
+        before, state = self._load()
+        held = self._take(found, before)
+        if held is None:
+            return
         if deleted:
-            yield self._finish(session, s)
+            yield self._finish(held)
             return
-        self._save(s)
-        self._schedule(s, timerValues.getCurrentProcessingTimeInMs() if self.timers else 0)
-        yield self._row(session, s, "live", "active")
+        # only an event with a readable time brings a quiet session back
+        if before is None or (held["resolved_us"] or 0) > (before["resolved_us"] or 0):
+            state = "active"
+        self._save(held, state)
+        self._schedule(held, timerValues.getCurrentProcessingTimeInMs() if self.timers else 0)
+        yield self._row(held, "live", state)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
-        if not self.main.exists():
+        held, _ = self._load()
+        if held is None:
             return
-        s = self._load()
         now = timerValues.getCurrentProcessingTimeInMs()
-        if s["resolved_us"] is None:
+        if held["resolved_us"] is None:
             # no readable time: the later of the two timers ends the session
             over = not any(True for _ in self.handle.listTimers())
         else:
-            over = now - s["resolved_us"] // 1000 >= self.cfg.evict_after * 1000
+            over = now - held["resolved_us"] // 1000 >= self.cfg.evict_after * 1000
         if over:
-            yield self._finish(key[0], s)
+            yield self._finish(held)
         else:
-            yield self._row(key[0], s, "live", "stale")
+            self._save(held, "stale")
+            yield self._row(held, "live", "stale")
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        """Take over counters from a stored row; lists and maps start empty."""
-        s = self._load()
-        row = initialState.iloc[0].to_dict()
-        for c in _OUTPUT_COUNTERS:
-            if c in row and not _missing(row[c]):
-                s[c] = int(row[c])
-        tail = []
-        for c, n in (("read", "reads"), ("research", "research"), ("mutation", "mutations"), ("other", "other")):
-            tail += [c] * int(row.get(n) or 0)
-        s["categories"] = tail
-        for c, name in zip(_TIMES, ("started_at", "ended_at", "last_resolved_at"), strict=True):
-            if name in row and not _missing(row[name]):
-                s[c] = row[name].value // 1000
-        self._save(s)
+        """Take over a session: its stored segments, or one row of counters as a segment."""
+        rows = initialState.to_dict("records")
+        if "from_seq" not in initialState.columns:
+            rows = [_from_counters(key[0], row) for row in rows[:1]]
+        held = self._take([S.unpack(row) for row in rows], self._load()[0])
+        if held is not None:
+            self._save(held, "active")
 
     def close(self) -> None:
         pass
 
 
+def _from_counters(key: str, row: dict[str, Any]) -> dict[str, Any]:
+    """A segment before all others from a row of counters; what it does not say is empty."""
+    tail = []
+    for category, name in (("read", "reads"), ("research", "research"), ("mutation", "mutations"), ("other", "other")):
+        n = row.get(name)
+        tail += [category] * (0 if n is None or n != n else int(n))
+    times = {}
+    for field, name in zip(S.TIMES, ("started_at", "ended_at", "last_resolved_at"), strict=True):
+        at = row.get(name)
+        times[field] = None if at is None or at is pd.NaT else at.value // 1000
+    return {**row, **times, KEY: key, "chunk": -1, "from_seq": -1, "to_seq": -1, "categories": tail}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
@@ -488,28 +471,26 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def live_metrics(
-    rows: DataFrame,
+    segments: DataFrame,
     *,
     cfg: MetricConfig = DEFAULTS,
     timers: bool = True,
-    guard_replay: bool = False,
     initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Narrow rows -> live and final session rows with all metric columns.
+    """A stream of segments -> live and final session rows with all metric columns.
 
-    Late rows count like any other.  The checkpoint already keeps a restarted query
-    from reading a file twice; ``guard_replay`` is only for sources that send rows again
-    in order, and skips what lies at or below a session's highest sequence number.
+    Late segments count like any other and at their own place; a segment that comes twice
+    counts once.  ``initial`` are the stored segments of sessions that began before.
     """
-    use_rocksdb(rows.sparkSession)
-    out = rows.groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=SessionState(cfg, timers=timers, guard_replay=guard_replay),
+    use_rocksdb(segments.sparkSession)
+    out = segments.groupBy(KEY).transformWithStateInPandas(
+        statefulProcessor=SessionState(cfg, timers=timers),
         outputStructType=StructType.fromDDL(OUTPUT),
         outputMode="Update",
         timeMode="ProcessingTime" if timers else "None",
         **({"initialState": initial.groupBy(KEY)} if initial is not None else {}),
     )
-    return with_metrics(out, cfg)
+    return with_metrics(S.session_columns(out), cfg)
 
 
 def with_metrics(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
@@ -553,32 +534,30 @@ def merge_batch(base: str, *, cfg: MetricConfig = DEFAULTS):
     return write
 
 
-def run_available(rows: DataFrame, base: str, checkpoint: str, **options: Any) -> None:
-    """Process what the source holds now, then stop; the checkpoint carries the rest."""
+def run_available(
+    rows: DataFrame,
+    base: str,
+    checkpoint: str,
+    *,
+    cfg: MetricConfig = DEFAULTS,
+    known: DataFrame | None = None,
+    **options: Any,
+) -> None:
+    """Process what the source holds now, then stop; the checkpoints carry the rest.
+
+    Narrow rows become segments beside the session table, in the folder ``base`` with
+    ``-state`` behind its name; the segments then advance the sessions.
+    """
+    spark = rows.sparkSession
+    cut_available(rows, f"{base}-state", checkpoint, cfg=cfg, known=known)
+    if not stores.versions(spark, f"{base}-state/segments"):
+        return
     stream = (
-        live_metrics(rows, **options)
+        live_metrics(segment_stream(spark, f"{base}-state"), cfg=cfg, **options)
         .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{checkpoint}/sessions")
         .trigger(availableNow=True)
         .foreachBatch(merge_batch(base))
         .start()
     )
     stream.awaitTermination()
-
-
-def replay(spark: SparkSession, events: DataFrame, folder: str, *, batches: int = 4) -> DataFrame:
-    """Feed an event table through the stream in ``batches`` restarts, by sequence.
-
-    Every part is a separate run from the checkpoint, so the result also shows
-    that state survives a restart.
-    """
-    low, high = events.agg(F.min(SEQ), F.max(SEQ)).first()
-    width = (high - low) // batches + 1
-    narrow = narrow_events(events)
-    for i in range(batches):
-        start = low + i * width
-        part = narrow.filter((F.col(SEQ) >= start) & (F.col(SEQ) < start + width))
-        part.write.mode("append").parquet(f"{folder}/in")
-        source = spark.readStream.schema(NARROW).parquet(f"{folder}/in")
-        run_available(source, f"{folder}/live", f"{folder}/checkpoint", timers=False)
-    return stores.read_latest(spark, f"{folder}/live")
