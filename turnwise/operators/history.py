@@ -112,6 +112,30 @@ def diff_pairs(reports: DataFrame, pairs: DataFrame) -> DataFrame:
     return _diff(sides["a"], sides["b"], ["key_a", "key_b", "metric_name"])
 
 
+def diff_following(reports: DataFrame, group: Column, day: Column) -> DataFrame:
+    """Each report against that of the same group on the next calendar day.
+
+    One shuffle by group and a look at the following row: a group has at most one report
+    a day, so its rows are as many as its days.
+    """
+    order = Window.partitionBy("_group").orderBy("_day")
+    rows = reports.select(group.alias("_group"), day.alias("_day"), KEY, "metrics")
+    after = F.lead(F.struct("_day", KEY, "metrics")).over(order)
+    rows = rows.withColumn("_b", after).filter(F.col("_b._day") == F.date_add("_day", 1))
+    names = F.array_union(F.map_keys("metrics"), F.map_keys("_b.metrics"))
+    rows = rows.select(KEY, "metrics", "_b", F.explode(names).alias("metric_name"))
+    a, b = F.try_element_at("metrics", F.col("metric_name")), F.try_element_at("_b.metrics", F.col("metric_name"))
+    return rows.select(
+        F.col(KEY).alias("key_a"),
+        F.col(f"_b.{KEY}").alias("key_b"),
+        "metric_name",
+        a.alias("value_a"),
+        b.alias("value_b"),
+        (b - a).alias("delta"),
+        F.when(b.isNull(), "b").when(a.isNull(), "a").alias("absent_in"),
+    )
+
+
 def _diff(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on, "full").select(
         *on,

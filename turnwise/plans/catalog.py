@@ -781,16 +781,8 @@ def history_diff(spark, folder):
 
 @query
 def history_diff_next_day(spark, folder):
-    # read four times below: the report pipeline runs once
-    path = _fresh(spark, "day-reports")
-    tab.day_reports(spark, folder).select(KEY, "started_at", "metrics").write.parquet(path)
-    reports = spark.read.parquet(path)
-    day = F.to_date("started_at")
     user = F.split(F.col(KEY), "-")[0]
-    pairs = reports.select(
-        F.col(KEY).alias("key_a"), F.concat(user, F.lit("-"), F.date_add(day, 1)).alias("key_b")
-    ).join(reports.select(F.col(KEY).alias("key_b")), "key_b", "left_semi")
-    out = H.diff_pairs(reports, pairs)
+    out = H.diff_following(tab.day_reports(spark, folder), user, F.to_date("started_at"))
     return out.withColumns(six("value_a", "value_b", "delta"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnwise.model import KEY
 from turnwise.operators import reports as R
 from turnwise.operators.fleet import recent_projects  # noqa: F401  (store query)
+from turnwise.sources.buckets import KeyedTable, _hadoop
 
 
 class AmbiguousSession(LookupError):
@@ -128,27 +129,23 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 # ----------------------------------------------------------------- versions
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions of a table folder, oldest first."""
+    """Complete versions of a table folder, oldest first, bucketed or written whole."""
     system, where = _hadoop(spark, base)
     if not system.exists(where):
         return []
-    out = []
-    for status in system.listStatus(where):
-        name = status.getPath().getName()
-        done = _hadoop(spark, f"{base}/{name}/_SUCCESS")
-        if name.startswith("version=") and done[0].exists(done[1]):
-            out.append(int(name.split("=")[1]))
-    return sorted(out)
+    bucketed = KeyedTable(spark, base).versions()
+    if bucketed:
+        return bucketed
+    # one listing for all versions
+    done = system.globStatus(_hadoop(spark, f"{base}/version=*/_SUCCESS")[1])
+    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in done)
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
+    bucketed = KeyedTable(spark, base).read()
+    if bucketed is not None:
+        return bucketed
     found = versions(spark, base)
     return spark.read.parquet(f"{base}/version={found[-1]:09d}") if found else None
 

@@ -42,6 +42,7 @@ from turnwise.operators import metrics as M
 from turnwise.operators import normalize as N
 from turnwise.operators import segments as S
 from turnwise.sources import stores
+from turnwise.sources.buckets import KeyedTable
 
 # ------------------------------------------------------------------- inputs
 
@@ -177,6 +178,25 @@ def narrow_lines(lines: DataFrame, **phrases: Any) -> DataFrame:
     return narrow_events(events, **phrases).unionByName(outcome, allowMissingColumns=True)
 
 
+def narrow_parsed(parsed: DataFrame, **phrases: Any) -> DataFrame:
+    """Narrow rows of lines whose repeats are known already (``normalise_to_table``)."""
+    events = narrow_events(N.events(parsed), **phrases).withColumn("repeated", F.lit(False))
+    outcome = parsed.select(
+        KEY,
+        (F.col("line_no") * BLOCKS_PER_LINE - 1).alias(SEQ),
+        "line_no",
+        F.lit("line").alias("kind"),
+        "ts",
+        "ts_resolved",
+        "message_id",
+        F.col("ok").alias("line_ok"),
+        F.col("parsed_events").cast("long").alias("line_events"),
+        F.col(CHUNK).cast("long").alias(CHUNK),
+        F.col("duplicate").alias("repeated"),
+    )
+    return events.unionByName(outcome, allowMissingColumns=True)
+
+
 def tombstones(changes: DataFrame) -> DataFrame:
     """Control rows that end a session at once; ``changes`` has session_key and change."""
     return changes.filter(F.col("change") == "DELETE").select(
@@ -463,6 +483,12 @@ def _from_counters(key: str, row: dict[str, Any]) -> dict[str, Any]:
 # ------------------------------------------------------------------ pipeline
 
 
+def wide_columns(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
+    """``with_metrics`` and the severities and labels that metric rows are made of."""
+    rows = with_metrics(rows, cfg).withColumn("missing_fields", F.lit(None).cast("map<string,bigint>"))
+    return M.with_parse_health(rows, cfg).withColumns({**M.stop_columns(cfg), **M.thinking_columns()})
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -511,25 +537,28 @@ def with_metrics(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
     return rows.withColumn("metrics", M.report_map())
 
 
-def merge_batch(base: str, *, cfg: MetricConfig = DEFAULTS):
+#: Versions of the session table that stay readable.
+KEPT_VERSIONS = 8
+
+
+def merge_batch(base: str, *, keep: int = KEPT_VERSIONS):
     """``foreachBatch`` function: latest row per session into the next table version.
 
-    The version is the batch id, so a replayed batch rewrites the same version.
+    Only the buckets of the batch's sessions are written.  The version is the batch id,
+    so a replayed batch rewrites the same version.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stamped = batch.withColumn(
+        # the state advanced once; the keys and the merge both read its rows
+        batch.write.mode("overwrite").parquet(f"{base}/changes")
+        stamped = spark.read.schema(batch.schema).parquet(f"{base}/changes").withColumn(
             "updated_at",
             F.struct(F.lit(batch_id).alias("b"), (F.col("row_type") == "final").alias("f"), "event_count"),
         )
-        before = [v for v in stores.versions(spark, base) if v <= batch_id]
-        if before:
-            stored = spark.read.parquet(f"{base}/version={before[-1]:09d}")
-            stamped = stores.upsert(stored, stamped)
-        else:
-            stamped = stores.upsert(stamped.limit(0), stamped)
-        stores.write_version(stamped, base, batch_id + 1)
+        table = KeyedTable(spark, base)
+        table.upsert(stamped, version=batch_id + 1)
+        table.vacuum(keep)
 
     return write
 
