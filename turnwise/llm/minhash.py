@@ -6,9 +6,9 @@ Classes that agree in all rows of a band are candidates.  Two sets of similarity
 in a band with probability s^7, so of links at 0.80 one in 10^8 meets in none of the 80
 bands, while sets at 0.1 meet once in 10^5 pairs: candidates do not run together.
 
-Equal band keys are chained where they are found (a task keeps one class per key), so a
-key that a third of all classes have is a few rows a task.  The chains' components are
-candidate parts, cut to tiles of bounded size; only sets with candidates move.  In a tile
+Classes of equal band keys are linked to the least one where they are found (a task then
+keeps that one), so a key that a third of all classes have is a few rows a task.  The
+components of these links are candidate parts, cut to tiles of bounded size; only sets with candidates move.  In a tile
 signatures are held against each other first: a pair at 0.80 passes but once in 10^10.
 What passes is decided by exact intersection of the full sets.  A tile gives back a
 spanning forest of its links; components come from alternating large and small stars.
@@ -157,13 +157,13 @@ def _set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def _chained(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, name) of each key, and the links between classes of equal keys."""
+    """One (key, name) of each key, the least, and links of its other classes to that one."""
     order = np.lexsort((names, keys))
     keys, names = keys[order], names[order]
-    same = keys[1:] == keys[:-1]
-    first = np.concatenate([[True], ~same]) if len(keys) else np.empty(0, bool)
-    link = same & (names[1:] != names[:-1])
-    pairs = np.unique(np.column_stack([names[:-1][link], names[1:][link]]), axis=0)
+    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
+    least = names[first][np.cumsum(first) - 1]
+    link = names != least
+    pairs = np.unique(np.column_stack([least[link], names[link]]), axis=0)
     return keys[first], names[first], pairs
 
 
@@ -284,7 +284,17 @@ def _tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(b, np.uint64) for b in frame["shingles"]]
     found = tile_forest(sets, frame["side"].to_numpy() if key[1] != key[2] else None)
     names = frame["class"].tolist()
-    return pd.DataFrame([(names[i], names[j]) for i, j in found], columns=["u", "v"], dtype=object)
+    # a tree of links goes on as a star around its least class, which settles sooner
+    home: dict[int, list[int]] = {}
+    for i, j in found:
+        small, large = sorted((home.setdefault(i, [i]), home.setdefault(j, [j])), key=len)
+        large.extend(small)
+        home.update(dict.fromkeys(small, large))
+    stars = []
+    for tree in {id(t): t for t in home.values()}.values():
+        least, *others = sorted(names[i] for i in tree)
+        stars += [(least, other) for other in others]
+    return pd.DataFrame(stars, columns=["u", "v"], dtype=object)
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
