@@ -20,6 +20,7 @@ gives an empty result; other columns are not looked at unless named in ``keep``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -209,10 +210,16 @@ def _room(rows: np.ndarray, size: int) -> np.ndarray:
     return rows
 
 
+@functools.lru_cache(maxsize=1)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One per Python worker, so that tasks share the tokenizers and what they learnt."""
+    return Aligner(path_a, path_b)
+
+
 def _aligned(
     batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, kept: list[str], keep_groups: bool
 ) -> Iterator[pa.RecordBatch]:
-    aligner = Aligner(path_a, path_b)
+    aligner = _aligner(path_a, path_b)
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
             part = batch.slice(start, ROWS)
