@@ -7,6 +7,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from turnwise.llm import fingerprint, language, pieces, pii, quality, queries, url_filter
 
@@ -209,6 +210,54 @@ def test_trust_and_distrust_follow_links(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_scores_settle_on_a_ring(spark):
+    """Hosts in a ring, each with 8 of 100 pages blocked: 8 rounds are not enough."""
+    hosts = [f"h{i}.net" for i in range(12)]
+    rows = []
+    for i, host in enumerate(hosts):
+        link = f'<a href="http://{hosts[(i + 1) % 12]}/x">y</a>'
+        rows += [(f"http://{host}/es/{n}" if n < 8 else f"http://{host}/{n}", link) for n in range(100)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    limit = 0.08 / 0.15
+    settled = url_filter.judge_urls(pages, rounds=None).where("rule is null").collect()
+    assert len(settled) == 12 * 92
+    assert all(abs(r.distrust - limit) < 1e-4 and r.verdict == "block" for r in settled)
+    stopped = url_filter.judge_urls(pages).where("rule is null")
+    assert stopped.where("verdict = 'block'").count() == 0
+    # without links between hosts there is one round and the seeds stay
+    alone = url_filter.judge_urls(pages.withColumn("html", F.lit(None).cast("string")), rounds=None)
+    assert alone.where("rule is null").select("distrust").distinct().first().distrust == 0.08
+    assert url_filter.judge_urls(pages.limit(0), rounds=None).count() == 0
+
+
+def test_settled_scores_equal_plain_iteration(spark):
+    rng = random.Random(9)
+    edges = {(rng.randint(0, 25), rng.randint(0, 25)): rng.randint(1, 4) for _ in range(70)}
+    edges = {k: n for k, n in edges.items() if k[0] != k[1]}
+    pages = []
+    for (a, b), n in edges.items():
+        pages += [(f"http://h{a}.{('net', 'com', 'org')[a % 3]}/{('es/', '')[n % 2]}{b}", f'<a href="//h{b}.{("net", "com", "org")[b % 3]}/">x</a>')] * n
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    ruled = url_filter.judged_by_rules(rows).collect()
+    trust, distrust = {}, {}
+    names = {r.host for r in ruled} | {f"h{b}.{('net', 'com', 'org')[b % 3]}" for _, b in edges}
+    mine = {h: [r.ruled for r in ruled if r.host == h] for h in names}
+    good = {h: sum(x == "allow" for x in m) / max(len(m), 1) for h, m in mine.items()}
+    bad = {h: sum(x == "block" for x in m) / max(len(m), 1) for h, m in mine.items()}
+    named = {(f"h{a}.{('net', 'com', 'org')[a % 3]}", f"h{b}.{('net', 'com', 'org')[b % 3]}"): n for (a, b), n in edges.items()}
+    sent = {h: sum(n for (a, _), n in named.items() if a == h) for h in names}
+    got = {h: sum(n for (_, b), n in named.items() if b == h) for h in names}
+    trust, distrust = dict(good), dict(bad)
+    for _ in range(400):
+        trust = {h: good[h] + 0.85 * sum(trust[a] * n / sent[a] for (a, b), n in named.items() if b == h) for h in names}
+        distrust = {h: bad[h] + 0.85 * sum(distrust[b] * n / got[b] for (a, b), n in named.items() if a == h) for h in names}
+    for r in url_filter.judge_urls(rows, rounds=None).collect():
+        assert abs(r.trust - trust[r.host]) < 1e-4 and abs(r.distrust - distrust[r.host]) < 1e-4
+        if r.rule is None:
+            expected = distrust[r.host] >= 0.5 and distrust[r.host] > trust[r.host]
+            assert (r.verdict == "block") == expected
+
+
 # --- pieces ------------------------------------------------------------------
 
 

@@ -44,7 +44,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = configure(spark).read.parquet(f"{sf_dir}/pages.parquet")
-    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge_urls(pages, rounds=None).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,19 +99,50 @@ def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, round
     return scores
 
 
+def settled_scores(
+    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 300
+) -> DataFrame:
+    """Like :func:`host_scores`, until no host's score grows by more than ``tolerance``.
+
+    A round moves what the last one added and adds what arrives, so it ends by itself on
+    a graph without cycles.  Raises if the rounds do not suffice, rather than stop early.
+    """
+    scores = step = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    zero = F.lit(0.0)
+    sums = (F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    for _ in range(most_rounds):
+        forward = edges.join(step, edges["src"] == step["host"]).select(
+            F.col("dst").alias("host"), (F.col("share") * F.col("trust") * damping).alias("trust"), zero.alias("distrust")
+        )
+        backward = edges.join(step, edges["dst"] == step["host"]).select(
+            F.col("src").alias("host"), zero.alias("trust"), (F.col("back") * F.col("distrust") * damping).alias("distrust")
+        )
+        moved = forward.unionAll(backward).groupBy("host").agg(*sums)
+        step = saved(moved.where("trust > 0 or distrust > 0"))
+        largest = step.agg(F.max(F.greatest("trust", "distrust"))).first()[0]
+        if largest is None:
+            return scores
+        scores = saved(scores.unionAll(step).groupBy("host").agg(*sums))
+        if largest <= tolerance:
+            return scores
+    raise RuntimeError("trust and distrust did not settle")
+
+
 def judge_urls(
-    pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, distrust: float = 0.5
+    pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int | None = 8, distrust: float = 0.5
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A host is blocked when its distrust reaches ``distrust`` and exceeds its trust.
+    ``rounds`` is how far scores travel; None lets them travel until they settle.
     """
     ruled = saved(judged_by_rules(pages, rules))
     share = lambda what: F.avg((F.coalesce("ruled", F.lit("")) == what).cast("double"))
     seeds = saved(
         ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     )
-    scores = host_scores(seeds, host_edges(pages), damping, rounds)
+    edges = host_edges(pages)
+    scores = settled_scores(seeds, edges, damping) if rounds is None else host_scores(seeds, edges, damping, rounds)
     bad = (F.col("distrust") >= distrust) & (F.col("distrust") > F.col("trust"))
     return ruled.join(scores, "host", "left").select(
         "page_id",
