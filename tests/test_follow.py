@@ -200,4 +200,4 @@ def test_a_stream_takes_over_from_stored_state(spark, tmp_path, cut):
     for key, row in got.items():
         same = set(row) & set(want[key]) - {"chunk"}
         assert {c: row[c] for c in same} == {c: want[key][c] for c in same}
-        assert len(same) > 50
+        assert len(same) >= 50  # counters, times, windows, bands and labels
