@@ -85,6 +85,27 @@ def match_roots(paths: DataFrame, roots: Sequence[str]) -> DataFrame:
     )
 
 
+def longest_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """path, root_path, root_id, root_label: for each path the longest root that holds it.
+
+    Any number of roots (column ``root_path``): a path's folders become rows and meet the
+    roots in an equal join, so no path is compared with every root.  Paths without a root
+    stay, with nulls; a path that is a root itself is inside it.
+    """
+    named = roots.select(F.rtrim(F.col("root_path"), F.lit("/")).alias("root_path")).distinct()
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    whole = paths.select("path").distinct()
+    held = whole.select("path", F.explode(folders).alias("root_path")).join(named, "root_path")
+    found = held.groupBy("path").agg(F.max_by("root_path", F.length("root_path")).alias("root_path"))
+    return whole.join(found, "path", "left").withColumns(
+        {
+            "root_id": F.when(F.col("root_path").isNotNull(), root_id(F.col("root_path"))),
+            "root_label": F.col("root_path"),
+        }
+    )
+
+
 def project_hash(path: Column) -> Column:
     """Directory right under ``projects/``, else 16 hex digits of the path's hash."""
     found = F.regexp_extract(path, r"(?:^|/)projects/([^/]+)", 1)

@@ -24,12 +24,14 @@ from turnwise.operators import metrics as M
 from turnwise.operators import normalize as N
 from turnwise.operators import ranks
 from turnwise.operators import reports as R
+from turnwise.operators import segments as S
 from turnwise.operators import turns as T
 from turnwise.plans.pipeline import normalise_to_table
 from turnwise.sources import files as files_
 from turnwise.sources import lines as lines_
 from turnwise.sources import sinks, stores
 from turnwise.sources import tables as tab
+from turnwise.sources.buckets import KeyedTable
 from turnwise.sources.session import configure, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1260,6 +1262,54 @@ def streamed_segments(spark, folder):
     )
 
 
+@query
+def resumed_stream(spark, folder):
+    """The first half of every transcript by batch, into stored state; a stream goes on from it."""
+    from turnwise.plans.pipeline import read_state, state_rows
+    from turnwise.streaming import live
+
+    base = _fresh(spark, "resume")
+    lines = tab.transcript_lines(spark, folder, span=512)
+    low, high = lines.agg(F.min("line_no"), F.max("line_no")).first()
+    early = F.col("line_no") <= (low + high) // 2
+    parsed = normalise_to_table(lines.filter(early), f"{base}/parsed")
+    for name, rows in zip(("segments", "ids"), state_rows(parsed)):
+        KeyedTable(spark, f"{base}/{name}").replace(rows, rows)
+    initial, known = read_state(spark, base)
+    live.narrow_lines(lines.filter(~early)).write.parquet(f"{base}/in")
+    source = spark.readStream.schema(live.NARROW).parquet(f"{base}/in")
+    live.run_available(source, f"{base}/live", f"{base}/checkpoint", timers=False, initial=initial, known=known)
+    out = stores.read_latest(spark, f"{base}/live").select(
+        KEY, "event_count", "calls", "mutations_total", "mutations_with_path", "thinking_blocks", "visible_blocks",
+        "prompts", "total_lines", "parsed_events", "duplicate_count", "parse_confidence", "visible_chars_median",
+        "signature_chars_median", "reads", "research", "mutations", "blind_mutations",
+    )
+    return out.withColumns(six("parse_confidence", "visible_chars_median", "signature_chars_median"))
+
+
+@query
+def tick_log(spark, folder):
+    """Three ticks over user sessions: fleet size and churn from the log, one tick done twice."""
+    from turnwise.streaming import live
+
+    base = _fresh(spark, "ticks")
+    rows = live.narrow_events(tab.tool_events(spark, folder, span=1 << 40))
+    segments = S.chunk_segments(rows.withColumn("repeated", F.lit(False))).withColumn("user", F.col(KEY).cast("int"))
+    segments.write.parquet(f"{base}/segments")
+    segments = spark.read.parquet(f"{base}/segments")
+    for tick in (0, 1, 1, 2):
+        some = segments.filter(F.col("user") % 3 <= tick).withColumn("closed", F.lit(tick == 2))
+        wide = live.with_metrics(S.session_columns(some.drop("user")).join(S.length_medians(some), KEY, "left"))
+        wide = wide.withColumns(
+            {
+                "row_type": F.when(F.lit(tick == 2) & (F.col(KEY).cast("int") % 2 == 0), "final").otherwise("live"),
+                "state": F.lit("active"),
+            }
+        )
+        live.merge_batch(f"{base}/live")(wide, tick)
+    return live.fleet_by_tick(live.read_ticks(spark, f"{base}/live"))
+
+
 @query
 def streamed_late_chunks(spark, folder):
     """Transcripts land as chunk files, every second chunk of a session before the others."""
@@ -1333,6 +1383,41 @@ def events_until_day(spark, folder):
     return rows.groupBy(KEY).agg(F.count("*").alias("n"))
 
 
+@query
+def store_rewritten_buckets(spark, folder):
+    """One changed session copies one bucket, one deleted session another; all versions stay whole."""
+    base = _fresh(spark, "buckets")
+    reports = tab.day_reports(spark, folder).select(KEY, "event_count", F.col("ended_at").alias("updated_at"))
+    reports.write.parquet(f"{base}/reports")
+    reports = spark.read.parquet(f"{base}/reports")
+    table = KeyedTable(spark, f"{base}/table", buckets=32)
+    table.upsert(reports)
+    one = reports.filter(F.col(KEY) == "3-2024-01-05")
+    changed = one.withColumns({"event_count": F.lit(-1), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY")})
+    table.upsert(changed)
+    table.upsert(one)
+    table.delete(one)
+    found = [
+        table.read(v).agg(F.count("*").alias("rows"), F.sum("event_count").alias("events")).select(
+            F.lit(v).alias("version"), F.lit(len(table.manifest(v)["written"])).alias("rewritten"), "rows", "events"
+        )
+        for v in table.versions()
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query
+def files_by_root(spark, folder):
+    """Transcript paths under three configured roots, one inside another; the longest wins."""
+    paths = tab.transcript_lines(spark, folder).select("path").distinct()
+    roots = spark.createDataFrame([("/data/projects/",), ("/data/projects/p1",), ("/data/projects/p7/",)], "root_path string")
+    out = R.longest_roots(paths, roots)
+    return out.groupBy("root_path").agg(F.count("*").alias("files"), F.countDistinct("root_id").alias("roots"))
+
+
 @query
 def store_by_path(spark, folder):
     sessions = tab.day_reports(spark, folder).withColumn("path", F.concat(F.lit("/logs/"), KEY))

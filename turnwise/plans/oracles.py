@@ -761,6 +761,41 @@ ORACLES: dict[str, str] = {
         {_six('read_edit_ratio', 'read_edit_ratio')}, CASE WHEN classified < 10 THEN 'ok' WHEN read_edit_ratio < 2 THEN 'critical'
         WHEN read_edit_ratio < 4 THEN 'warn' ELSE 'ok' END AS read_edit_severity FROM metric""",
     "streamed_segments": _streamed_sessions(),
+    "resumed_stream": f"""{_LINES}, late AS (SELECT DISTINCT session_key FROM lo WHERE line_no > (SELECT (min(seq) + max(seq)) // 2 FROM raw)),
+        calls AS (SELECT *, CASE tool_name WHEN 'read' THEN 'read' WHEN 'grep' THEN 'research' ELSE 'mutation' END AS category,
+            row_number() OVER (PARTITION BY session_key ORDER BY line_no, block_no) AS call_no,
+            row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC, block_no DESC) AS back_no FROM ev WHERE kind = 'tool_call'),
+        looked AS (SELECT *, max(CASE WHEN category <> 'mutation' THEN call_no END) OVER (PARTITION BY session_key, file_path ORDER BY call_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_look FROM calls),
+        c AS (SELECT session_key, count(*) AS calls, count(*) FILTER (WHERE category = 'mutation') AS mutations_total,
+            count(*) FILTER (WHERE category = 'mutation' AND file_path IS NOT NULL) AS mutations_with_path,
+            count(*) FILTER (WHERE category = 'read' AND back_no <= 50) AS reads, count(*) FILTER (WHERE category = 'research' AND back_no <= 50) AS research,
+            count(*) FILTER (WHERE category = 'mutation' AND back_no <= 50) AS mutations,
+            count(*) FILTER (WHERE category = 'mutation' AND file_path IS NOT NULL AND (last_look IS NULL OR call_no - last_look > 20)) AS blind_mutations
+            FROM looked GROUP BY session_key),
+        e AS (SELECT session_key, count(*) AS event_count, count(*) FILTER (WHERE kind = 'thinking') AS thinking_blocks,
+            count(*) FILTER (WHERE kind = 'thinking' AND NOT redacted) AS visible_blocks, count(*) FILTER (WHERE kind = 'user') AS prompts,
+            {_six("median(CASE WHEN kind = 'thinking' AND NOT redacted AND thinking_len > 0 THEN CAST(thinking_len AS DOUBLE) END)", 'visible_chars_median')},
+            {_six("median(CASE WHEN kind = 'thinking' AND length(signature) > 0 THEN CAST(length(signature) AS DOUBLE) END)", 'signature_chars_median')}
+            FROM ev GROUP BY session_key)
+        SELECT st.session_key, {", ".join(f"coalesce({c}, 0) AS {c}" for c in (
+            'event_count', 'calls', 'mutations_total', 'mutations_with_path', 'thinking_blocks', 'visible_blocks', 'prompts', 'reads', 'research',
+            'mutations', 'blind_mutations'))}, total_lines, CAST(parsed_events AS BIGINT) AS parsed_events, duplicate_count,
+            {_six('parse_confidence', 'parse_confidence')}, visible_chars_median, signature_chars_median
+        FROM st JOIN late USING (session_key) LEFT JOIN c USING (session_key) LEFT JOIN e USING (session_key)""",
+    "tick_log": """WITH u AS (SELECT DISTINCT user_id % 3 AS first, user_id % 2 = 0 AS even, user_id FROM events),
+        t AS (SELECT unnest([0, 1, 2]) AS tick)
+        SELECT tick, count(*) FILTER (WHERE first <= tick) AS seen, count(*) FILTER (WHERE first = tick) AS new,
+            count(*) FILTER (WHERE tick = 2 AND even) AS ended, count(*) FILTER (WHERE first <= tick AND NOT (tick = 2 AND even)) AS live
+        FROM u, t GROUP BY tick""",
+    "store_rewritten_buckets": f"""{BY_DAY}, v AS (SELECT unnest([1, 2, 3, 4]) AS version)
+        SELECT version, CASE WHEN version = 1 THEN 32 ELSE 1 END AS rewritten,
+            count(*) FILTER (WHERE version < 4 OR session_key <> '3-2024-01-05') AS "rows",
+            sum(CASE WHEN session_key <> '3-2024-01-05' OR version = 1 THEN event_count WHEN version < 4 THEN -1 ELSE 0 END)::BIGINT AS events
+        FROM rep, v GROUP BY version""",
+    "files_by_root": """WITH p AS (SELECT DISTINCT user_id, user_id % 20 AS n FROM events)
+        SELECT CASE WHEN n IN (1, 7) THEN '/data/projects/p' || n ELSE '/data/projects' END AS root_path,
+            count(*) AS files, 1 AS roots FROM p GROUP BY ALL""",
     "sink_events_by_day": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events
         WHERE ts >= DATE '2024-01-10' GROUP BY ALL""",
     "sink_events_every_day": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events GROUP BY ALL",

@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -483,12 +483,16 @@ def _from_counters(key: str, row: dict[str, Any]) -> dict[str, Any]:
 # ------------------------------------------------------------------ pipeline
 
 
-def wide_columns(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
-    """``with_metrics`` and the severities and labels that metric rows are made of."""
-    rows = with_metrics(rows, cfg).withColumn("missing_fields", F.lit(None).cast("map<string,bigint>"))
+def label_columns(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
+    """The severities and labels that metric rows are made of, beside ``with_metrics``."""
+    rows = rows.withColumn("missing_fields", F.lit(None).cast("map<string,bigint>"))
     return M.with_parse_health(rows, cfg).withColumns({**M.stop_columns(cfg), **M.thinking_columns()})
 
 
+def wide_columns(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
+    return label_columns(with_metrics(rows, cfg), cfg)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -541,18 +545,27 @@ def with_metrics(rows: DataFrame, cfg: MetricConfig = DEFAULTS) -> DataFrame:
 KEPT_VERSIONS = 8
 
 
-def merge_batch(base: str, *, keep: int = KEPT_VERSIONS):
-    """``foreachBatch`` function: latest row per session into the next table version.
+def merge_batch(base: str, *, keep: int = KEPT_VERSIONS, cfg: MetricConfig = DEFAULTS):
+    """``foreachBatch`` function: a tick.
 
-    Only the buckets of the batch's sessions are written.  The version is the batch id,
-    so a replayed batch rewrites the same version.
+    The batch's snapshots go to the tick log, its latest row per session into the next
+    version of the session table, where only the buckets of its sessions are written.
+    Both are named by the batch id, so a replayed batch writes the same again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the state advanced once; the keys and the merge both read its rows
+        # the state advanced once; what follows reads its rows
         batch.write.mode("overwrite").parquet(f"{base}/changes")
-        stamped = spark.read.schema(batch.schema).parquet(f"{base}/changes").withColumn(
+        batch = spark.read.schema(batch.schema).parquet(f"{base}/changes")
+        # a session has several rows if it goes on and ends in one batch: the last one counts
+        order = F.struct((F.col("row_type") == "final").alias("f"), "event_count")
+        rows = label_columns(batch, cfg)
+        names = ("row_type", "state", "event_count")
+        snapshots = M.snapshot_rows(rows, keys=(KEY, *names)).groupBy(KEY, "metric_name")
+        snapshots = snapshots.agg(F.max_by(F.struct("value", "severity", "label", *names), order).alias("s"))
+        stores.write_version(snapshots.select(KEY, "metric_name", "s.*"), f"{base}/ticks", batch_id)
+        stamped = batch.withColumn(
             "updated_at",
             F.struct(F.lit(batch_id).alias("b"), (F.col("row_type") == "final").alias("f"), "event_count"),
         )
@@ -563,6 +576,29 @@ def merge_batch(base: str, *, keep: int = KEPT_VERSIONS):
     return write
 
 
+def read_ticks(spark: SparkSession, base: str) -> DataFrame:
+    """The tick log: tick (batch id), session, metric, value, severity, label, state."""
+    held = spark.read.option("basePath", f"{base}/ticks").parquet(f"{base}/ticks")
+    return held.withColumnRenamed("version", "tick")
+
+
+def fleet_by_tick(ticks: DataFrame) -> DataFrame:
+    """tick, seen, new, ended, live: the fleet's size and churn.
+
+    A session is live from its first tick until the tick that ends it.  There is one row
+    a tick before anything is summed up in order.
+    """
+    per = ticks.filter(F.col("metric_name") == "parse_health").select(KEY, "tick", "row_type")
+    span = per.groupBy(KEY).agg(F.min("tick").alias("tick"))
+    begun = span.groupBy("tick").agg(F.count("*").alias("new"))
+    seen = per.groupBy("tick").agg(
+        F.count("*").alias("seen"), F.count_if(F.col("row_type") == "final").alias("ended")
+    )
+    rows = seen.join(begun, "tick", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    until = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("live", F.sum(F.col("new") - F.col("ended")).over(until))
+
+
 def run_available(
     rows: DataFrame,
     base: str,
@@ -586,7 +622,7 @@ def run_available(
         .writeStream.outputMode("update")
         .option("checkpointLocation", f"{checkpoint}/sessions")
         .trigger(availableNow=True)
-        .foreachBatch(merge_batch(base))
+        .foreachBatch(merge_batch(base, cfg=cfg))
         .start()
     )
     stream.awaitTermination()
