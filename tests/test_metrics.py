@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.functions import text
-from turnwise.model import LOOP_PHRASES, STOP_PHRASES, Phrase
+from turnwise.model import KEY, LOOP_PHRASES, STOP_PHRASES, Phrase
 from turnwise.operators import metrics as M
 from turnwise.operators import normalize as N
 from turnwise.operators import ordered, ranks
@@ -208,3 +208,21 @@ def test_exact_quantiles_for_any_bucket_count(spark):
             lo, hi = int(place), min(int(place) + 1, 200)
             want = ordered_values[lo] + (ordered_values[hi] - ordered_values[lo]) * (place - lo)
             assert got == pytest.approx(want)
+
+
+def test_last_rows_come_from_the_last_chunks_alone(spark):
+    """A session in 1,000 chunks: few rows are ranked, and they are the right ones."""
+    rows = spark.range(20_000, numPartitions=50).select(
+        F.when(F.col("id") % 10 == 3, "small").otherwise("hot").alias(KEY),
+        F.floor(F.col("id") / 20).alias("chunk"),
+        F.col("id").alias("seq"),
+    )
+    kept = ordered.latest_chunks(rows, 50)
+    ranked = rows.join(kept, [KEY, "chunk"], "left_semi").groupBy(KEY).count().collect()
+    # at most the rows asked for and one chunk
+    assert {r[KEY]: r["count"] for r in ranked} == {"hot": 54, "small": 50}
+    last = {r[KEY]: r.s for r in ordered.newest(rows, 50).groupBy(KEY).agg(F.sort_array(F.collect_list("seq")).alias("s")).collect()}
+    assert last["hot"] == [i for i in range(20_000) if i % 10 != 3][-50:]
+    assert last["small"] == [i for i in range(20_000) if i % 10 == 3][-50:]
+    plain = ordered.newest(rows.drop("chunk"), 50)
+    assert plain.exceptAll(ordered.newest(rows, 50).drop("chunk")).count() == 0

@@ -59,7 +59,7 @@ def window_counts(
     events: DataFrame, *, cfg: MetricConfig = DEFAULTS, keys: Keys = (KEY,)
 ) -> DataFrame:
     """Category counts over each session's last ``window_size`` tool calls."""
-    calls = tool_calls(events, keys).select(*keys, SEQ, "category")
+    calls = tool_calls(events, keys).select(*keys, CHUNK, SEQ, "category")
     is_cat = {c: F.col("category") == c for c in ("read", "research", "mutation", "other")}
     out = newest(calls, cfg.window_size, keys=keys).groupBy(*keys).agg(
         F.count_if(is_cat["read"]).alias("reads"),

@@ -29,6 +29,7 @@ from turnwise.model import (
     STRUCTURAL_KINDS,
     TOOL_ALIASES,
 )
+from turnwise.operators.ordered import newest
 
 # Wall-clock fallback for timestamps is the file time, so reruns agree.
 _ISO = (
@@ -495,12 +496,9 @@ def parse_stats(outcomes: DataFrame, *, window: int = 200, keys: Sequence[str] =
         F.count_if("duplicate").alias("duplicate_count"),
         F.least(F.lit(1.0), F.sum("parsed_events") / F.count("*")).alias("session_confidence"),
     )
-    latest = Window.partitionBy(*keys).orderBy(F.col("line_no").desc())
+    said = outcomes.filter(F.col("ok").isNotNull()).select(*keys, CHUNK, "line_no", "ok")
     recent = (
-        outcomes.filter(F.col("ok").isNotNull())
-        .select(*keys, "line_no", "ok")
-        .withColumn("_rank", F.row_number().over(latest))
-        .filter(F.col("_rank") <= window)
+        newest(said, window, keys=keys, order=["line_no"])
         .groupBy(*keys)
         .agg((F.count_if("ok") / F.count("*")).alias("parse_confidence"))
     )

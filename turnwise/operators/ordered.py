@@ -77,14 +77,30 @@ def last_before(
     )
 
 
+def latest_chunks(df: DataFrame, n: int, *, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """(keys, chunk) of the last chunks that together hold a key's last ``n`` rows.
+
+    From a count per chunk: a chunk stays while fewer than ``n`` rows come after it.
+    """
+    keys = list(keys)
+    later = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(_START, -1)
+    counts = df.groupBy(*keys, CHUNK).agg(F.count("*").alias("_rows"))
+    after = F.coalesce(F.sum("_rows").over(later), F.lit(0))
+    return counts.withColumn("_after", after).filter(F.col("_after") < n).select(*keys, CHUNK)
+
+
 def newest(
     df: DataFrame, n: int, *, keys: Sequence[str] = (KEY,), order: Sequence[str] = (SEQ,)
 ) -> DataFrame:
     """Keep each key's last ``n`` rows.
 
-    Spark prunes to ``n`` rows per key inside every map task before the shuffle
-    (window group limit), so at most tasks * n rows of a key ever move.
+    Where there are chunks, only the last ones that hold ``n`` rows are ranked: at most
+    ``n`` rows and one chunk of a key meet in one task, however many splits its rows
+    come from.  ``order`` has to grow with the chunk.  Without chunks Spark prunes to
+    ``n`` rows per key inside every map task (window group limit).
     """
+    if CHUNK in df.columns:
+        df = df.join(latest_chunks(df, n, keys=keys), [*keys, CHUNK], "left_semi")
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
