@@ -243,3 +243,18 @@ def test_empty_tables(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert lexical.search(empty, items).count() == 0
     assert lexical.search(docs, items.where(F.lit(False))).count() == 0
+
+
+def test_ranges_of_an_id_that_many_rows_have():
+    from turnwise.llm.fingerprint import _Cuts
+
+    rng = np.random.default_rng(8)
+    places = np.sort(np.concatenate([np.full(4_000, -np.inf), rng.integers(0, 3_000, 4_000).astype(float), np.full(2_000, 77.0)]))
+    ties = rng.integers(-(1 << 63), (1 << 63) - 1, len(places))
+    found = [places[len(places) * i // 50] for i in range(1, 50)]
+    number = _Cuts(found).number(places, ties)
+    assert np.bincount(number).max() < 2.5 * len(places) / 50
+    # ranges follow the order: later places and ties never have a greater number
+    order = np.lexsort((ties, places))
+    assert (np.diff(number[order]) <= 0).all() and number.min() >= 0
+    assert _Cuts([]).number(places, ties).max() == 0

@@ -156,11 +156,35 @@ def _compare(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.Re
         raise AssertionError("a range of rows came without the first row of the next")
 
 
+class _Cuts:
+    """Borders of ranges in the order (place, tie); an id that many rows have gets several.
+
+    ``found`` are quantiles of the places.  A place that is k of them is cut k times, at
+    even steps of the tie, which is a hash of the text.
+    """
+
+    def __init__(self, found: list[float]):
+        self.places, self.times = np.unique(np.array(found, float), return_counts=True)
+        self.before = np.concatenate([[0], np.cumsum(self.times)])
+
+    def number(self, places: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """A row's range, 0 for the greatest place and tie."""
+        at = np.searchsorted(self.places, places)
+        passed = self.before[at]
+        if len(self.places):
+            own = np.minimum(at, len(self.places) - 1)
+            step = np.floor((ties.astype(float) / 2.0**64 + 0.5) * self.times[own])
+            step = 1 + np.clip(step, 0, self.times[own] - 1).astype(np.int64)
+            passed = passed + np.where((at < len(self.places)) & (self.places[own] == places), step, 0)
+        return self.before[-1] - passed
+
+
 def fingerprints(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int = 10_000, **options) -> DataFrame:
     """One row per document: its own and its edited text's fingerprint, and likenesses.
 
     Rows are cut into ranges of the order (id descending, then the text's hash), at
-    approximate quantiles of the ids.  The driver holds one cut and one first row's id a
+    approximate quantiles of the ids and, where many rows have one id or none, evenly
+    inside it.  Equal rows stay together.  The driver holds one cut and one first row's id a
     range, at most ``most_ranges`` of them; where exactly the cuts lie changes no result.
     """
     spark = docs.sparkSession
@@ -178,14 +202,14 @@ def fingerprints(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int
     ranges = min(most_ranges, max(1, count // rows_per_range))
     shares = [i / ranges for i in range(1, ranges)]
     found = narrow.agg(F.percentile_approx("place", shares, 20 * ranges).alias("c")).first()["c"] if shares else []
-    cuts = np.array(sorted(set(found)))
+    cuts = _Cuts(found)
 
     @F.pandas_udf("int")
-    def number(places: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, places.to_numpy(), side="right"))
+    def number(places: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(cuts.number(places.to_numpy(), ties.to_numpy()))
 
     order = F.struct("place", "doc_id", "tie")
-    firsts = narrow.withColumn("range", number("place")).groupBy("range").agg(F.max(order).alias("first"))
+    firsts = narrow.withColumn("range", number("place", "tie")).groupBy("range").agg(F.max(order).alias("first"))
     first = {r["range"]: r["first"] for r in firsts.collect()}
     names = sorted(first)
     # the first row of a range is also the guest at the end of the one before
@@ -198,7 +222,7 @@ def fingerprints(docs: DataFrame, rows_per_range: int = 2_000, most_ranges: int
         F.broadcast(hosts), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie"))
     ).dropDuplicates(["host"])
     columns = ["doc_id", "text", "tie", "range", "guest"]
-    placed = rows.withColumn("place", place).withColumn("range", number("place")).withColumn("guest", F.lit(False))
+    placed = rows.withColumn("place", place).withColumn("range", number("place", "tie")).withColumn("guest", F.lit(False))
     visiting = visiting.withColumn("range", F.col("host")).withColumn("guest", F.lit(True))
     dealt = placed.select(*columns).unionAll(visiting.select(*columns)).repartition(len(names), "range")
     ordered = dealt.sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
