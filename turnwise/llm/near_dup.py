@@ -43,6 +43,8 @@ MOST_COMMON = 1 << 20
 SLOT_BITS = 27
 #: Shingles of one tile's side.
 TILE = 2_000_000
+#: Text whose shingles share a bucket, about five million of them.
+BUCKET_BYTES = 32 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
 
@@ -399,8 +401,9 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None, tile: int = TIL
     """One row per document: doc_id, text_hash, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    # a bucket per shuffle partition and more, so one is far smaller than a task's memory
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as the text needs, so none grows with the input
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    buckets = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     groups = candidate_groups(docs, buckets)
     slots = spark.sparkContext.broadcast(_slots(groups))
     rows = saved(docs.mapInArrow(lambda b: _set_pass(b, slots), _DOC))
