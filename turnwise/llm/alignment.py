@@ -24,10 +24,8 @@ import functools
 import hashlib
 import os
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain, product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,29 +40,62 @@ MOST_LISTED = 1 << 20
 #: Texts aligned, and rows returned, at once.
 ROWS = 128
 _SEGMENT = re.compile(r"(?s).+?[\w.,;:!?](?= )|.+")
+_ENDS = re.compile(r"[\w.,;:!?]")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def split_at_shared(
+    ends_a: np.ndarray, ends_b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Groups (first a, behind last a, first b, behind last b) of many intervals, in order.
+
+    All intervals go side by side.  A round looks for an end of A near the middle of each,
+    by bisection in the ends of B; an interval that has one is halved there and both
+    halves go on, one without is a group.
+    """
+    leaves = []
+    while len(a0):
+        middle, width = (a0 + a1 - 1) // 2, a1 - a0
+        cut_a, cut_b = np.full(len(a0), -1), np.full(len(a0), -1)
+
+        def found(which: np.ndarray, i: np.ndarray) -> np.ndarray:
+            """Bisect for the ends ``i``; notes those that B shares inside the interval."""
+            inside = (i >= a0[which]) & (i < a1[which] - 1)
+            j = np.searchsorted(ends_b, ends_a[np.where(inside, i, 0)])
+            j = np.minimum(j, len(ends_b) - 1)
+            hit = inside & (j < b1[which] - 1) & (ends_b[j] == ends_a[np.where(inside, i, 0)])
+            cut_a[which[hit]], cut_b[which[hit]] = i[hit], j[hit]
+            return hit
+
+        open_, step = np.flatnonzero((width > 1) & (b1 - b0 > 1)), 0
+        while len(open_) and step < 32:
+            # the middle, then one to the right, one to the left, and so on outwards
+            hit = found(open_, middle[open_] + (step + 1) // 2 * (1 if step % 2 else -1))
+            step += 1
+            open_ = open_[~hit & (step <= width[open_])]
+        for n in open_.tolist():
+            # far from the middle: all ends of a long interval at once, the nearest first
+            i = np.arange(a0[n], a1[n] - 1)
+            i = i[np.argsort(np.abs(i - middle[n]), kind="stable")]
+            j = np.minimum(np.searchsorted(ends_b, ends_a[i]), len(ends_b) - 1)
+            shared = np.flatnonzero((ends_b[j] == ends_a[i]) & (j < b1[n] - 1))
+            if len(shared):
+                cut_a[n], cut_b[n] = i[shared[0]], j[shared[0]]
+        leaf = cut_a < 0
+        leaves.append([x[leaf] for x in (a0, a1, b0, b1)])
+        a0, a1, b0, b1, cut_a, cut_b = (x[~leaf] for x in (a0, a1, b0, b1, cut_a, cut_b))
+        a0, a1 = np.concatenate([a0, cut_a + 1]), np.concatenate([cut_a + 1, a1])
+        b0, b1 = np.concatenate([b0, cut_b + 1]), np.concatenate([cut_b + 1, b1])
+    groups = [np.concatenate(x) for x in zip(*leaves)] if leaves else [a0, a1, b0, b1]
+    order = np.argsort(groups[0], kind="stable")
+    return tuple(x[order] for x in groups)
+
+
 def shared_groups(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """(first a, after last a, first b, after last b) of each group, in text order."""
-    out = []
-    open_ = [(0, len(ends_a), 0, len(ends_b))]
-    while open_:
-        a0, a1, b0, b1 = open_.pop()
-        middle = (a0 + a1 - 1) // 2
-        for step in range(a1 - a0):
-            # middle, then one to the right, one to the left, and so on outwards
-            i = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-            if not a0 <= i < a1 - 1:
-                continue
-            j = bisect_left(ends_b, ends_a[i], b0, b1 - 1)
-            if j < b1 - 1 and ends_b[j] == ends_a[i]:
-                open_.append((i + 1, a1, j + 1, b1))
-                open_.append((a0, i + 1, b0, j + 1))
-                break
-        else:
-            out.append((a0, a1, b0, b1))
-    return out
+    """The groups of one text from the byte ends of its tokens."""
+    one, two = np.asarray(ends_a, np.int64), np.asarray(ends_b, np.int64)
+    whole = (np.array([x]) for x in (0, len(one), 0, len(two)))
+    return list(zip(*(x.tolist() for x in split_at_shared(one, two, *whole))))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -93,70 +124,132 @@ class Aligner:
             bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace("▁", " ").encode()
             for i in ids
         ]
-        self.wide_a, self.wide_b = ([len(t) for t in x] for x in (self.bytes_a, self.bytes_b))
+        self.wide_a, self.wide_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         inner = [p for p in map(lib.id_to_piece, ids) if "▁" in p.lstrip("▁") or "\n" in p and len(p) > 1]
         if inner:
             raise ValueError("a piece reaches across a word or line border")
         # behind a line end, which no longer piece contains, a segment stands as in its text
         self.head = len(lib.encode("\n"))
         self.remembered, self.held = remembered, 0
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.written: list[str] = []
-        #: of each segment: the counts, and where its linked pairs start and end in ``pairs``
-        self.counts = np.zeros((1024, 6), np.int64)
+        #: of each segment: the counts, where its linked pairs start and end in ``pairs``,
+        #: and in how many places it was met
+        self.counts = np.zeros((1024, 7), np.int64)
         self.pairs, self.times = np.zeros(4096, np.int64), np.ones(4096, np.int64)
         self.filled = 0
         self.broken: set[int] = set()
-        self.held = 0
+
+    def _forget(self) -> None:
+        """Keep the half of the segments that was met most often, none that was met once."""
+        met = self.counts[: len(self.written), 6]
+        kept = np.argsort(-met, kind="stable")[: len(met) // 2]
+        kept = np.sort(kept[met[kept] > 1])
+        names = list(self.place)
+        names = [names[i] for i in kept.tolist()]
+        self.broken = {new for new, old in enumerate(kept.tolist()) if old in self.broken}
+        self.place = dict(zip(names, range(len(names))))
+        self.written = [self.written[i] for i in kept.tolist()]
+        counts = self.counts[kept]
+        many = counts[:, 5] - counts[:, 4]
+        index = np.arange(many.sum()) + np.repeat(counts[:, 4] - np.cumsum(many) + many, many)
+        self.pairs, self.times, self.filled = self.pairs[index], self.times[index], len(index)
+        counts[:, 4], counts[:, 5], counts[:, 6] = np.cumsum(many) - many, np.cumsum(many), 0
+        self.counts = counts
+        self.held = sum(map(len, names)) + 40 * len(names)
+
+    def _ids_a(self, segments: list[str]) -> list[list[int]]:
+        """Ids by A, many segments in one call.
+
+        A segment that ends as ``_SEGMENT`` asks is cut there whatever follows, and all
+        begin with a space, so the ids of some in a row are those of each.
+        """
+        out: list[list[int]] = [[]] * len(segments)
+        ends_well = [n for n, s in enumerate(segments) if _ENDS.match(s[-1])]
+        runs = [ends_well[i : i + 64] for i in range(0, len(ends_well), 64)]
+        runs += [[n] for n, s in enumerate(segments) if not _ENDS.match(s[-1])]
+        found = self.a.encode_batch(["".join([segments[n] for n in run]) for run in runs], add_special_tokens=False)
+        for run, encoding in zip(runs, found):
+            ids = encoding.ids
+            ends = np.cumsum(self.wide_a[np.array(ids, np.int64)])
+            borders = np.cumsum([len(segments[n].encode()) for n in run])
+            behind = np.searchsorted(ends, borders, side="right").tolist()
+            for n, i, j in zip(run, [0, *behind], behind):
+                out[n] = ids[i:j]
+        return out
+
+    def _broken(self, segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[int]:
+        """Segments whose tokens do not give back their bytes."""
+        return [
+            n
+            for n, (segment, a, b) in enumerate(zip(segments, ids_a, ids_b))
+            if not segment.encode() == b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b])
+        ]
 
     def _learn(self, segments: list[str]) -> None:
-        """Encode and align new segments."""
-        ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        ids_b = self.b.encode(["\n" + s for s in segments], num_threads=1)
+        """Encode and align new segments, side by side."""
+        ids_a = self._ids_a(segments)
+        ids_b = [ids[self.head :] for ids in self.b.encode(["\n" + s for s in segments], num_threads=1)]
         first = len(self.written)
-        rows, repeated = [], {}
-        counts = []
-        bytes_a, bytes_b, wide_a, wide_b = self.bytes_a, self.bytes_b, self.wide_a, self.wide_b
-        for at, (segment, a, b) in enumerate(zip(segments, ids_a, ids_b), first):
-            self.place[segment] = at
-            self.held += len(segment) + 40
-            b = b[self.head :]
-            joined = b"".join([bytes_a[i] for i in a])
-            groups, links, start = [], 0, len(rows)
-            if joined != segment.encode() or joined != b"".join([bytes_b[i] for i in b]):
-                self.broken.add(at)
-            else:
-                ends_a = list(accumulate([wide_a[i] for i in a]))
-                groups = shared_groups(ends_a, list(accumulate([wide_b[i] for i in b])))
-            texts = []
-            for a0, a1, b0, b1 in groups:
-                x, y = a[a0:a1], b[b0:b1]
-                both = len(x) * len(y)
-                links += both
-                if both == 1:
-                    rows.append(x[0] << 32 | y[0])
-                    texts.append(f"{x[0]}|{y[0]}")
-                    continue
-                if both <= 256:
-                    rows.extend([i << 32 | j for i in x for j in y])
-                else:
-                    for (i, n), (j, m) in product(Counter(x).items(), Counter(y).items()):
-                        repeated[len(rows)] = n * m
-                        rows.append(i << 32 | j)
-                texts.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-            counts.append((len(a), len(b), len(groups), links, self.filled + start, self.filled + len(rows)))
-            self.written.append(";".join(texts))
-        self.counts = _room(self.counts, len(self.written))
-        self.counts[first : len(self.written)] = counts
-        end = self.filled + len(rows)
+        self.place.update(zip(segments, range(first, first + len(segments))))
+        self.held += sum(map(len, segments)) + 40 * len(segments)
+        flat_a, flat_b = (list(chain.from_iterable(ids)) for ids in (ids_a, ids_b))
+        na, nb, a, b = (np.array(x, np.int64) for x in (list(map(len, ids_a)), list(map(len, ids_b)), flat_a, flat_b))
+        ends_a, ends_b = np.cumsum(self.wide_a[a]), np.cumsum(self.wide_b[b])
+        behind_a, behind_b = np.cumsum(na), np.cumsum(nb)
+        # all at once: the bytes as a whole, and that every segment ends where it should
+        data = "".join(segments).encode()
+        whole = all(b"".join([t[i] for i in x]) == data for t, x in ((self.bytes_a, flat_a), (self.bytes_b, flat_b)))
+        if not whole or not np.array_equal(ends_a[behind_a - 1], ends_b[behind_b - 1]) or (na * nb == 0).any():
+            broken = set(self._broken(segments, ids_a, ids_b))
+            self.broken.update(first + n for n in broken)
+            ids_a, ids_b = ([[] if n in broken else x for n, x in enumerate(ids)] for ids in (ids_a, ids_b))
+            flat_a, flat_b = (list(chain.from_iterable(ids)) for ids in (ids_a, ids_b))
+            na, nb, a, b = (np.array(x, np.int64) for x in (list(map(len, ids_a)), list(map(len, ids_b)), flat_a, flat_b))
+            ends_a, ends_b = np.cumsum(self.wide_a[a]), np.cumsum(self.wide_b[b])
+            behind_a, behind_b = np.cumsum(na), np.cumsum(nb)
+        some = na > 0
+        borders = (x[some] for x in (behind_a - na, behind_a, behind_b - nb, behind_b))
+        a0, a1, b0, b1 = split_at_shared(ends_a, ends_b, *borders)
+        la, lb = a1 - a0, b1 - b0
+        home = np.searchsorted(behind_a, a0, side="right")
+        groups = np.bincount(home, minlength=len(segments))
+        links = np.zeros(len(segments), np.int64)
+        np.add.at(links, home, la * lb)
+        # every linked occurrence is a pair, but in a large group a pair of ids stands once
+        size = np.where(la * lb <= 256, la * lb, 0)
+        which = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        codes = a[a0[which] + at // lb[which]] << 32 | b[b0[which] + at % lb[which]]
+        many = np.zeros(len(segments), np.int64)
+        np.add.at(many, home, size)
+        behind = np.cumsum(many)
+        starts, stops, times = behind - many, behind, np.ones(len(codes), np.int64)
+        for n in np.unique(home[size == 0]).tolist():
+            # such a segment's pairs go behind all others
+            own, often = [codes[starts[n] : stops[n]]], [np.ones(many[n], np.int64)]
+            for g in np.flatnonzero((home == n) & (size == 0)).tolist():
+                sides = (np.unique(x, return_counts=True) for x in (a[a0[g] : a1[g]], b[b0[g] : b1[g]]))
+                (x, nx), (y, ny) = sides
+                own.append((x[:, None] << 32 | y).ravel())
+                often.append((nx[:, None] * ny).ravel())
+            starts[n] = len(codes)
+            codes, times = np.concatenate([codes, *own]), np.concatenate([times, *often])
+            stops[n] = len(codes)
+        text_a, text_b = ([self.names[i] for i in x] for x in (flat_a, flat_b))
+        shown = [
+            f"{text_a[i]}|{text_b[k]}" if j - i == 1 and m - k == 1 else ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
+            for i, j, k, m in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist())
+        ]
+        last = np.cumsum(groups)
+        self.written += [";".join(shown[i:j]) for i, j in zip((last - groups).tolist(), last.tolist())]
+        end = len(self.written)
+        self.counts = _room(self.counts, end)
+        self.counts[first:end, :6] = np.column_stack([na, nb, groups, links, starts + self.filled, stops + self.filled])
+        end = self.filled + len(codes)
         self.pairs, self.times = _room(self.pairs, end), _room(self.times, end)
-        self.pairs[self.filled : end] = rows
-        self.times[self.filled : end] = 1
-        for at, n in repeated.items():
-            self.times[self.filled + at] = n
+        self.pairs[self.filled : end], self.times[self.filled : end] = codes, times
         self.filled = end
 
     def align(self, texts: Sequence[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +271,7 @@ class Aligner:
         texts_of = [";".join([written[i] for i in p]) for p in places]
         sizes = np.array([len(p) for p in places])
         at = np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))
+        np.add.at(self.counts[:, 6], at, 1)
         home = np.repeat(np.arange(len(texts)), sizes)
         counts = np.zeros((len(texts), 4), np.int64)
         np.add.at(counts, home, self.counts[at, :4])
@@ -206,7 +300,7 @@ class Aligner:
 def _room(rows: np.ndarray, size: int) -> np.ndarray:
     """``rows`` with place for ``size``, doubled as often as needed."""
     while len(rows) < size:
-        rows = np.concatenate([rows, np.zeros_like(rows)])
+        rows = np.concatenate([rows, np.zeros((max(1024, len(rows)), *rows.shape[1:]), np.int64)])
     return rows
 
 
