@@ -195,3 +195,30 @@ def test_longest_root_wins(spark):
         r.path: (r.root_path, r.root_id) for r in R.longest_roots(paths, roots).collect()
     }
     assert R.longest_roots(paths, roots.limit(0)).filter("root_path is not null").count() == 0
+
+
+def test_limits_are_learnt_once(spark, tmp_path):
+    from turnwise.plans import calibration
+
+    base, caps = str(tmp_path / "limits"), {"stop_phrase": (1.0, 3.0)}
+
+    def finished(*items):
+        rows = [(k, end, {"stop_phrase": float(v), "parse_health": 1.0}) for k, end, v in items]
+        return spark.createDataFrame(rows, f"{KEY} string, ended_at int, metrics map<string,double>")
+
+    def observe(*items):
+        out = calibration.observe(spark, base, finished(*items), caps, n=4)
+        return None if out is None else {r.metric_name: (r.n, round(r.warn, 9), round(r.critical, 9)) for r in out.collect()}
+
+    assert observe(("a", 1, 0), ("b", 2, 10)) is None
+    rows = spark.createDataFrame([("a", "stop_phrase", "warn", "x")], f"{KEY} string, metric_name string, severity string, label string")
+    assert calibration.snapshots_while_observing(spark, base, rows, n=4).first().label == "x [bootstrap 3/4]"
+    # the same sessions again count once
+    assert observe(("a", 1, 0), ("b", 2, 10)) is None
+    assert calibration.observed_sessions(spark, base).count() == 2
+    limits = observe(("e", 9, 99), ("c", 5, 20), ("d", 6, 30))
+    assert limits == {"stop_phrase": (4, 1.0, 28.5)}
+    assert calibration.observed_sessions(spark, base).count() == 4
+    # later sessions change nothing
+    assert observe(("f", 10, 1_000)) == limits
+    assert calibration.snapshots_while_observing(spark, base, rows, n=4).first().label == "x"

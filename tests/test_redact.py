@@ -80,3 +80,23 @@ def test_whole_events_are_anonymised(spark):
     assert nested["nested"][0]["timestamp"].startswith("2026-01-01T00:00:1")
     system = next(r for r in rows if r["kind"] == "system")
     assert json.loads(system["system_payload"])["cwd"].endswith("projects/fixture-1")
+
+
+def test_events_are_read_twice_whatever_the_ids(spark, tmp_path):
+    calls = [L.assistant(i, L.tool("Read", f"/x/claude/projects/{'p' * 16}{i % 5}/f", use_id=f"t{i % 7}")) for i in range(40)]
+    events = N.events(N.parse_lines(L.frame(spark, {"a": calls, "b": calls[::-1]}, span=6)))
+    events.write.parquet(str(tmp_path / "events"))
+    clean = A.anonymize_events(spark.read.parquet(str(tmp_path / "events")))
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+    # numbers go by first use in each session, over several chunks
+    for key, order in (("a", calls), ("b", calls[::-1])):
+        rows = clean.filter(F.col("session_key") == key).orderBy("seq").collect()
+        ids, projects = {}, {}
+        for row, call in zip(rows, order):
+            block = call["message"]["content"][0]
+            project = block["input"]["file_path"].split("/")[4]
+            n = ids.setdefault(block["id"], len(ids) + 1)
+            p = projects.setdefault(project, len(projects) + 1)
+            assert (row.tool_use_id, row.file_path) == (f"tool-{n}", f"/x/claude/projects/fixture-{p}/f")
+    assert A.anonymize_events(events.limit(0)).count() == 0

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.model import CHUNK, KEY, SEQ
 from turnwise.operators.ordered import running_sum
+from turnwise.sources.session import written
 
 REDACTED = "[REDACTED]"
 # Fixed value: where shifted sessions start.
@@ -161,8 +162,6 @@ def shift_times(df: DataFrame, *, base: dt.datetime = BASE_TIME, keys: Sequence[
     The first time per (session, chunk) is folded to one start per session and
     joined back by chunk.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     heads = df.groupBy(*keys, CHUNK).agg(F.min_by("ts", SEQ).alias("_t"), F.min(SEQ).alias("_s"))
     starts = heads.select(
@@ -197,30 +196,84 @@ def _shifted_members(text: Column, offset: Column) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, text, move)).otherwise(text)
 
 
+def _projects_in(column: str) -> Column:
+    found = F.regexp_extract_all(F.col(column), F.lit(PROJECT_SEGMENT), F.lit(2))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _numbered_projects(column: str, numbers: Column) -> Column:
+    """The text with each project's hash replaced by its number, in one pass over its parts."""
+    text, pattern = F.col(column), F.lit(PROJECT_SEGMENT)
+    between, names = F.split(text, PROJECT_SEGMENT, -1), _projects_in(column)
+    heads = F.regexp_extract_all(text, pattern, F.lit(1))
+    shown = F.zip_with(heads, names, lambda h, n: F.concat(h, F.lit("fixture-"), F.element_at(numbers, n).cast("string")))
+    parts = F.zip_with(F.slice(between, 1, F.size(names)), shown, lambda b, s: F.concat(b, s))
+    swapped = F.concat(F.array_join(parts, ""), F.element_at(between, -1))
+    return F.when(F.size(names) > 0, swapped).otherwise(text)
+
+
+def token_context(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """session, seq, _start, _tool, _projects: what a row's ids and times turn into.
+
+    ``rows`` are read once, for narrow rows of a tool id or a project each; all are
+    numbered per session by first use in one aggregate.  The result has a row per event,
+    so what comes back to the events is one join on a unique key.
+    """
+    def token(kind: str, value: Column, pos: Column) -> Column:
+        return F.struct(F.lit(kind).alias("token"), value.alias("value"), pos.cast("int").alias("pos"))
+
+    named = F.transform(F.flatten(F.array(*map(_projects_in, columns))), lambda v, i: token("project", v, i))
+    plain = F.array(token("row", F.lit(None).cast("string"), F.lit(0)))
+    own = F.array(token("tool", F.col("tool_use_id"), F.lit(0)))
+    tool = F.when(F.col("tool_use_id").isNotNull(), own).otherwise(F.slice(own, 1, 0))
+    items = rows.select(KEY, CHUNK, SEQ, "ts", F.explode(F.concat(plain, tool, named)).alias("_t"))
+    items = written(items.select(KEY, CHUNK, SEQ, "ts", "_t.*"), "tokens")
+    used = items.filter("token <> 'row'")
+    first = used.groupBy(KEY, "token", "value").agg(
+        F.min(F.struct(F.col(SEQ).alias("s"), F.col("pos").alias("p"), F.col(CHUNK).alias("c"))).alias("_f")
+    )
+    order = first.select(
+        KEY, "token", "value", F.col("_f.s").alias(SEQ), F.col("_f.p").alias("pos"), F.col("_f.c").alias(CHUNK)
+    )
+    numbered = running_sum(order, F.lit(1), "n", keys=[KEY, "token"], order=[SEQ, "pos"]).select(KEY, "token", "value", "n")
+    heads = items.filter("token = 'row'").groupBy(KEY, CHUNK).agg(F.min_by("ts", SEQ).alias("_t"), F.min(SEQ).alias("_s"))
+    starts = heads.select(KEY, CHUNK, F.min_by("_t", "_s").over(Window.partitionBy(KEY)).alias("_start"))
+    known = used.join(numbered, [KEY, "token", "value"]).groupBy(KEY, CHUNK, SEQ).agg(
+        F.max(F.when(F.col("token") == "tool", F.concat(F.lit("tool-"), F.col("n").cast("string")))).alias("_tool"),
+        F.map_from_entries(
+            F.collect_set(F.when(F.col("token") == "project", F.struct("value", "n")))
+        ).alias("_projects"),
+    )
+    whole = items.filter("token = 'row'").select(KEY, CHUNK, SEQ).join(starts, [KEY, CHUNK])
+    return written(whole.join(known, [KEY, CHUNK, SEQ], "left").drop(CHUNK), "token-context")
+
+
 def anonymize_events(event_rows: DataFrame, **options) -> DataFrame:
     """The event table with every text redacted, ids tokenised and times shifted.
 
     Projects are numbered over all columns before anything is redacted, nested values
     are rewritten by member name in their JSON text, and a nested value that would no
-    longer parse is an error, not a null.
+    longer parse is an error, not a null.  The events are read twice: once for their ids,
+    which are numbered and written, and once to be rewritten.
     """
     texts = [c for c in TEXTS if c in event_rows.columns]
     nested = [c for c in NESTED if c in event_rows.columns]
     rows = event_rows.withColumns({c: F.to_json(c) for c in nested})
-    rows = project_tokens(rows, *texts, *nested)
-    rows = shift_times(rows.withColumn("_before", F.col("ts")))
-    offset = F.unix_micros("ts") - F.unix_micros("_before")
-    rows = rows.withColumns({c: _shifted_members(F.col(c), offset) for c in nested}).drop("_before")
-    rows = stable_tokens(rows, "tool_use_id", "tool")
+    rows = rows.join(token_context(rows, [*texts, *nested]), [KEY, SEQ])
+    rows = rows.withColumns({c: _numbered_projects(c, F.col("_projects")) for c in (*texts, *nested)})
+    origin = F.lit(BASE_TIME.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    offset = F.unix_micros(origin) - F.unix_micros("_start")
+    rows = rows.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + offset))
+    rows = rows.withColumns({c: _shifted_members(F.col(c), offset) for c in nested})
     ids = r'("(?:' + "|".join(TOOL_ID_KEYS) + r')":")[^"]*(")'
-    known = F.col("tool_use_id_token")
+    known = F.col("_tool")
     swap = {
         c: F.when(known.isNotNull(), F.regexp_replace(F.col(c), F.lit(ids), F.concat(F.lit("$1"), known, F.lit("$2")))).otherwise(
             F.regexp_replace(F.col(c), ids, "$1tool-0$2")
         )
         for c in nested
     }
-    rows = rows.withColumns(swap).withColumn("tool_use_id", known).drop("tool_use_id_token")
+    rows = rows.withColumns(swap).withColumn("tool_use_id", known)
     rows = redact_columns(rows, [*texts, *nested], **options)
 
     def parsed(column: str) -> Column:

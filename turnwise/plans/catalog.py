@@ -898,6 +898,22 @@ def bootstrap_not_ready(spark, folder):
     return B.bootstrap(reports, {}, n=1_000_000)
 
 
+@query
+def frozen_thresholds(spark, folder):
+    """Sessions finish day by day; the limits of the first 150 stay, whatever comes after."""
+    from turnwise.plans import calibration
+
+    base = _fresh(spark, "limits")
+    reports = tab.day_reports(spark, folder).select(KEY, "started_at", "ended_at", "metrics")
+    reports.write.parquet(f"{base}/reports")
+    reports = spark.read.parquet(f"{base}/reports")
+    caps = {"read_edit_ratio": (4.0, 2.0), "stop_phrase": (1.0, 3.0)}
+    for day in (1, 1, 2, 3, 4):
+        finished = reports.filter(F.to_date("started_at") == F.lit(dt.date(2024, 1, day)))
+        out = calibration.observe(spark, base, finished, caps, n=150)
+    return out.withColumns(six("warn", "critical"))
+
+
 @query
 def recalibrated_thresholds(spark, folder):
     return B.recalibrate(tab.day_reports(spark, folder)).withColumns(six("warn", "critical"))

@@ -668,6 +668,12 @@ ORACLES: dict[str, str] = {
             WHERE session_key IN (SELECT session_key FROM f) AND metric_name <> 'parse_health' GROUP BY metric_name)
         SELECT metric_name, n, round(CASE metric_name WHEN 'read_edit_ratio' THEN greatest(q[2], 4.0) WHEN 'stop_phrase' THEN least(q[3], 1.0) ELSE q[3] END, 6) AS warn,
             round(CASE metric_name WHEN 'read_edit_ratio' THEN least(q[1], 2.0) WHEN 'stop_phrase' THEN greatest(q[4], 3.0) ELSE q[4] END, 6) AS critical FROM q""",
+    "frozen_thresholds": f"""{BY_DAY}, f AS (SELECT session_key FROM metric WHERE started_at < TIMESTAMP '2024-01-05'
+            ORDER BY CAST(started_at AS DATE), ended_at, session_key LIMIT 150),
+        q AS (SELECT metric_name, count(*) AS n, quantile_cont(value, [0.05, 0.2, 0.8, 0.95]) AS q FROM longm
+            WHERE session_key IN (SELECT session_key FROM f) AND metric_name <> 'parse_health' GROUP BY metric_name)
+        SELECT metric_name, n, round(CASE metric_name WHEN 'read_edit_ratio' THEN greatest(q[2], 4.0) WHEN 'stop_phrase' THEN least(q[3], 1.0) ELSE q[3] END, 6) AS warn,
+            round(CASE metric_name WHEN 'read_edit_ratio' THEN least(q[1], 2.0) WHEN 'stop_phrase' THEN greatest(q[4], 3.0) ELSE q[4] END, 6) AS critical FROM q""",
     "bootstrap_not_ready": """SELECT 'x' AS metric_name, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS warn, CAST(0 AS DOUBLE) AS critical
         FROM events WHERE false""",
     "recalibrated_thresholds": f"""{BY_DAY} SELECT metric_name, count(*) AS n, round(quantile_cont(value, 0.8), 6) AS warn,
@@ -755,6 +761,13 @@ ORACLES: dict[str, str] = {
     "stable_tokens": f"""WITH {_RAW}, f AS (SELECT user_id, k, min(seq) AS first FROM raw GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS n FROM f)
         SELECT CAST(user_id AS VARCHAR) AS session_key, seq, 'tool-' || n AS tool_use_id_token FROM raw JOIN r USING (user_id, k)""",
+    "anonymised_events": f"""{_LINES}, o AS (SELECT *, line_no * 16777216 + block_no AS seq FROM ev),
+        f AS (SELECT session_key, tool_use_id, min(seq) AS first FROM o WHERE tool_use_id IS NOT NULL GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY first) AS n FROM f),
+        b AS (SELECT session_key, arg_min(ts, seq) AS t0 FROM o GROUP BY session_key)
+        SELECT o.session_key, seq, kind, 'tool-' || n AS tool_use_id, message_id, file_path,
+            {_T.format("TIMESTAMP '2026-01-01' + (ts - t0)")} AS ts
+        FROM o JOIN b USING (session_key) LEFT JOIN r USING (session_key, tool_use_id)""",
     "shifted_times": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session_key, event_id AS seq, ts, min_by(ts, event_id) OVER (PARTITION BY user_id) AS t0 FROM events)
         SELECT session_key, seq, strftime(TIMESTAMP '2026-01-01' + (ts - t0), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM s""",
     "streamed_reports": f"""{BY_USER} SELECT session_key, event_count, reads, research, mutations, mutations_total, blind_mutations,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC calendar days, last-wins duplicate JSON keys, runtime re-planning of skew.
 SETTINGS = {
@@ -43,3 +44,10 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="turnwise-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder: computed once, and its lineage ends there."""
+    path = f"{scratch_dir(df.sparkSession)}/turnwise/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
