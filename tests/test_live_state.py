@@ -1,5 +1,7 @@
 """The state of one session by itself, against a state store that is a dictionary."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -222,3 +224,20 @@ def test_limits_are_learnt_once(spark, tmp_path):
     # later sessions change nothing
     assert observe(("f", 10, 1_000)) == limits
     assert calibration.snapshots_while_observing(spark, base, rows, n=4).first().label == "x"
+
+
+def test_a_metric_that_fails_costs_its_own_values_only(spark, tmp_path):
+    state = processor()
+    send(state, Clock(1), segment(1, calls=1, categories=["read"], messages=1, run_first=1, run_last=1, run_max=1))
+    # votes of a wrong length break the turns, a missing list of looks the read/edit ratio
+    bad = segment(2, calls=1, categories=["mutation"], messages=1, run_first=1, run_last=1, run_max=1, votes=[1])
+    (row,) = send(state, Clock(2), bad)
+    assert (row.event_count, row.calls, row.run_max, row.categories) == (2, 2, 2, ["read", "mutation"])
+    assert json.loads(row.problems) == [{"collector": "turns", "exception_type": "ValueError"}]
+    assert sum(row.votes) == 0
+    (row,) = send(state, Clock(3), segment(3, calls=1, categories=["read"]))
+    assert row.problems is None and row.calls == 3
+    rows = spark.createDataFrame([row.to_dict() | {"problems": json.dumps([{"collector": "turns", "exception_type": "E"}])}], live.OUTPUT)
+    live.merge_batch(str(tmp_path / "live"))(live.with_metrics(S.session_columns(rows)), 0)
+    drift = spark.read.parquet(str(tmp_path / "live" / "drift")).first()
+    assert (drift.code, json.loads(drift.context)["collector"]) == ("collector_unexpected_exception", "turns")

@@ -237,52 +237,75 @@ def _label(turn: tuple[int, ...], keyword: str | None) -> str:
     return keyword or "mixed"
 
 
-def merge(a: Segment, b: Segment, cfg: MetricConfig = DEFAULTS) -> Segment:
-    """The segment of ``a`` followed by ``b``."""
-    out: Segment = {KEY: a[KEY], CHUNK: a[CHUNK], "from_seq": a["from_seq"], "to_seq": b["to_seq"]}
-    for c in COUNTS:
-        out[c] = a[c] + b[c]
-    out["first_us"] = b["first_us"] if a["first_us"] is None else a["first_us"]
-    out["last_us"] = a["last_us"] if b["last_us"] is None else b["last_us"]
-    out["resolved_us"] = max((x["resolved_us"] for x in (a, b) if x["resolved_us"] is not None), default=None)
-    out["categories"] = (a["categories"] + b["categories"])[-cfg.window_size :]
-    out["outcomes"] = (a["outcomes"] + b["outcomes"])[-cfg.confidence_window :]
-    # edits that were open at the start of b meet the looks at the end of a
-    reach = cfg.blind_edit_window
+def _counts(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    return {c: a[c] + b[c] for c in COUNTS if c != "blind_mutations"}
+
+
+def _times(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    return {
+        "first_us": b["first_us"] if a["first_us"] is None else a["first_us"],
+        "last_us": a["last_us"] if b["last_us"] is None else b["last_us"],
+        "resolved_us": max((x["resolved_us"] for x in (a, b) if x["resolved_us"] is not None), default=None),
+    }
+
+
+def _outcomes(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    return {"outcomes": (a["outcomes"] + b["outcomes"])[-cfg.confidence_window :]}
+
+
+def _edits(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    """The last calls; edits open at the start of ``b`` meet the looks at the end of ``a``."""
+    reach, blind = cfg.blind_edit_window, a["blind_mutations"] + b["blind_mutations"]
     looks: dict[str, int] = {}
     for path, back in zip(a["look_paths"], a["look_backs"]):
         looks[path] = min(back, looks.get(path, back))
-    out["edit_paths"], out["edit_nos"] = list(a["edit_paths"]), list(a["edit_nos"])
+    paths, numbers = list(a["edit_paths"]), list(a["edit_nos"])
     for path, no in zip(b["edit_paths"], b["edit_nos"]):
         back = looks.get(path)
         if back is not None and back + no <= reach:
             continue
         if back is None and a["calls"] + no <= reach:
-            out["edit_paths"].append(path)
-            out["edit_nos"].append(a["calls"] + no)
+            paths.append(path)
+            numbers.append(a["calls"] + no)
         else:
-            out["blind_mutations"] += 1
+            blind += 1
     later = set(b["look_paths"])
     kept = [(p, n + b["calls"]) for p, n in looks.items() if p not in later and n + b["calls"] < reach]
-    out["look_paths"] = [p for p, _ in kept] + b["look_paths"]
-    out["look_backs"] = [n for _, n in kept] + b["look_backs"]
-    # runs of self-corrections
-    out["run_first"] = a["run_first"] + (b["run_first"] if a["run_first"] == a["messages"] else 0)
-    out["run_last"] = b["run_last"] + (a["run_last"] if b["run_last"] == b["messages"] else 0)
-    out["run_max"] = max(a["run_max"], b["run_max"], a["run_last"] + b["run_first"])
-    # the turn open at the end of a goes on with b until b's first prompt
-    out["votes"] = [x + y for x, y in zip(a["votes"], b["votes"])]
+    return {
+        "categories": (a["categories"] + b["categories"])[-cfg.window_size :],
+        "blind_mutations": blind,
+        "edit_paths": paths,
+        "edit_nos": numbers,
+        "look_paths": [p for p, _ in kept] + b["look_paths"],
+        "look_backs": [n for _, n in kept] + b["look_backs"],
+    }
+
+
+def _runs(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    """Runs of self-corrections."""
+    return {
+        "run_first": a["run_first"] + (b["run_first"] if a["run_first"] == a["messages"] else 0),
+        "run_last": b["run_last"] + (a["run_last"] if b["run_last"] == b["messages"] else 0),
+        "run_max": max(a["run_max"], b["run_max"], a["run_last"] + b["run_first"]),
+    }
+
+
+def _turns(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    """The turn open at the end of ``a`` goes on with ``b`` until the first prompt of ``b``."""
+    votes = [x + y for x, y in zip(a["votes"], b["votes"], strict=True)]
     joint = tuple(a[t if a["prompts"] else h] + b[h] for t, h in zip(TAIL, HEAD))
     if a["prompts"]:
         head, tail, keyword = tuple(a[h] for h in HEAD), joint, a["tail_keyword"]
         if b["prompts"]:
-            out["votes"][TASK_LABELS.index(_label(joint, a["tail_keyword"]))] += 1
+            votes[TASK_LABELS.index(_label(joint, a["tail_keyword"]))] += 1
             tail, keyword = tuple(b[t] for t in TAIL), b["tail_keyword"]
     else:
         head, tail, keyword = joint, tuple(b[t] for t in TAIL), b["tail_keyword"]
-    out.update(zip(HEAD, head))
-    out.update(zip(TAIL, tail))
-    out["tail_keyword"] = keyword
+    return {"votes": votes, "tail_keyword": keyword, **dict(zip(HEAD, head)), **dict(zip(TAIL, tail))}
+
+
+def _lengths(a: Segment, b: Segment, cfg: MetricConfig) -> Segment:
+    out: Segment = {}
     for sizes, counts in (LENGTHS[:2], LENGTHS[2:]):
         sums: Counter = Counter()
         for part in (a, b):
@@ -293,6 +316,39 @@ def merge(a: Segment, b: Segment, cfg: MetricConfig = DEFAULTS) -> Segment:
     return out
 
 
+#: What is merged apart from each other: the columns and how two neighbours join.
+GROUPS = {
+    "counts": (tuple(c for c in COUNTS if c != "blind_mutations"), _counts),
+    "times": (TIMES, _times),
+    "parse_health": (("outcomes",), _outcomes),
+    "read_edit_ratio": (
+        ("categories", "blind_mutations", "edit_paths", "edit_nos", "look_paths", "look_backs"),
+        _edits,
+    ),
+    "reasoning_loop": (RUNS, _runs),
+    "turns": (("votes", "tail_keyword", *HEAD, *TAIL), _turns),
+    "thinking": (LENGTHS, _lengths),
+}
+
+
+def merge(a: Segment, b: Segment, cfg: MetricConfig = DEFAULTS, failed: list[dict[str, str]] | None = None) -> Segment:
+    """The segment of ``a`` followed by ``b``.
+
+    With a list ``failed`` a group that raises keeps its values of ``a`` and is noted
+    there; the other groups go on.
+    """
+    out: Segment = {KEY: a[KEY], CHUNK: a[CHUNK], "from_seq": a["from_seq"], "to_seq": b["to_seq"]}
+    for name, (columns, join) in GROUPS.items():
+        try:
+            out.update(join(a, b, cfg))
+        except Exception as problem:  # noqa: BLE001 - whatever a broken segment raises
+            if failed is None:
+                raise
+            failed.append({"collector": name, "exception_type": type(problem).__name__})
+            out.update({c: a[c] for c in columns})
+    return out
+
+
 # ---------------------------------------------------------------------- fold
 
 

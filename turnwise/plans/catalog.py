@@ -7,6 +7,7 @@ text, so that results compare across engines.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import bands
+from turnwise.functions import text as text_
 from turnwise.model import KEY, SEQ, Phrase
 from turnwise.operators import anonymize as A
 from turnwise.operators import calibrate as B
@@ -185,6 +187,27 @@ def document_phrase_counts(spark, folder):
     return out.select("lang", "messages", "messages_with_hit", "hits")
 
 
+#: As a user would write them: a word, a part of words, a pattern, and two that are none.
+OWN_PHRASES = (
+    "the",
+    {"text": "ion", "mode": "substring", "category": "ending"},
+    {"text": r"th[ae]\w*", "mode": "regex", "category": "pattern"},
+    {"mode": "word"},
+    7,
+)
+
+
+@query
+def custom_phrase_counts(spark, folder):
+    kept, dropped = text_.coerce_phrases(OWN_PHRASES)
+    out = M.stop_phrases(tab.conversation_events(spark, folder), phrases=kept)
+    by = lambda c: F.coalesce(F.try_element_at("hits_by_category", F.lit(c)), F.lit(0))
+    return out.select(
+        KEY, "messages", "messages_with_hit", "hits", by("custom").alias("words"), by("ending").alias("endings"),
+        by("pattern").alias("patterns"), F.lit(len(dropped)).alias("rejected"),
+    )
+
+
 @query
 def reasoning_loop_metric(spark, folder):
     out = M.reasoning_loops(tab.conversation_events(spark, folder), phrases=LOOP)
@@ -964,6 +987,33 @@ def conversation_missing_fields(spark, folder):
     )
 
 
+@query
+def files_of_roots(spark, folder):
+    """Transcripts under three folders, read together; of two roots that hold a file the longer counts."""
+    path = _fresh(spark, "roots")
+    user = F.col("user_id")
+    rows = tab.table(spark, folder, "events").select(
+        (user % 3).alias("top"),
+        (F.floor(user / 3) % 2).alias("inner"),
+        user.alias("session"),
+        "event_id",
+        F.format_string('{"n": %d}', "event_id").alias("line"),
+    )
+    dealt = rows.repartition("session").sortWithinPartitions("top", "inner", "session", "event_id")
+    dealt.drop("event_id").write.partitionBy("top", "inner", "session").text(path)
+    folders = [f"{path}/top={i}" for i in range(3)]
+    plain = re.sub(r"^file:/+", "/", path)
+    roots = [f"{plain}/{r}" for r in ("top=0", "top=0/inner=1", "top=1")]
+    lines = lines_.read_lines(spark, folders, roots=roots, glob="*.txt")
+    label = lambda c: F.coalesce(F.regexp_extract(c, r"/(top=[^/]*(?:/inner=.*)?)$", 1), F.lit("none"))
+    read = lines.groupBy(label("root_label").alias("root")).agg(
+        F.count("*").alias("lines"), F.countDistinct(KEY).alias("sessions"), F.countDistinct("root_id").alias("ids")
+    )
+    listed = files_.list_files(spark, folders, glob="*.txt")
+    listed = R.match_roots(listed, roots).groupBy(label("root_label").alias("root"))
+    return read.join(listed.agg(F.count("*").alias("files"), F.sum("size").alias("bytes")), "root")
+
+
 @query
 def file_lines(spark, folder):
     """Transcripts written as files, one folder per session, and read back with numbers."""

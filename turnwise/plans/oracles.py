@@ -351,6 +351,16 @@ ORACLES: dict[str, str] = {
         {_HITS} SELECT lang, count(*) AS messages,
             count(*) FILTER (WHERE h0 + h1 + h2 + h3 > 0) AS messages_with_hit,
             CAST(sum(h0 + h1 + h2 + h3) AS BIGINT) AS hits FROM h GROUP BY lang""",
+    "custom_phrase_counts": rf"""{_SAID}, d AS (SELECT *, {_doubled('text')} AS d FROM said),
+        h AS (SELECT *, {_words('the')} AS a, len(regexp_extract_all(text, '(?i)ion')) AS b,
+            len(regexp_extract_all(text, '(?i)th[ae]\w*')) AS c FROM d)
+        SELECT session_key, count(*) AS messages, count(*) FILTER (WHERE a + b + c > 0) AS messages_with_hit,
+            CAST(sum(a + b + c) AS BIGINT) AS hits, CAST(sum(a) AS BIGINT) AS words, CAST(sum(b) AS BIGINT) AS endings,
+            CAST(sum(c) AS BIGINT) AS patterns, 2 AS rejected FROM h GROUP BY session_key""",
+    "files_of_roots": """WITH r AS (SELECT CASE WHEN user_id % 3 = 0 AND user_id // 3 % 2 = 1 THEN 'top=0/inner=1'
+            WHEN user_id % 3 < 2 THEN 'top=' || (user_id % 3) ELSE 'none' END AS root, user_id, event_id FROM events)
+        SELECT root, count(*) AS lines, count(DISTINCT user_id) AS sessions, 1 AS ids, count(DISTINCT user_id) AS files,
+            CAST(sum(length('{"n": ' || event_id || '}') + 1) AS BIGINT) AS bytes FROM r GROUP BY root""",
     "reasoning_loop_metric": f"""{_SAID}, d AS (SELECT *, {_doubled('text')} AS d FROM said),
         h AS (SELECT *, {_words('and')} + {_words('und')}
             + len(regexp_extract_all(text, '(?i)que')) AS n FROM d),

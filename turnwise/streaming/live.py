@@ -308,7 +308,7 @@ def cut_available(rows: DataFrame, base: str, checkpoint: str, **options: Any) -
 # -------------------------------------------------------------------- state
 
 OUTPUT = ", ".join(
-    [S.SEGMENT, "row_type string", "state string", "closed boolean"]
+    [S.SEGMENT, "row_type string", "state string", "closed boolean", "problems string"]
     + ["visible_chars_median double", "signature_chars_median double"]
 )
 
@@ -334,12 +334,16 @@ class SessionState(StatefulProcessor):
     """A session as the merged segment of all it has sent, advanced segment by segment.
 
     ``parts`` holds the segments by their place.  One that comes late is put in its place
-    and the session is merged again; one that is there already changes nothing.
+    and the session is merged again; one that is there already changes nothing.  A metric
+    that cannot take a segment keeps what it had; the others go on, and ``problems`` of
+    the row says which failed.
     """
 
     def __init__(self, cfg: MetricConfig = DEFAULTS, *, timers: bool = True):
         self.cfg = cfg
         self.timers = timers
+        #: metrics that could not take the segments of this call
+        self.failed: list[dict[str, str]] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -365,7 +369,7 @@ class SessionState(StatefulProcessor):
 
     def _take(self, found: list[S.Segment], held: S.Segment | None) -> S.Segment | None:
         """Put segments into their places and merge them into the session."""
-        late = False
+        late, self.failed = False, []
         for segment in sorted(found, key=lambda x: x["from_seq"]):
             place = (segment["from_seq"],)
             if self.parts.containsKey(place):
@@ -377,11 +381,11 @@ class SessionState(StatefulProcessor):
             self.parts.updateValue(place, (json.dumps(segment),))
             late = late or held is not None and segment["from_seq"] <= held["to_seq"]
             if not late:
-                held = segment if held is None else S.merge(held, segment, self.cfg)
+                held = segment if held is None else S.merge(held, segment, self.cfg, self.failed)
         if late:
             places = sorted((int(k[0]), v[0]) for k, v in self.parts.iterator())
             held = functools.reduce(
-                lambda a, b: S.merge(a, b, self.cfg), (json.loads(text_) for _, text_ in places)
+                lambda a, b: S.merge(a, b, self.cfg, self.failed), (json.loads(text_) for _, text_ in places)
             )
         return held
 
@@ -395,6 +399,7 @@ class SessionState(StatefulProcessor):
             "row_type": row_type,
             "state": state,
             "closed": row_type == "final",
+            "problems": json.dumps(self.failed) if self.failed else None,
             "visible_chars_median": _median(by["visible"]),
             "signature_chars_median": _median(by["signature"]),
         }
@@ -440,6 +445,7 @@ class SessionState(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
         held, _ = self._load()
+        self.failed = []
         if held is None:
             return
         now = timerValues.getCurrentProcessingTimeInMs()
@@ -558,6 +564,18 @@ def merge_batch(base: str, *, keep: int = KEPT_VERSIONS, cfg: MetricConfig = DEF
         # the state advanced once; what follows reads its rows
         batch.write.mode("overwrite").parquet(f"{base}/changes")
         batch = spark.read.schema(batch.schema).parquet(f"{base}/changes")
+        if "problems" in batch.columns:
+            note = "array<struct<collector:string,exception_type:string>>"
+            bad = batch.select(KEY, F.explode(F.from_json("problems", note)).alias("_p"))
+            drift = bad.select(
+                KEY,
+                F.lit("error").alias("level"),
+                F.lit("collector").alias("source"),
+                F.lit("collector_unexpected_exception").alias("code"),
+                F.to_json("_p").alias("context"),
+            )
+            stores.write_version(drift, f"{base}/drift", batch_id)
+            batch = batch.drop("problems")
         # a session has several rows if it goes on and ends in one batch: the last one counts
         order = F.struct((F.col("row_type") == "final").alias("f"), "event_count")
         rows = label_columns(batch, cfg)
