@@ -169,7 +169,7 @@ class Aligner:
         ends_well = [n for n, s in enumerate(segments) if _ENDS.match(s[-1])]
         runs = [ends_well[i : i + 64] for i in range(0, len(ends_well), 64)]
         runs += [[n] for n, s in enumerate(segments) if not _ENDS.match(s[-1])]
-        found = self.a.encode_batch(["".join([segments[n] for n in run]) for run in runs], add_special_tokens=False)
+        found = self.a.encode_batch_fast(["".join([segments[n] for n in run]) for run in runs], add_special_tokens=False)
         for run, encoding in zip(runs, found):
             ids = encoding.ids
             ends = np.cumsum(self.wide_a[np.array(ids, np.int64)])
@@ -271,10 +271,11 @@ class Aligner:
         texts_of = [";".join([written[i] for i in p]) for p in places]
         sizes = np.array([len(p) for p in places])
         at = np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))
-        np.add.at(self.counts[:, 6], at, 1)
-        home = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.zeros((len(texts), 4), np.int64)
-        np.add.at(counts, home, self.counts[at, :4])
+        self.counts[: len(written), 6] += np.bincount(at, minlength=len(written))
+        home, behind = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
+        sums = np.zeros((len(at) + 1, 4), np.int64)
+        np.cumsum(self.counts[at, :4], axis=0, out=sums[1:])
+        counts = sums[behind] - sums[behind - sizes]
         starts, ends = self.counts[at, 4], self.counts[at, 5]
         many = ends - starts
         index = np.arange(many.sum()) + np.repeat(starts - np.cumsum(many) + many, many)
