@@ -750,6 +750,43 @@ def comparison_sentences(spark, folder):
     )
 
 
+def _talk(spark, folder):
+    return tab.talk_reports(spark, folder, stop=STOP, loop=LOOP)
+
+
+@query
+def talk_compare_models(spark, folder):
+    """Samples that vary, constant ones that differ, and metrics only one side has."""
+    reports = _talk(spark, folder)
+    out = C.compare_groups(reports.filter(F.col("model") == "model-1"), reports.filter(F.col("model") == "model-2"))
+    # an infinite statistic stays what it is
+    finite = [c for c in _COMPARED_FLOATS if c != "t_statistic"]
+    t = F.col("t_statistic")
+    return shape(out, *_COMPARED, floats=finite).withColumn(
+        "t_statistic", F.when(F.abs(t) == float("inf"), t).otherwise(F.round(t, 6))
+    )
+
+
+@query
+def talk_trend(spark, folder):
+    """Days in all bands: few sessions, low parse health, many self-corrections."""
+    out = C.trend(_talk(spark, folder), "day")
+    return out.select(
+        "dimension_value", "metric_name", "n", "severity", F.round("mean", 6).alias("mean"), F.round("delta", 6).alias("delta")
+    )
+
+
+@query
+def talk_sentences(spark, folder):
+    """Whole sentences, numbers included."""
+    return C.summary_lines(C.pivot_date(_talk(spark, folder), SPLIT_DAY), "w", min_n=5)
+
+
+@query
+def talk_correlations(spark, folder):
+    return C.correlations(_talk(spark, folder)).withColumns(six("r"))
+
+
 @query
 def comparison_movers(spark, folder):
     out = C.comparison_movers(C.compare(tab.day_reports(spark, folder), A_PERIOD, B_PERIOD), limit=2)

@@ -285,6 +285,33 @@ _IN_A = "CAST(started_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-14
 _IN_B = "CAST(started_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-30'"
 _PRE, _POST = "started_at < DATE '2024-01-15'", "started_at >= DATE '2024-01-15'"
 
+#: Conversations as reports, in the columns of ``BY_DAY``.
+BY_TALK = f"""{_SAID}, d AS (SELECT *, {_doubled('text')} AS d FROM said),
+h AS (SELECT *, {_words('and')} + {_words('und')} + len(regexp_extract_all(text, '(?i)que')) AS n,
+    {_words('the')} + {_words('die')} + {_words('of the')} + len(regexp_extract_all(text, '(?i)ing')) AS s FROM d),
+spoke AS (SELECT session_key, count(*) AS messages, count(*) FILTER (WHERE s > 0) AS with_hit, sum(n) AS matches FROM h GROUP BY session_key),
+turned AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back_no,
+    coalesce(length(text), 0) % 7 <> 0 AS ok FROM conversations),
+rep AS (SELECT CAST(conv_id AS VARCHAR) AS session_key, conv_id % 3 AS tier, conv_id, 'model-' || (conv_id % 3) AS model,
+    TIMESTAMP '2024-01-08' + (conv_id % 12) * INTERVAL 1 DAY + min(turn) * INTERVAL 1 SECOND AS started_at,
+    count(*) FILTER (WHERE role = 'user') AS prompts,
+    count(*) FILTER (WHERE ok AND back_no <= 200) / count(*) FILTER (WHERE back_no <= 200) AS health
+    FROM turned GROUP BY conv_id),
+longm AS (SELECT session_key, 'parse_health' AS metric_name, CAST(health AS DOUBLE) AS value FROM rep
+    UNION ALL SELECT session_key, unnest(['read_edit_ratio', 'blind_edit_rate']), 0.0 FROM rep
+    UNION ALL SELECT session_key, 'stop_phrase', coalesce(with_hit / messages, 0) FROM rep LEFT JOIN spoke USING (session_key)
+    UNION ALL SELECT session_key, 'reasoning_loop', coalesce(matches, 0) * 1000.0 FROM rep LEFT JOIN spoke USING (session_key)
+    UNION ALL SELECT session_key, 'user_turns', prompts FROM rep WHERE prompts > 0
+    UNION ALL SELECT session_key, 'team.tier', tier FROM rep
+    UNION ALL SELECT session_key, 'team.only_' || tier, conv_id % 10 FROM rep),
+rl AS (SELECT l.*, r.model, r.started_at FROM longm l JOIN rep r USING (session_key))"""
+
+
+def _one(expr: str) -> str:
+    """A number with one place, halves away from zero."""
+    return f"printf('%.1f', floor(CAST({expr} AS DOUBLE) * 10 + 0.5) / 10)"
+
+
 _LISTING = """WITH cnt AS (SELECT user_id, count(*) FILTER (WHERE ts < DATE '2024-01-13') AS old_size,
     count(*) AS new_size,
     max(ts) FILTER (WHERE ts < DATE '2024-01-13') AS old_time,
@@ -610,6 +637,24 @@ ORACLES: dict[str, str] = {
     "comparison_sentences": f"""{BY_DAY},{_compare(_PRE, _POST)} SELECT metric_name,
         CASE WHEN n_a < 5 OR n_b < 5 THEN 'insufficient data' WHEN delta > 0 THEN 'rose' WHEN delta < 0 THEN 'fell'
             ELSE 'held steady' END AS word FROM cmp WHERE n_a > 0 AND n_b > 0""",
+    "talk_compare_models": f"""{BY_TALK},{_compare("model = 'model-1'", "model = 'model-2'")} {_COMPARED.replace(_six('t', 't_statistic'),
+        "CASE WHEN isinf(t) THEN t ELSE round(t, 6) + 0.0 END AS t_statistic")}""",
+    "talk_trend": f"""{BY_TALK}, c AS (SELECT {_DAYS} AS dimension_value, metric_name, avg(value) AS m, count(*) AS n FROM rl GROUP BY ALL),
+        p AS (SELECT *, last_value(CASE WHEN n >= 5 THEN m END IGNORE NULLS) OVER (PARTITION BY metric_name ORDER BY dimension_value
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c)
+        SELECT dimension_value, metric_name, n, CASE WHEN n < 5 THEN 'ok' WHEN metric_name = 'parse_health' AND m < 0.9 THEN 'critical'
+            WHEN metric_name = 'reasoning_loop' AND m >= 20 THEN 'critical' WHEN metric_name = 'reasoning_loop' AND m >= 10 THEN 'warn'
+            WHEN metric_name = 'stop_phrase' AND m >= 3 THEN 'critical' WHEN metric_name = 'stop_phrase' AND m >= 1 THEN 'warn' ELSE 'ok' END AS severity,
+            {_six('m', 'mean')}, CASE WHEN n >= 5 THEN round(m - prior, 6) + 0.0 END AS delta FROM p""",
+    "talk_sentences": f"""{BY_TALK},{_compare(_PRE, _POST)} SELECT metric_name, CASE WHEN n_a < 5 OR n_b < 5
+            THEN 'insufficient data in one period (n_a=' || n_a || ', n_b=' || n_b || ') — not reported.'
+            ELSE CASE WHEN delta > 0 THEN 'rose' WHEN delta < 0 THEN 'fell' ELSE 'held steady' END || ' from ' || {_one('mean_a')}
+                || ' to ' || {_one('mean_b')} || ' over the w window; n=' || n_a || ', n=' || n_b END AS line
+        FROM cmp WHERE n_a > 0 AND n_b > 0""",
+    "talk_correlations": f"""{BY_TALK}, p AS (SELECT a.metric_name AS metric_a, b.metric_name AS metric_b, count(*) AS n,
+            covar_pop(a.value, b.value) AS c, stddev_pop(a.value) * stddev_pop(b.value) AS s
+            FROM longm a JOIN longm b ON a.session_key = b.session_key AND a.metric_name < b.metric_name GROUP BY ALL)
+        SELECT metric_a, metric_b, n, {_six('c / s', 'r')} FROM p WHERE n >= 30 AND s > 0""",
     "comparison_movers": f"""{BY_DAY},{_compare(_IN_A, _IN_B)} SELECT metric_name, {_six('delta_pct', 'delta_pct')} FROM cmp
         WHERE delta_pct IS NOT NULL AND n_a >= 5 AND n_b >= 5 ORDER BY abs(delta_pct) DESC, metric_name LIMIT 2""",
     "metric_correlations": f"""{BY_DAY}, p AS (SELECT a.metric_name AS metric_a, b.metric_name AS metric_b, count(*) AS n,

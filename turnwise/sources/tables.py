@@ -272,3 +272,42 @@ def day_reports(spark: SparkSession, folder: str, *, span: int = CHUNK_SPAN) ->
             ),
         }
     )
+
+
+def talk_reports(spark: SparkSession, folder: str, *, stop, loop) -> DataFrame:
+    """Reports over conversations whose metrics vary: phrases, prompts and line outcomes.
+
+    Conversations start on one of twelve days; a turn is a line that went well unless its
+    text's length is a multiple of 7.  Models and two metrics of their own come from the
+    conversation's number: ``team.tier`` is constant per model, ``team.only_<model>``
+    exists for one model alone.
+    """
+    from turnwise.operators.reports import session_reports
+
+    number = F.col(KEY).cast("int")
+    events = conversation_events(spark, folder)
+    day = F.make_dt_interval(number % 12 + 7)
+    events = events.withColumn("ts", F.col("ts") + day)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    outcomes = events.select(
+        KEY,
+        CHUNK,
+        F.col(SEQ).alias("line_no"),
+        (size % 7 != 0).alias("ok"),
+        F.lit(False).alias("duplicate"),
+        F.when(size % 7 != 0, 1).otherwise(0).alias("parsed_events"),
+        F.array().cast("array<string>").alias("missing"),
+        F.lit("message").alias("line_class"),
+    )
+    reports = session_reports(events, outcomes, stop=stop, loop=loop, labels=False)
+    model = number % 3
+    own = F.map_from_arrays(
+        F.array(F.lit("team.tier"), F.concat(F.lit("team.only_"), model.cast("string"))),
+        F.array(model.cast("double"), (number % 10).cast("double")),
+    )
+    return reports.withColumns(
+        {
+            "model": F.concat(F.lit("model-"), model),
+            "metrics": F.map_concat("metrics", own),
+        }
+    )
