@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -333,8 +334,9 @@ def _median(lengths: list[tuple[int, int]]) -> float | None:
 class SessionState(StatefulProcessor):
     """A session as the merged segment of all it has sent, advanced segment by segment.
 
-    ``parts`` holds the segments by their place.  One that comes late is put in its place
-    and the session is merged again; one that is there already changes nothing.  A metric
+    ``parts`` holds the segments, those of a call by the place of the first.  One that comes
+    late is put in its place and the session is merged again; one that is there already
+    changes nothing.  A metric
     that cannot take a segment keeps what it had; the others go on, and ``problems`` of
     the row says which failed.
     """
@@ -362,35 +364,53 @@ class SessionState(StatefulProcessor):
     def _save(self, held: S.Segment, state: str) -> None:
         self.main.update((json.dumps(held), state))
 
-    def _bump(self, what: str, size: int, by: int) -> None:
-        key = (what, size)
-        held = self.lengths.getValue(key)[0] if self.lengths.containsKey(key) else 0
-        self.lengths.updateValue(key, (int(held) + by,))
+    def _bump(self, by: Counter) -> None:
+        for key, n in by.items():
+            held = self.lengths.getValue(key)[0] if self.lengths.containsKey(key) else 0
+            self.lengths.updateValue(key, (int(held) + n,))
+
+    def _stored(self) -> list[S.Segment]:
+        """All segments of the session, in the order of their places."""
+        parts = (part for _, (text_,) in self.parts.iterator() for part in json.loads(text_))
+        return sorted(parts, key=lambda x: x["from_seq"])
 
     def _take(self, found: list[S.Segment], held: S.Segment | None) -> S.Segment | None:
-        """Put segments into their places and merge them into the session."""
-        late, self.failed = False, []
-        for segment in sorted(found, key=lambda x: x["from_seq"]):
-            place = (segment["from_seq"],)
-            if self.parts.containsKey(place):
+        """Put segments into their places and merge them into the session.
+
+        What lies behind all that is held cannot be there already; only for the rest are
+        the stored segments looked at.  One call stores its segments as one entry.
+        """
+        self.failed = []
+        found = sorted(found, key=lambda x: x["from_seq"])
+        end = None if held is None else held["to_seq"]
+        late = end is not None and any(x["from_seq"] <= end for x in found)
+        stored = self._stored() if late else []
+        places, fresh, sizes = {x["from_seq"] for x in stored}, [], Counter()
+        for segment in found:
+            if segment["from_seq"] in places:
                 continue
-            for what, sizes, counts in (("visible", *S.LENGTHS[:2]), ("signature", *S.LENGTHS[2:])):
-                for size, n in zip(segment[sizes], segment[counts]):
-                    self._bump(what, size, n)
-                segment[sizes], segment[counts] = [], []
-            self.parts.updateValue(place, (json.dumps(segment),))
-            late = late or held is not None and segment["from_seq"] <= held["to_seq"]
-            if not late:
-                held = segment if held is None else S.merge(held, segment, self.cfg, self.failed)
-        if late:
-            places = sorted((int(k[0]), v[0]) for k, v in self.parts.iterator())
-            held = functools.reduce(
-                lambda a, b: S.merge(a, b, self.cfg, self.failed), (json.loads(text_) for _, text_ in places)
-            )
-        return held
+            places.add(segment["from_seq"])
+            for what, values, counts in (("visible", *S.LENGTHS[:2]), ("signature", *S.LENGTHS[2:])):
+                for size, n in zip(segment[values], segment[counts]):
+                    sizes[what, size] += n
+                segment[values], segment[counts] = [], []
+            fresh.append(segment)
+        if not fresh:
+            return held
+        self._bump(sizes)
+        self.parts.updateValue((fresh[0]["from_seq"],), (json.dumps(fresh),))
+        # segments of one call may overlap as well: one that begins before the end so far is late
+        if held is not None and fresh[0]["from_seq"] <= held["to_seq"]:
+            whole = sorted(stored + fresh, key=lambda x: x["from_seq"])
+        else:
+            whole = ([] if held is None else [held]) + fresh
+        return functools.reduce(lambda a, b: S.merge(a, b, self.cfg, self.failed), whole)
 
     # -- output
 
+    def _frame(self, row: dict[str, Any]) -> pd.DataFrame:
+        return pd.DataFrame([row])
+
     def _row(self, held: S.Segment, row_type: str, state: str) -> pd.DataFrame:
         by: dict[str, list[tuple[int, int]]] = {"visible": [], "signature": []}
         for (what, size), (n,) in self.lengths.iterator():
@@ -403,7 +423,7 @@ class SessionState(StatefulProcessor):
             "visible_chars_median": _median(by["visible"]),
             "signature_chars_median": _median(by["signature"]),
         }
-        return pd.DataFrame([out])
+        return self._frame(out)
 
     def _finish(self, held: S.Segment) -> pd.DataFrame:
         out = self._row(held, "final", "evicted")
@@ -423,12 +443,15 @@ class SessionState(StatefulProcessor):
 
     # -- entry points called by Spark
 
+    def _segments(self, frame: pd.DataFrame) -> list[S.Segment]:
+        return [S.unpack(row) for row in frame.to_dict("records")]
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         found, deleted = [], False
         for frame in rows:
             gone = frame["deleted"].fillna(False).astype(bool)
             deleted = deleted or bool(gone.any())
-            found += [S.unpack(row) for row in frame[~gone].to_dict("records")]
+            found += self._segments(frame[~gone])
         before, state = self._load()
         held = self._take(found, before)
         if held is None:
@@ -462,10 +485,11 @@ class SessionState(StatefulProcessor):
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         """Take over a session: its stored segments, or one row of counters as a segment."""
-        rows = initialState.to_dict("records")
-        if "from_seq" not in initialState.columns:
-            rows = [_from_counters(key[0], row) for row in rows[:1]]
-        held = self._take([S.unpack(row) for row in rows], self._load()[0])
+        if "from_seq" in initialState.columns:
+            found = self._segments(initialState)
+        else:
+            found = [S.unpack(_from_counters(key[0], row)) for row in initialState.to_dict("records")[:1]]
+        held = self._take(found, self._load()[0])
         if held is not None:
             self._save(held, "active")
 
@@ -473,6 +497,27 @@ class SessionState(StatefulProcessor):
         pass
 
 
+class PackedState(SessionState):
+    """The same state between rows of few columns: a segment or a session as JSON text.
+
+    A session's rows come to Python and go back as small frames of their own, whose cost
+    is by column; Spark packs and unpacks whole batches.
+    """
+
+    def _frame(self, row: dict[str, Any]) -> pd.DataFrame:
+        return pd.DataFrame({KEY: [row[KEY]], "row": [json.dumps(row)]})
+
+    def _segments(self, frame: pd.DataFrame) -> list[S.Segment]:
+        return [S.unpack(json.loads(text_)) for text_ in frame["segment"]]
+
+
+def packed(segments: DataFrame) -> DataFrame:
+    """Segments as ``PackedState`` takes them; ``deleted`` stays a column where there is one."""
+    rest = [c for c in ("deleted",) if c in segments.columns]
+    held = F.to_json(F.struct(*[c for c in S.FIELDS if c in segments.columns])).alias("segment")
+    return segments.select(KEY, "from_seq", *rest, held)
+
+
 def _from_counters(key: str, row: dict[str, Any]) -> dict[str, Any]:
     """A segment before all others from a row of counters; what it does not say is empty."""
     tail = []
@@ -519,13 +564,16 @@ def live_metrics(
     counts once.  ``initial`` are the stored segments of sessions that began before.
     """
     use_rocksdb(segments.sparkSession)
-    out = segments.groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=SessionState(cfg, timers=timers),
-        outputStructType=StructType.fromDDL(OUTPUT),
+    if initial is not None and "from_seq" in initial.columns:
+        initial = packed(initial)
+    out = packed(segments).groupBy(KEY).transformWithStateInPandas(
+        statefulProcessor=PackedState(cfg, timers=timers),
+        outputStructType=StructType.fromDDL(f"{KEY} string, row string"),
         outputMode="Update",
         timeMode="ProcessingTime" if timers else "None",
         **({"initialState": initial.groupBy(KEY)} if initial is not None else {}),
     )
+    out = out.select(F.from_json("row", OUTPUT, {"mode": "FAILFAST"}).alias("row")).select("row.*")
     return with_metrics(S.session_columns(out), cfg)
 
 
