@@ -32,7 +32,7 @@ from turnwise.model import (
     MetricConfig,
     Phrase,
 )
-from turnwise.operators.ordered import longest_run, newest, running_sum
+from turnwise.operators.ordered import beside, longest_run, newest, running_sum
 
 Keys = Sequence[str]
 
@@ -531,7 +531,7 @@ def snapshots(
             }
         )
     else:
-        rows = with_parse_health(rows.join(stats, keys, "left"), cfg)
+        rows = with_parse_health(beside(rows, stats, keys), cfg)
     if "read_edit_ratio" in chosen:
         blind = blind_edits(events, cfg=cfg, keys=keys).groupBy(*keys).agg(
             F.count_if("blind").alias("blind_mutations")
@@ -539,8 +539,7 @@ def snapshots(
         none = {c: F.coalesce(F.col(c), F.lit(0)) for c in (*_WINDOW_COUNTS, "blind_mutations")}
         ratios = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in _WINDOW_RATIOS}
         rows = (
-            rows.join(window_counts(events, cfg=cfg, keys=keys), keys, "left")
-            .join(blind, keys, "left")
+            beside(beside(rows, window_counts(events, cfg=cfg, keys=keys), keys), blind, keys)
             .withColumns({**none, **ratios})
             .withColumns(read_edit_columns(cfg))
         )
@@ -548,7 +547,7 @@ def snapshots(
         rows = rows.withColumns(stop_columns(cfg))
     if "reasoning_loop" in chosen:
         rows = (
-            rows.join(bursts(events, phrases=loop, keys=keys), keys, "left")
+            beside(rows, bursts(events, phrases=loop, keys=keys), keys)
             .withColumn("max_burst", F.coalesce("max_burst", F.lit(0)))
             .withColumns(loop_columns(cfg))
         )

@@ -23,6 +23,15 @@ from turnwise.model import CHUNK, KEY, SEQ
 _START = Window.unboundedPreceding
 
 
+def beside(rows: DataFrame, other: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """Left join of one row per session to another, by merging both.
+
+    Such tables grow with the sessions.  A report has about ten of them; each would pass
+    for small by itself, and together they would lie in the driver as broadcasts.
+    """
+    return rows.join(other.hint("merge"), list(keys), "left")
+
+
 def running_sum(
     df: DataFrame,
     value: Column,

@@ -24,7 +24,7 @@ from turnwise.model import (
 from turnwise.operators import metrics as M
 from turnwise.operators import normalize as N
 from turnwise.operators import turns as T
-from turnwise.operators.ordered import with_key_minimum
+from turnwise.operators.ordered import beside, with_key_minimum
 
 SCHEMA_VERSION = 2
 REQUIRED = (
@@ -355,7 +355,7 @@ def session_reports(
             )
             rows = rows.drop("_x")
     if labels:
-        rows = rows.join(T.session_label(T.turns(seen)), KEY, "left")
+        rows = beside(rows, T.session_label(T.turns(seen)))
     else:
         rows = rows.withColumns(
             {"n_turns": F.lit(0), "session_task_type": F.lit(None).cast("string")}
