@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm import exact_dedup, line_dedup, mixing, near_dup
 from turnwise.llm.components import components
+from turnwise.sources.session import scratch_dir
 
 SCHEMA = "doc_id bigint, text string, source string, key string, row string, n_chars bigint"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -222,3 +224,57 @@ def test_empty_tables(empty):
     assert near_dup.drop_near_duplicates(empty).count() == 0
     assert mixing.mix(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
+
+
+def _near_texts():
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = words(5)
+    # forty texts with one shingle in common, and two pairs of near copies
+    rows = [(i, " ".join(words(20) + shared + words(20))) for i in range(40)]
+    for i in (100, 200):
+        text = words(60)
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text[:-1] + words(1)))]
+    return rows
+
+
+def test_one_shared_shingle_moves_no_sets(spark):
+    docs = spark.createDataFrame(_near_texts(), "doc_id bigint, text string").repartition(3)
+    for tile in (near_dup.TILE, 50):
+        groups = near_dup.candidate_groups(docs, 3, tile).collect()
+        assert len(groups) == 4 and len({r.part for r in groups}) == 2
+        found = near_dup.near_duplicates(docs, buckets=3, tile=tile)
+        assert {r.doc_id: r.component_id for r in found.collect()} == {i: 100 * (i // 100) if i >= 100 else i for i, _ in _near_texts()}
+
+
+def test_near_duplicates_leave_narrow_tables_only(spark):
+    folder = f"{scratch_dir(spark)}/turnwise-llm"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = spark.createDataFrame(_near_texts(), "doc_id bigint, text string")
+    near_dup.near_duplicates(docs, buckets=3).count()
+    left = set(os.listdir(folder)) - before
+    columns = [set(spark.read.parquet(f"{folder}/{name}").columns) for name in left]
+    assert len(left) == 2 and all("shingles" not in c for c in columns)
+
+
+def test_bitmaps_allow_every_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 4, 40, 63, 64, 65, 300, 9000, 30000):
+        base = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.12, 0.2):
+            sets.append(np.unique(np.concatenate([base[rng.random(n) >= share], rng.integers(0, 1 << 62, 2, dtype=np.uint64)])))
+    sets = sorted((s for s in sets if len(s)), key=len)
+    sizes = np.array([len(s) for s in sets])
+    home = list(range(len(sets)))
+    for a, b in near_dup._forest(sizes, [near_dup.bitmap(s) for s in sets], None, None):
+        home = [home[a] if h == home[b] else h for h in home]
+    linked = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b])):
+                linked += 1
+                assert home[a] == home[b]
+    assert linked > 10 and len(set(home)) > 5
