@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import SPACES, lower_ascii, saved, text_of
+from turnwise.llm.common import SPACES, discard, lower_ascii, saved, text_of
 
 
 def line_keys(docs: DataFrame, least_chars: int = 1, batches: int = 4) -> DataFrame:
@@ -40,9 +40,11 @@ class LineRuns:
         self.min_docs, self.fanout = min_docs, fanout
         self.levels: list[list[DataFrame]] = [[]]
         self.closed: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
 
     def _sorted(self, counts: DataFrame) -> DataFrame:
-        return saved(counts.sortWithinPartitions("key"))
+        self.tables.append(saved(counts.sortWithinPartitions("key")))
+        return self.tables[-1]
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         rows = runs[0]
@@ -106,6 +108,7 @@ def drop_shared_lines(
     drops = saved(
         found.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("places"))
     )
+    discard(keys, frequent, *runs.tables)
     drops = drops.withColumn("places", F.sort_array("places"))
     # the row itself is one column, so no name of its can clash
     rows = docs.select(
