@@ -51,3 +51,17 @@ def test_rows_of_sessions_are_not_broadcast(spark):
     assert plan.count("SortMergeJoin [session_key") >= 2
     assert [(r.total_lines, r.missing_fields) for r in stats.collect()] == [(1, {"text": 1})]
     assert ordered.beside(lines, lines.select(KEY).distinct()).count() == 1
+
+
+def test_rows_of_chunks_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("a", 0, 1, 5), ("a", 0, 2, 7), ("a", 1, 3, 1)], f"{KEY} string, chunk long, seq long, n long")
+    keys = [KEY]
+    for made, want in (
+        (ordered.running_sum(rows, F.col("n"), "x"), [5, 12, 13]),
+        (ordered.last_before(rows, F.col("seq"), "x", keys=keys), [None, 1, 2]),
+        (ordered.with_key_minimum(rows, F.col("n"), "x"), [1, 1, 1]),
+        (ordered.newest(rows, 2).withColumn("x", F.col("n")), [7, 1]),
+    ):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [session_key" in plan and "BroadcastHashJoin" not in plan
+        assert [r.x for r in made.orderBy("seq").collect()] == want

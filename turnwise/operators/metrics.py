@@ -32,7 +32,7 @@ from turnwise.model import (
     MetricConfig,
     Phrase,
 )
-from turnwise.operators.ordered import beside, longest_run, newest, running_sum
+from turnwise.operators.ordered import beside, longest_run, newest, of_chunks, running_sum
 
 Keys = Sequence[str]
 
@@ -146,10 +146,10 @@ def blind_edits(
     )
     chunks = Window.partitionBy(*keys, "file_path").orderBy(CHUNK).rowsBetween(start, -1)
     files = touched.groupBy(*keys, CHUNK, "file_path").agg(F.max(looked).alias("_last"))
-    carried = files.join(base, [*keys, CHUNK]).select(
+    carried = of_chunks(files, base, keys).select(
         *keys, CHUNK, "file_path", "_base", F.max(F.col("_last") + F.col("_base")).over(chunks).alias("_carry")
     )
-    rows = touched.filter(F.col("category") == "mutation").join(carried, [*keys, CHUNK, "file_path"])
+    rows = touched.filter(F.col("category") == "mutation").join(carried.hint("merge"), [*keys, CHUNK, "file_path"])
     gap = F.col("call_no") - F.col("last_read")
     return (
         rows.withColumn("call_no", F.col("_n") + F.col("_base"))

@@ -32,6 +32,15 @@ def beside(rows: DataFrame, other: DataFrame, keys: Sequence[str] = (KEY,)) -> D
     return rows.join(other.hint("merge"), list(keys), "left")
 
 
+def of_chunks(df: DataFrame, chunks: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of rows to one row per (keys, chunk), by merging both.
+
+    The rows lie by (keys, chunk) already, and a table of chunks grows with the sessions
+    as one of sessions does (``beside``).
+    """
+    return df.join(chunks.hint("merge"), [*keys, CHUNK], how)
+
+
 def running_sum(
     df: DataFrame,
     value: Column,
@@ -50,8 +59,7 @@ def running_sum(
         .select(*keys, CHUNK, F.coalesce(F.sum("_chunk_sum").over(before), F.lit(0)).alias("_base"))
     )
     return (
-        df.withColumn("_local", F.sum(value).over(here))
-        .join(base, [*keys, CHUNK])
+        of_chunks(df.withColumn("_local", F.sum(value).over(here)), base, keys)
         .withColumn(out, F.col("_local") + F.col("_base"))
         .drop("_local", "_base")
     )
@@ -79,8 +87,7 @@ def last_before(
         .select(*keys, CHUNK, F.max("_chunk_last").over(before).alias("_carry"))
     )
     return (
-        df.withColumn("_local", F.max(value).over(here))
-        .join(carry, [*keys, CHUNK])
+        of_chunks(df.withColumn("_local", F.max(value).over(here)), carry, keys)
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop("_local", "_carry")
     )
@@ -109,7 +116,7 @@ def newest(
     ``n`` rows per key inside every map task (window group limit).
     """
     if CHUNK in df.columns:
-        df = df.join(latest_chunks(df, n, keys=keys), [*keys, CHUNK], "left_semi")
+        df = of_chunks(df, latest_chunks(df, n, keys=keys), keys, "left_semi")
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
@@ -125,7 +132,7 @@ def with_key_minimum(
         .agg(F.min(value).alias("_chunk_min"))
         .select(*keys, CHUNK, F.min("_chunk_min").over(whole).alias(out))
     )
-    return df.join(lows, [*keys, CHUNK])
+    return of_chunks(df, lows, keys)
 
 
 def longest_run(
