@@ -6,6 +6,7 @@ from turnwise.llm import common
 from turnwise.model import KEY
 from turnwise.operators import normalize as N
 from turnwise.operators import ordered
+from turnwise.sources import files
 from turnwise.sources import lines as S
 
 
@@ -65,3 +66,19 @@ def test_rows_of_chunks_are_not_broadcast(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [session_key" in plan and "BroadcastHashJoin" not in plan
         assert [r.x for r in made.orderBy("seq").collect()] == want
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"s{i}").mkdir()
+        (tmp_path / f"s{i}" / "a.txt").write_text("x\ny\n")
+    cores = spark.sparkContext.defaultParallelism
+    tracker = spark.sparkContext.statusTracker()
+    for group, read in (("read", lambda: S.read_lines(spark, str(tmp_path), glob="*.txt")), ("list", lambda: files.list_files(spark, str(tmp_path), glob="*.txt"))):
+        spark.sparkContext.setJobGroup(group, group)
+        rows = read()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        spark.sparkContext._jsc.clearJobGroup()
+        assert sum(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds) <= min(8 * cores, 99)
+        assert rows.count() == (200 if group == "read" else 100)
+    assert spark.conf.get(S.LISTING) == "10000"
