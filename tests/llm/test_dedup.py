@@ -247,14 +247,19 @@ def test_one_shared_shingle_moves_no_sets(spark):
         assert {r.doc_id: r.component_id for r in found.collect()} == {i: 100 * (i // 100) if i >= 100 else i for i, _ in _near_texts()}
 
 
-def test_near_duplicates_leave_narrow_tables_only(spark):
-    folder = f"{scratch_dir(spark)}/turnwise-llm"
-    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
-    docs = spark.createDataFrame(_near_texts(), "doc_id bigint, text string")
-    near_dup.near_duplicates(docs, buckets=3).count()
-    left = set(os.listdir(folder)) - before
+def test_near_duplicates_leave_narrow_tables_only(spark, tmp_path):
+    # a folder of its own: other runs may write to the shared one
+    shared = scratch_dir(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        docs = spark.createDataFrame(_near_texts(), "doc_id bigint, text string")
+        near_dup.near_duplicates(docs, buckets=3).count()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", shared)
+    folder = f"{tmp_path}/turnwise-llm"
+    left = os.listdir(folder)
     columns = [set(spark.read.parquet(f"{folder}/{name}").columns) for name in left]
-    assert len(left) == 2 and all("shingles" not in c for c in columns)
+    assert len(left) == 2 and all("shingles" not in c for c in columns), columns
 
 
 def test_bitmaps_allow_every_link():
