@@ -9,9 +9,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.llm import exact_dedup, line_dedup, mixing, near_dup
+from turnwise.llm import common, exact_dedup, line_dedup, mixing, near_dup
 from turnwise.llm.components import components
-from turnwise.sources.session import scratch_dir
 
 SCHEMA = "doc_id bigint, text string, source string, key string, row string, n_chars bigint"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,15 +246,11 @@ def test_one_shared_shingle_moves_no_sets(spark):
         assert {r.doc_id: r.component_id for r in found.collect()} == {i: 100 * (i // 100) if i >= 100 else i for i, _ in _near_texts()}
 
 
-def test_near_duplicates_leave_narrow_tables_only(spark, tmp_path):
+def test_near_duplicates_leave_narrow_tables_only(spark, tmp_path, monkeypatch):
     # a folder of its own: other runs may write to the shared one
-    shared = scratch_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        docs = spark.createDataFrame(_near_texts(), "doc_id bigint, text string")
-        near_dup.near_duplicates(docs, buckets=3).count()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", shared)
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame(_near_texts(), "doc_id bigint, text string")
+    near_dup.near_duplicates(docs, buckets=3).count()
     folder = f"{tmp_path}/turnwise-llm"
     left = os.listdir(folder)
     columns = [set(spark.read.parquet(f"{folder}/{name}").columns) for name in left]
